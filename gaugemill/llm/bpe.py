@@ -181,6 +181,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = Fals
             yield pa.RecordBatch.from_arrays([*frame.columns[1:], *new], names)
 
     schema = docs.select(*without_text).schema
-    for f in ("n_tokens bigint", "ids_sha256 string", "decoded_sha256 string", *(("ids binary", "decoded string") if keep_ids else ())):
+    for f in ("n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(("ids binary", "decoded string") if keep_ids else ())):
         schema = schema.add(*f.split())
     return docs.select(F.col(f"`{text}`").cast("string").alias("__text"), *without_text).mapInArrow(batches, schema)

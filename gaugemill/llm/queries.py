@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe
+from gaugemill.llm import bpe, token_counts
 
 #: The operators' production parameters.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,11 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, limit=512)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
 
 
 QUERIES = {
+    "op5_token_counts": op5_token_counts,
     "op10_bpe": op10_bpe,
 }
 
