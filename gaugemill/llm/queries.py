@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe, token_counts
+from gaugemill.llm import bpe, token_counts, token_planes, warc
+from gaugemill.llm.common import scratch
 
 #: The operators' production parameters.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,16 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "planes")
+    token_planes.write(table(spark, sf_dir, "documents"), folder, WORD_BPE, end_id=1)
+    return token_planes.read(spark, folder)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, limit=512)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
 
 
 QUERIES = {
+    "op1_token_planes": op1_token_planes,
     "op5_token_counts": op5_token_counts,
+    "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
 }
 

@@ -87,14 +87,19 @@ class TokenCounter:
 _LOADED: dict[tuple, TokenCounter] = {}
 
 
+def loaded(path: str, chunk: int, overlap: int) -> TokenCounter:
+    """One counter a worker process."""
+    if (path, chunk, overlap) not in _LOADED:
+        _LOADED[path, chunk, overlap] = TokenCounter(path, chunk, overlap)
+    return _LOADED[path, chunk, overlap]
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, text: str = "text", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """Add ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens)."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in {text, "n_bytes", "n_tokens", "over_limit"}]
 
     def batches(frames):
-        if (path, chunk, overlap) not in _LOADED:
-            _LOADED[path, chunk, overlap] = TokenCounter(path, chunk, overlap)
-        counter = _LOADED[path, chunk, overlap]
+        counter = loaded(path, chunk, overlap)
         for frame in frames:
             n = pa.array(counter.counts(texts_of(frame.column("__text"))), pa.int64())
             yield pa.RecordBatch.from_arrays([*frame.columns[1:], n], [*frame.schema.names[1:], "n_tokens"])
