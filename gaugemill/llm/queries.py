@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe, token_counts, token_planes, warc
+from gaugemill.llm import bpe, phrase_index, token_counts, token_planes, warc
 from gaugemill.llm.common import scratch
 
 #: The operators' production parameters.
@@ -24,6 +24,10 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read(spark, folder)
 
 
+def op3_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, limit=512)
 
@@ -40,6 +44,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
+    "op3_phrase_index": op3_phrase_index,
     "op5_token_counts": op5_token_counts,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
