@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe, phrase_index, token_counts, token_planes, warc
+from gaugemill.llm import bpe, multiset_hash, phrase_index, token_counts, token_planes, warc
 from gaugemill.llm.common import scratch
 
 #: The operators' production parameters.
@@ -32,6 +32,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, limit=512)
 
 
+def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = multiset_hash.with_next(table(spark, sf_dir, "documents"))
+    lanes = 8 * multiset_hash.LANES  # those for equality
+    return marks.withColumns({c: F.lower(F.hex(F.substring(c, 1, lanes))) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
@@ -46,6 +52,7 @@ QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op3_phrase_index": op3_phrase_index,
     "op5_token_counts": op5_token_counts,
+    "op8_multiset_hash": op8_multiset_hash,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
 }
