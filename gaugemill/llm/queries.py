@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe, multiset_hash, phrase_index, token_counts, token_planes, warc
+from gaugemill.llm import bpe, multiset_hash, phrase_index, quality, token_counts, token_planes, warc
 from gaugemill.llm.common import scratch
 
 #: The operators' production parameters.
@@ -32,6 +32,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, limit=512)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
+    return quality.score(docs, model, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = multiset_hash.with_next(table(spark, sf_dir, "documents"))
     lanes = 8 * multiset_hash.LANES  # those for equality
@@ -52,6 +59,7 @@ QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op3_phrase_index": op3_phrase_index,
     "op5_token_counts": op5_token_counts,
+    "op6_quality": op6_quality,
     "op8_multiset_hash": op8_multiset_hash,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
