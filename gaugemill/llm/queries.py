@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe, multiset_hash, phrase_index, quality, token_counts, token_planes, warc
+from gaugemill.llm import bpe, multiset_hash, phrase_index, pii, quality, token_counts, token_planes, warc
 from gaugemill.llm.common import scratch
 
 #: The operators' production parameters.
@@ -39,6 +39,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = multiset_hash.with_next(table(spark, sf_dir, "documents"))
     lanes = 8 * multiset_hash.LANES  # those for equality
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_phrase_index": op3_phrase_index,
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
+    "op7_pii": op7_pii,
     "op8_multiset_hash": op8_multiset_hash,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
