@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe, multiset_hash, phrase_index, pii, quality, token_counts, token_planes, warc
+from gaugemill.llm import bpe, jaccard, multiset_hash, phrase_index, pii, quality, token_counts, token_planes, warc
 from gaugemill.llm.common import scratch
 
 #: The operators' production parameters.
@@ -28,6 +28,10 @@ def op3_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, limit=512)
 
@@ -62,6 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op3_phrase_index": op3_phrase_index,
+    "op4_jaccard": op4_jaccard,
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
