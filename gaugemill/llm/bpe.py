@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugemill.llm.common import slices, texts_of
-from gaugemill.llm.pieces import RUNS, PieceCache, ascii_lower, tokenizer
+from gaugemill.llm.pieces import PieceCache, tokenizer
 
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
@@ -54,7 +55,7 @@ class SpeculativeBpe:
         self.shown = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
         self.good = np.zeros(0, np.int64)  # pair keys, sorted
         self.bad = np.zeros(0, np.int64)
-        self.cache = PieceCache(self.encode_parts, b"".join, ascii_lower)
+        self.cache = PieceCache(self.encode_parts, lower=True, spaced=False)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The exact merges: the lowest rank first, leftmost first among equals."""
@@ -135,14 +136,14 @@ class SpeculativeBpe:
             else:
                 split.append(self.words(part))
         distinct = list({w for ws in split for w in ws if isinstance(w, str)})
-        ids = {w: np.array(i, "<u4").tobytes() for w, i in zip(distinct, self.encode_words(distinct), strict=True)}
-        return [b"".join(ids[w] if isinstance(w, str) else np.array([w], "<u4").tobytes() for w in ws) for ws in split]
+        ids = {w: array("I", i).tobytes() for w, i in zip(distinct, self.encode_words(distinct), strict=True)}
+        return [b"".join(ids[w] if isinstance(w, str) else array("I", [w]).tobytes() for w in ws) for ws in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for rows in slices(texts):
-            runs = [RUNS.findall(texts[i]) for i in rows]
+            runs = [self.cache.split(texts[i]) for i in rows]
             known = self.cache.learn(chain.from_iterable(runs))
             out += [b"".join(map(known.__getitem__, r)) for r in runs]
         return out

@@ -14,12 +14,16 @@ import os
 import re
 from collections.abc import Callable, Iterable
 
-LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-RUNS = re.compile(r"[^ \t-\r]+")
-SAFE = re.compile(rf"[!-&(-~{LATIN}]+")
-PARTS = re.compile(rf"[{LATIN}]+|[^{LATIN}]+")
-#: Entries that a task keeps; at the bound the cache starts anew.
-CACHE = 500_000
+#: ASCII letters and the precomposed letters up to U+024F, but for U+0130, whose lower case is two characters.
+LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+SPACES = r" \t-\r"
+PLAIN_TEXT = re.compile(rf"[{SPACES}!-&(-~{LATIN}]*")
+RUNS = re.compile(rf"[^{SPACES}]+")
+PARTS = re.compile(rf"[{LATIN}]+|[^{SPACES}{LATIN}]+")
+SPACED_RUNS = re.compile(rf"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+SPACED_PARTS = re.compile(rf"[{SPACES}]*[{LATIN}]+|[{SPACES}]*[^{SPACES}{LATIN}]+|[{SPACES}]+")
+#: Parts that a task keeps in each of two generations; what isn't met again in the time of one is forgotten.
+CACHE = 400_000
 
 
 def tokenizer(path: str):
@@ -33,42 +37,36 @@ def tokenizer(path: str):
     return t
 
 
-def parts(run: str) -> list[str]:
-    """The independent parts of a run of non-space characters; ``run`` may start with white space."""
-    bare = run.lstrip()
-    if SAFE.fullmatch(bare) and "<|" not in bare:
-        found = PARTS.findall(bare)
-        if len(bare) < len(run):
-            found[0] = run[: len(run) - len(bare)] + found[0]
-        return found
-    return [run]
+def is_plain(text: str) -> bool:
+    return "<|" not in text and PLAIN_TEXT.fullmatch(text) is not None
 
 
 class PieceCache:
-    """``values[run]`` for runs of non-space characters, made from the parts that ``encode`` maps to values.
+    """Splits texts into independent parts and keeps what ``encode`` gives for each of them.
 
-    ``encode`` gets a list of distinct parts; ``join`` puts the values of a run's parts together."""
+    ``lower``: the tokenizer lower-cases, so that plain texts may be lower-cased first. ``spaced``: white space counts, and a
+    part carries what stands before it; otherwise it is dropped. ``encode`` gets a list of distinct parts."""
 
-    def __init__(self, encode: Callable[[list[str]], list], join: Callable[[Iterable], object], key: Callable[[str], str] = str, limit: int = CACHE):
-        self.encode, self.join, self.key, self.limit = encode, join, key, limit
+    def __init__(self, encode: Callable[[list[str]], list], lower: bool, spaced: bool, limit: int = CACHE):
+        self.encode, self.lower, self.limit = encode, lower, limit
+        self.runs, self.parts = (SPACED_RUNS, SPACED_PARTS) if spaced else (RUNS, PARTS)
         self.values: dict[str, object] = {}
-        self.part: dict[str, object] = {}
+        self.old: dict[str, object] = {}
 
-    def learn(self, runs: Iterable[str]) -> dict[str, object]:
-        """Make sure that every one of ``runs`` is in the result, which holds until the next call."""
+    def split(self, text: str) -> list[str]:
+        if is_plain(text):
+            return self.parts.findall(text.lower() if self.lower else text)
+        return [part for run in self.runs.findall(text) for part in (self.parts.findall(run.lower() if self.lower else run) if is_plain(run) else (run,))]
+
+    def learn(self, found: Iterable[str]) -> dict[str, object]:
+        """A table that holds every one of ``found`` until the next call."""
         if len(self.values) > self.limit:
-            self.values = {}
-        if len(self.part) > self.limit:
-            self.part = {}
-        new = {r: [self.key(p) for p in parts(r)] for r in set(runs).difference(self.values)}
+            self.old, self.values = self.values, {}
+        new = set(found).difference(self.values)
+        if again := new.intersection(self.old):
+            self.values.update((part, self.old[part]) for part in again)
+            new -= again
         if new:
-            unknown = list({p for ps in new.values() for p in ps}.difference(self.part))
-            self.part.update(zip(unknown, self.encode(unknown), strict=True))
-            get = self.part.__getitem__
-            self.values.update((r, get(ps[0]) if len(ps) == 1 else self.join(map(get, ps))) for r, ps in new.items())
+            unknown = list(new)
+            self.values.update(zip(unknown, self.encode(unknown), strict=True))
         return self.values
-
-
-def ascii_lower(part: str) -> str:
-    """Lower case where that is plain, so that a lower-casing tokenizer sees a word once."""
-    return part.lower() if part.isascii() and "<|" not in part else part

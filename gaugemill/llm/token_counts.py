@@ -12,7 +12,6 @@ input stay, but for the text; a column with the name of a result is replaced.
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 import pyarrow as pa
@@ -24,7 +23,6 @@ from gaugemill.llm.pieces import PieceCache, tokenizer
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
-RUN = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 SPACE = frozenset(" \t\n\r\x0b\x0c")
 
 
@@ -33,7 +31,7 @@ class TokenCounter:
 
     def __init__(self, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
         self.library, self.chunk, self.overlap = tokenizer(path), chunk, max(1, overlap)
-        self.cache = PieceCache(self.count_parts, sum)
+        self.cache = PieceCache(self.count_parts, lower=False, spaced=True)
         self.widened = 0
 
     def count_parts(self, found: list[str]) -> list[int]:
@@ -78,7 +76,7 @@ class TokenCounter:
     def counts(self, texts: list[str]) -> list[int]:
         out: list[int] = []
         for rows in slices(texts):
-            runs = {i: RUN.findall(texts[i]) for i in rows if len(texts[i]) <= self.chunk}
+            runs = {i: self.cache.split(texts[i]) for i in rows if len(texts[i]) <= self.chunk}
             known = self.cache.learn(chain.from_iterable(runs.values()))
             out += [sum(map(known.__getitem__, runs[i])) if i in runs else self.huge(texts[i]) for i in rows]
         return out

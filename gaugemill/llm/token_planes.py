@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugemill.llm.common import parallelism, slices, stored, texts_of
-from gaugemill.llm.pieces import RUNS, PieceCache, ascii_lower, tokenizer
+from gaugemill.llm.pieces import PieceCache, tokenizer
 
 BLOCK_IDS = 65_536
 SYNC = "\n#GMSYNC"
@@ -102,10 +103,13 @@ class LibraryEncoder:
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
-        self.cache = PieceCache(lambda found: [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(found, add_special_tokens=False)], b"".join, ascii_lower)
+        self.cache = PieceCache(self.encode_parts, lower=True, spaced=False)
+
+    def encode_parts(self, found: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(found, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [RUNS.findall(t) for t in texts]
+        runs = [self.cache.split(t) for t in texts]
         known = self.cache.learn(chain.from_iterable(runs))
         return [b"".join(map(known.__getitem__, r)) for r in runs]
 
