@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm import bpe, jaccard, multiset_hash, phrase_index, pii, quality, token_counts, token_planes, warc
+from gaugemill.llm import bpe, html_crf, jaccard, multiset_hash, phrase_index, pii, quality, token_counts, token_planes, warc
 from gaugemill.llm.common import scratch
 
 #: The operators' production parameters.
@@ -24,6 +24,11 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read(spark, folder)
 
 
+def op2_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_crf.extract(pages, html_crf.train(pages))
+
+
 def op3_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -65,6 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
+    "op2_html_crf": op2_html_crf,
     "op3_phrase_index": op3_phrase_index,
     "op4_jaccard": op4_jaccard,
     "op5_token_counts": op5_token_counts,
