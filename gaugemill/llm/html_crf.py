@@ -187,7 +187,7 @@ def path(spec: str) -> Path:
 
 #: Layouts: the places of other blocks before the main text, of the main text, and of other blocks in and after it.
 LAYOUTS = [
-    (["header h1", "nav ul li", "div.cookie.notice p"], ["main div.content p"], ["aside.sidebar div p", "section.comment div.comment p", "footer p"]),
+    (["header h1", "nav ul li", "div.cookie.notice p"], ["main div.content p"], ["aside.sidebar div p", "main aside", "main aside p", "main form label", "section.comment div.comment p", "footer p"]),
     (["div.header div.logo", "div.menu ul li", "div.ad"], ["div.page div.post.body p", "div.page div.post.body h2"], ["div.page div.related li", "div.comment ol li p", "div.footer"]),
     (["header div", "nav.main li"], ["div.wrapper article.post h1", "div.wrapper article.post p"], ["div.wrapper article.post aside p", "div.wrapper article.post section.comment p", "form.newsletter div", "footer div"]),
     (["div.top.bar", "div.nav li", "div.banner.advert p"], ["div.entry.content p", "div.entry.content blockquote", "div.entry.content ul li"], ["div.sidebar.widget li", "div.share", "div.cookie.consent p", "div.copyright"]),

@@ -289,6 +289,20 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num:
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Per document doc_id, n_shingles and component_id, the smallest doc_id that links of ``num``/``den`` or more reach."""
+    return linked(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest doc_id. Documents without words all stay, but for repeated rows."""
+    found = linked(docs, k, num, den).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.groupBy("doc_id", "component").agg(F.min("place").alias("__place")).select(F.col("doc_id").alias("__id"), "__place").distinct()
+    marked = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__place"))
+    return marked.join(kept.hint("merge"), own, "left_semi").dropDuplicates(["doc_id", "__own"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Per document doc_id, place, n_shingles, component (a class of it) and component_id."""
     spark = docs.sparkSession
     folder = scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -325,6 +339,9 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
 
     named = classes.select("key", "rep").join(parts.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least.hint("merge"), "component").select("key", "component_id")
-    linked = filled.select("doc_id", "key", "n_shingles").join(named.hint("merge"), "key").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(found.filter("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = named.join(least.hint("merge"), "component").select("key", "component", "component_id")
+    own = filled.select("doc_id", "place", "key", "n_shingles").join(named.hint("merge"), "key").drop("key")
+    empty = found.filter("key is null").select("doc_id", "place", "n_shingles", F.col("place").alias("component"), F.col("doc_id").alias("component_id"))
+    result = stored(own.unionByName(empty), f"{folder}/result")
+    discard(spark, *(f"{folder}/{x}" for x in ("described", "classes", "members", "forest", "first", "judged", "parts", "part", "rest", "second", "all", "component")))
+    return result

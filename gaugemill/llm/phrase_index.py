@@ -24,13 +24,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm.common import bytes_of, scratch
+from gaugemill.llm.common import bytes_of, discard, scratch, stored
 
 #: Words of a segment, after which a new one begins with the next document.
 SEGMENT_WORDS = 1_000_000
 #: Bytes of item texts in a block that is sent to the executors.
 BLOCK_BYTES = 16 << 20
 WINDOW = 10
+#: Contaminated documents up to which their ids are sent to every executor (8 bytes each).
+BROADCAST_DOCS = 1_000_000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -216,6 +218,17 @@ def near(spark: SparkSession, folder: str, phrases: list[tuple[str, str]], withi
     return spark.read.schema(SEGMENT).parquet(folder).mapInArrow(matches, "name string, doc_id long")
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without those that hold a window of an item."""
+    folder = scratch(docs.sparkSession, "phrases")
+    build(docs, f"{folder}/index")
+    found = search(docs.sparkSession, f"{folder}/index", items, window).filter("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
+    found = stored(found, f"{folder}/found")
+    discard(docs.sparkSession, f"{folder}/index")
+    side = F.broadcast(found) if found.count() <= BROADCAST_DOCS else found.hint("merge")
+    return docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("__hit")), "left_anti")
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Index ``docs`` in the shared scratch folder and judge each of them against ``items`` (item_id, text)."""
     folder = scratch(docs.sparkSession, "phrases")
