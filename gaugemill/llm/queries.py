@@ -81,4 +81,35 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_phrase_index": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+i AS (SELECT cast(item_id as varchar) item_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w),10) k, array_to_string(w[p:p+least(len(w),10)-1],' ') g FROM (SELECT item_id, w, unnest(range(1, len(w)-least(len(w),10)+2)) p FROM i WHERE len(w)>0)),
+ks AS (SELECT DISTINCT k FROM iw),
+dw AS (SELECT doc_id, k, p, array_to_string(w[p:p+k-1],' ') g FROM (SELECT doc_id, w, k, unnest(range(1, len(w)-k+2)) p FROM d, ks WHERE len(w)>=k)),
+m AS (SELECT DISTINCT doc_id, dw.k, p, item_id FROM dw JOIN iw ON dw.g=iw.g AND dw.k=iw.k),
+h AS (SELECT doc_id, count(DISTINCT q) n_hit FROM (SELECT doc_id, unnest(range(p,p+k)) q FROM m) GROUP BY 1),
+n AS (SELECT doc_id, count(*) n_items, string_agg(item_id, ',' ORDER BY item_id) s FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(n_hit,0)::BIGINT n_hit, coalesce(n_items,0)::BIGINT n_items, sha256(coalesce(s,'')) items_sha256, coalesce(n_hit,0)>0 contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op4_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p+least(len(w),3)-1],' ') g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w)-1))) p FROM w WHERE len(w)>0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.g=b.g AND a.doc_id<b.doc_id GROUP BY 1,2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id=a JOIN n y ON y.doc_id=b WHERE 100*c >= 90*(x.n+y.n-c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b=e.a)
+SELECT w.doc_id, coalesce(n,0)::BIGINT n_shingles, m.m component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a doc_id, min(b) m FROM r GROUP BY 1) m USING (doc_id)
+""",
+    "op9_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html,'') h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT payload_bytes, sha1(h) x, min(page_id) OVER (PARTITION BY sha1(h)) first FROM p)
+SELECT page_id, payload_bytes,
+ (SELECT string_agg('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || x[10*g+1:10*g+10])::BIGINT >> (35 - 5*i)) & 31)], '' ORDER BY g, i) FROM range(4) a(g), range(8) b(i)) payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END record_type,
+ CASE WHEN page_id <> first THEN first END refers_to
+FROM d
+""",
+}
