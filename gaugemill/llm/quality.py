@@ -28,19 +28,50 @@ from gaugemill.llm.common import slices, texts_of
 TRAIN_ROWS = 3000
 #: At most so many characters of texts, taken row by row in the same order (whole texts only).
 TRAIN_CHARS = 24_000_000
-ROWS, DIM, EPOCHS, RATE, GRAMS = 1 << 16, 8, 4, 0.5, (3,)
+ROWS, DIM, EPOCHS, RATE, GRAM = 1 << 16, 8, 4, 0.5, 3
 TOKENS_KEPT = 400_000
 WORD = re.compile(r"[^ \t-\r]+")
 
 
-def features(token: str) -> list[int]:
-    """Rows of the table for a token."""
-    if token.startswith("\t"):
-        return [zlib.crc32(token.encode()) % ROWS]
-    framed = f"<{token}>"
-    shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64]))
-    found = {framed, f"\x01{shape}", f"\x02{min(len(token), 24)}", *(f"\x03{framed[i : i + n]}" for n in GRAMS for i in range(len(framed) - n + 1))}
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % ROWS for f in found]
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+class _Shapes(dict):
+    """A character's shape: A for upper case, a for letters, 0 for digits, else itself."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = shape = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return shape
+
+
+_SHAPES = _Shapes()
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+
+
+def row_of(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % ROWS
+
+
+def features(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the table for tokens, one after the other, and how many each has: itself, its shape, its length, its characters' n-grams."""
+    codes = np.frombuffer("".join(f"<{t}>" for t in found).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.array([len(t) + 2 for t in found])
+    grams = np.zeros(len(codes) - GRAM + 1, np.uint64)
+    for i in range(GRAM):
+        grams += codes[i : len(codes) - GRAM + 1 + i] * _FACTORS[i]
+    grams = ((grams ^ (grams >> np.uint64(31))) * _FACTORS[0] >> np.uint64(40)).astype(np.int64) % ROWS
+    own = lengths - GRAM + 1  # a framed token has at least three characters
+    inside = np.arange(own.sum()) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(own) - own), own)
+    other = np.array([(row_of(f"\x02{t}"), row_of("\x01" + _RUN.sub(r"\1", t[:64].translate(_SHAPES))), row_of(f"\x03{min(len(t), 24)}")) for t in found], np.int64)
+    counts = own + 3
+    flat, at = np.empty(counts.sum(), np.int64), np.cumsum(counts) - counts
+    for i in range(3):
+        flat[at + i] = other[:, i]
+    flat[np.arange(own.sum()) + np.repeat(at + 3 - (np.cumsum(own) - own), own)] = grams[inside]
+    for i in [i for i, t in enumerate(found) if t[0] == "\t"]:  # what a run repeats has no characters of its own
+        flat[at[i] : at[i] + counts[i]] = other[i, 0]
+    return flat, counts
 
 
 def tokens(text: str) -> list[str]:
@@ -60,16 +91,22 @@ class Model:
         self.gain = (vectors @ (weights[1] - weights[0])).astype(np.float64)
         self.bias = float(bias[1] - bias[0])
         self.known: dict[str, float] = {}
+        self.old: dict[str, float] = {}
 
     def __getstate__(self):
-        return {"gain": self.gain, "bias": self.bias, "known": {}}
+        return {"gain": self.gain, "bias": self.bias, "known": {}, "old": {}}
 
     def token_gains(self, found: set[str]) -> dict[str, float]:
         if len(self.known) > TOKENS_KEPT:
-            self.known = {}
-        for t in found.difference(self.known):
-            rows = features(t)
-            self.known[t] = float(self.gain[rows].sum()) / len(rows)
+            self.old, self.known = self.known, {}
+        new = found.difference(self.known)
+        if again := new.intersection(self.old):
+            self.known.update((t, self.old[t]) for t in again)
+            new -= again
+        if new:
+            flat, counts = features(unknown := list(new))
+            sums = np.add.reduceat(self.gain[flat], np.cumsum(counts) - counts)
+            self.known.update(zip(unknown, (sums / counts).tolist(), strict=True))
         return self.known
 
     def scores(self, texts: list[str]) -> list[float]:
@@ -88,9 +125,10 @@ def averaged(text: str) -> tuple[np.ndarray, np.ndarray]:
     found = tokens(text)
     for t in found:
         counts[t] = counts.get(t, 0) + 1
-    rows = [features(t) for t in counts]
-    flat = np.fromiter((r for rs in rows for r in rs), np.int64)
-    share = np.repeat([n / len(found) / len(rs) for n, rs in zip(counts.values(), rows, strict=True)], [len(rs) for rs in rows]) if rows else np.zeros(0)
+    if not counts:
+        return np.zeros(0, np.int64), np.zeros(0)
+    flat, sizes = features(list(counts))
+    share = np.repeat(np.fromiter(counts.values(), float) / len(found) / sizes, sizes)
     distinct, back = np.unique(flat, return_inverse=True)
     return distinct, np.bincount(back, share, len(distinct))
 
@@ -113,7 +151,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             p /= p.sum()
             p[target[i]] -= 1
             rate = RATE * (1 - at / steps) * weight[target[i]]
-            vectors[rows] -= rate * np.outer(share, p @ weights) * 8
+            vectors[rows] -= rate * np.outer(share, p @ weights) * 2
             weights -= rate * np.outer(p, mean)
             bias -= 0.02 * rate * p
             at += 1
