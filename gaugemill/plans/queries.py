@@ -634,3 +634,174 @@ def o66_canonicalize_expense(spark, sf):
     orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     got = payloads.canonicalize_expense(orders.select(F.lit("t").alias("tool"), F.concat(F.lit("DE"), key).alias("doc_id"), raw.alias("raw")))
     return got.select("tool", "doc_id", "vendor_name", "vendor_tax_id", "invoice_date", "total", "currency", F.array_join("tax_rates", ",").alias("tax_rates"), "line_item_count")
+
+
+# ---- audits: clean rows and planted faults side by side
+
+
+AUDIT = VIEWS + f", t AS (SELECT doc_id, doc_id::VARCHAR AS d, {CURRENCY} AS currency, total, line_item_count, strftime(invoice_date, '%Y-%m-%d') AS invoice_date FROM docs) "
+
+
+@query(AUDIT + "SELECT d AS doc_id, 'required' AS rule, 'country' AS message FROM t WHERE doc_id % 11 = 0 UNION ALL SELECT d, 'fields', 'extra' FROM t WHERE doc_id % 17 = 0")
+def o67_check_required(spark, sf):
+    keys = F.array(*map(F.lit, quality.KEYS))
+    names = F.array(*map(F.lit, NAMES))
+    raw = docs(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 11 == 0, F.array_remove(keys, "country")).otherwise(keys).alias("keys"), F.when(F.col("doc_id") % 17 == 0, F.array_append(names, "extra")).otherwise(names).alias("field_names"))
+    return quality.check_required(raw, NAMES)
+
+
+@query(AUDIT + "SELECT d AS doc_id, 'total parses' AS rule, 'x' || total AS message FROM t WHERE doc_id % 19 = 0 UNION ALL SELECT d, 'total decimals', 'x' || total FROM t WHERE doc_id % 19 = 0 AND currency = 'JPY' UNION ALL SELECT d, 'total decimals', (CASE WHEN doc_id % 23 = 0 THEN '-' ELSE '' END) || total FROM t WHERE doc_id % 19 <> 0 AND currency = 'JPY' UNION ALL SELECT d, 'total sign', '-' || total FROM t WHERE doc_id % 23 = 0 AND doc_id % 19 <> 0")
+def o68_check_amounts(spark, sf):
+    shown = F.concat(F.when(F.col("doc_id") % 19 == 0, "x").when(F.col("doc_id") % 23 == 0, "-").otherwise(""), F.col("total").cast("string"))
+    return quality.check_amounts(docs(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.expr(CURRENCY).alias("currency"), shown.alias("total")), ["total"])
+
+
+@query(TAXED + "SELECT doc_id, rule FROM (SELECT doc_id, unnest([CASE WHEN doc_id % 31 = 0 THEN 'total' END, CASE WHEN doc_id % 37 = 0 THEN 'lines' END, CASE WHEN doc_id % 3 = 1 AND doc_id % 5 = 0 AND tax_total <> 0 THEN 'reverse charge' END, CASE WHEN doc_id % 41 = 0 THEN 'withholding' END, CASE WHEN doc_id % 43 = 0 THEN 'item count' END]) AS rule FROM totals) WHERE rule IS NOT NULL")
+def o69_check_identity(spark, sf):
+    k = lambda n: F.col("doc_id") % n == 0
+    t = totals(spark, sf).withColumn("tax_mode", F.when((F.col("doc_id") % 3 == 1) & k(5), "reverse_charge").otherwise("exclusive"))
+    t = t.select("doc_id", "tax_mode", "subtotal", "tax_total", F.lit(None).cast("decimal(28,2)").alias("withholding_total"), k(41).alias("withholding"), (F.col("subtotal") + F.when(k(37), 1).otherwise(0)).alias("line_sum"), (F.col("total") + F.when(k(31), 1).otherwise(0)).cast("decimal(28,2)").alias("total"), "item_count", (F.col("item_count") + F.when(k(43), 1).otherwise(0)).alias("line_item_count"))
+    return quality.check_identity(t).select("doc_id", "rule")
+
+
+@query(AUDIT + "SELECT d AS doc_id, 'invoice_date is ISO' AS rule, replace(invoice_date, '-', '/') AS message FROM t WHERE doc_id % 47 = 0")
+def o70_check_dates(spark, sf):
+    shown = F.date_format("invoice_date", "yyyy-MM-dd")
+    d = docs(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 47 == 0, F.translate(shown, "-", "/")).otherwise(shown).alias("invoice_date"), F.when(F.col("doc_id") % 2 == 0, "japanese_era").otherwise("gregorian").alias("calendar"))
+    return quality.check_dates(d, "invoice_date")
+
+
+@query("SELECT DISTINCT l_orderkey AS doc_id, 'tax rate' AS rule, CAST(CAST(round(l_tax * 100) AS INT) AS VARCHAR) AS message FROM lineitem WHERE CAST(round(l_tax * 100) AS INT) IN (1, 5, 7)")
+def o71_check_rates(spark, sf):
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit("X").alias("country"), F.array(F.round(F.col("l_tax") * 100).cast("int").cast("string")).alias("tax_rates")).distinct()
+    allowed = spark.createDataFrame([("X", "4"), ("X", "8"), ("X", "6"), ("X", "12"), ("Y", "7")], "country string, rate string")  # 2 and 3 are halves of 4 and 6
+    return quality.check_rates(lines, allowed)
+
+
+IBAN_SQL = "WITH a AS (SELECT c_custkey AS k, lpad(c_custkey::VARCHAR, 18, '0') AS bban FROM customer), b AS (SELECT k, bban, 98 - CAST((bban || '131400')::HUGEINT % 97 AS INT) AS chk FROM a), i AS (SELECT k, 'DE' || lpad(((chk + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END))::VARCHAR, 2, '0') || bban AS iban FROM b) "
+
+
+@query(IBAN_SQL + "SELECT k AS doc_id, 'payment_account' AS rule, iban AS message FROM i WHERE k % 5 = 0 AND k % 7 <> 0")
+def o72_check_accounts(spark, sf):
+    bban = F.lpad(F.col("c_custkey").cast("string"), 18, "0")
+    check = 98 - checks.mod97(F.concat(bban, F.lit("DE00"))) + F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0)
+    iban = F.concat(F.lit("DE"), F.lpad(check.cast("string"), 2, "0"), bban)
+    own = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 7 != 0, iban).alias("payment_account"))
+    return quality.check_accounts(own)
+
+
+@query("SELECT c_custkey AS doc_id, 'vendor_tax_id' AS rule FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'vendor_tax_id' FROM customer WHERE c_custkey % 3 = 1")
+def o73_check_tax_ids(spark, sf):
+    k = F.col("c_custkey")
+    rfc = F.concat(F.lit("ABC"), F.when(k % 2 == 0, "010230").otherwise("010228"), F.lit("1A2"))
+    own = table(spark, sf, "customer").select(k.alias("doc_id"), F.when(k % 3 == 0, "MX").when(k % 3 == 1, "CN").otherwise("DE").alias("country"), F.when(k % 3 == 0, rfc).otherwise("911111111111111112").alias("vendor_tax_id"))
+    return quality.check_tax_ids(own).select("doc_id", "rule")
+
+
+@views("SELECT doc_id, 'unscored list' AS rule, 'null' AS message FROM docs WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'unscored names', 'total' FROM docs WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, 'unscored value', party_id FROM docs WHERE doc_id % 3 = 2 AND doc_id % 2 = 0")
+def o74_check_unscored(spark, sf):
+    k = F.col("doc_id")
+    listed = F.when(k % 3 == 1, F.array(F.lit("total"))).when(k % 3 == 2, F.array(F.lit("payment_account")))
+    return quality.check_unscored(docs(spark, sf).select("doc_id", listed.alias("unscored_fields"), F.when(k % 2 == 0, F.col("party_id")).alias("payment_account")))
+
+
+@query("SELECT doc_id, 'evidence' AS rule, 'last=' || needle AS message FROM (SELECT doc_id, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS hay, substr(text, 5, 8) || 'qqzx' AS needle FROM documents) WHERE NOT contains(hay, needle)")
+def o75_check_evidence(spark, sf):
+    d = table(spark, sf, "documents")
+    first = d.select("doc_id", F.lit("first").alias("key"), F.substring("text", 3, 40).alias("rendered"))
+    last = d.select("doc_id", F.lit("last").alias("key"), F.concat(F.substring("text", 5, 8), F.lit("qqzx")).alias("rendered"))
+    return quality.check_evidence(first.unionByName(last), d.select("doc_id", "text"))
+
+
+@views("SELECT doc_id, 'file' AS rule, doc_id || '-clean-1' AS message FROM docs WHERE doc_id % 6 <> 5")
+def o76_check_files(spark, sf):
+    files = scoring.explode_files(manifest(spark, sf), ["clean"])
+    listing = docs(spark, sf).filter("doc_id % 2 = 1").select(F.concat(F.col("doc_id").cast("string"), F.lit("-clean-1")).alias("file"), (F.col("doc_id") % 3 - 1).alias("length"))
+    return quality.check_files(files, listing)
+
+
+@query("SELECT page_id, sha256(html) AS sha256 FROM pages")
+def o77_fingerprint(spark, sf):
+    files = table(spark, sf, "pages").select(F.col("page_id").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return quality.fingerprint(files).withColumnRenamed("path", "page_id")
+
+
+# ---- seeded tables and tax arithmetic
+
+
+@query("SELECT p_partkey, ('0x' || substr(sha256('7:' || p_partkey), 1, 15))::BIGINT AS doc_seed FROM part")
+def o78_seed_documents(spark, sf):
+    return invoices.seed_documents(table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id")), "7").select(F.col("doc_id").alias("p_partkey"), "doc_seed")
+
+
+@query()
+def o79_generate_lines(spark, sf):
+    return invoices.generate_lines(invoices.seed_documents(table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")), "7"))
+
+
+@query(TAXED + "SELECT doc_id, line_no, part, rate, CAST(net AS DECIMAL(18,2)) AS net, CAST(tax AS DECIMAL(18,2)) AS tax, CAST(net + tax AS DECIMAL(18,2)) AS gross FROM lines")
+def o80_apply_tax(spark, sf):
+    return invoices.apply_tax(invoice_lines(spark, sf)).select("doc_id", "line_no", "part", "rate", "net", "tax", "gross")
+
+
+HALF_UP = "CAST(({n} + {d} // 2) // {d} AS DECIMAL(18,2)) / 100"
+
+
+def cents(c: str) -> str:
+    return f"CAST({c} * 100 AS BIGINT)"
+
+
+@query(TAXED + f"SELECT doc_id, label, CAST(rate / 2 AS DECIMAL(9,4)) AS rate, CAST({HALF_UP.format(n=cents('subtotal') + ' * CAST(rate AS BIGINT)', d=200)} AS DECIMAL(18,2)) AS amount FROM totals, (VALUES ('CGST'), ('SGST')) v(label)")
+def o80_split_tax(spark, sf):
+    return invoices.split_tax(totals(spark, sf)).select("doc_id", "label", "rate", d2("amount"))
+
+
+@query(TAXED + f"SELECT doc_id, label, CAST(r / 100.0 AS DECIMAL(9,4)) AS rate, CAST({HALF_UP.format(n=cents('subtotal') + ' * r', d=10000)} AS DECIMAL(18,2)) AS amount FROM totals, (VALUES ('PIS', 165), ('COFINS', 760)) v(label, r)")
+def o80_extra_levies(spark, sf):
+    return invoices.extra_levies(totals(spark, sf), [("PIS", "1.65"), ("COFINS", "7.6")]).select("doc_id", "label", "rate", d2("amount"))
+
+
+@query(TAXED + f", h AS (SELECT doc_id, total, {HALF_UP.format(n=cents('subtotal') + ' * 10', d=100)} + {HALF_UP.format(n=cents('subtotal') + ' * 32', d=300)} AS held FROM totals) SELECT doc_id, CAST(held AS DECIMAL(18,2)) AS withholding_total, CAST(total - held AS DECIMAL(18,2)) AS total FROM h")
+def o81_apply_withholding(spark, sf):
+    return invoices.apply_withholding(totals(spark, sf), "10", "16").select("doc_id", d2("withholding_total"), d2("total"))
+
+
+@query()
+def o82_payment_and_due(spark, sf):
+    own = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("invoice_date"), F.when(F.col("o_orderkey") % 9 == 0, "fapiao").otherwise("plain").alias("template"))
+    return invoices.payment_and_due(invoices.seed_documents(own, "7")).select("doc_id", "invoice_date", "due_date", "payment_account", F.array_join("unscored_fields", ",").alias("unscored"))
+
+
+@query("SELECT o_orderkey, CAST((CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) * r + 5000) // 10000 AS DECIMAL(18,2)) / 100 AS converted FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 10850 ELSE 9215 END AS r FROM orders)".replace("SELECT o_orderkey, CAST(", "SELECT o_orderkey, CAST(CAST(", 1).replace("/ 100 AS converted", "/ 100 AS DECIMAL(18,2)) AS converted", 1))
+def o83_convert_currency(spark, sf):
+    rates = spark.createDataFrame([("EUR", "USD", "1.0850"), ("USD", "EUR", "0.9215")], "currency string, other string, rate string")
+    own = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("total"), F.when(F.col("o_orderkey") % 2 == 0, "EUR").otherwise("USD").alias("currency"))
+    return invoices.convert_currency(own, rates).select("o_orderkey", d2("converted"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'box' WHEN p_name LIKE '%widget%' AND p_partkey % 2 = 0 THEN 'ream' ELSE 'pcs' END AS unit FROM part")
+def o84_assign_units(spark, sf):
+    keywords = spark.createDataFrame([(1, "ring", "box"), (2, "widget", "ream"), (3, "red", "pallet")], "group_seq int, keyword string, unit string")
+    known = spark.createDataFrame([("A", "box", False), ("A", "ream", False), ("A", "pcs", True), ("B", "box", False), ("B", "pcs", True)], "country string, unit string, generic boolean")
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("B").alias("country"))
+    return invoices.assign_units(parts, keywords, known, F.col("p_name")).select("p_partkey", "unit")
+
+
+@query("SELECT c_custkey, upper(substr(sha256(c_name), 1, 13)) AS party_id FROM customer")
+def o85_stable_identity(spark, sf):
+    return invoices.stable_identity(table(spark, sf, "customer").withColumnRenamed("c_name", "party_name")).select("c_custkey", "party_id")
+
+
+@query("SELECT c_mktsegment AS party_name, min(c_name) AS least, max(c_name) AS most FROM customer GROUP BY 1 HAVING count(DISTINCT c_name) > 1")
+def o85_check_identity_pairs(spark, sf):
+    return invoices.check_identity_pairs(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("party_name"), F.col("c_name").alias("party_id")))
+
+
+@views("SELECT tool, doc_id, CASE WHEN answer IS NULL OR truth IS NULL THEN CASE WHEN answer IS NULL AND truth IS NULL THEN 'correct' WHEN truth IS NULL THEN 'hallucination' ELSE 'incorrect' END WHEN left(answer, 7) = left(truth, 7) THEN 'correct' ELSE 'incorrect' END AS outcome FROM long WHERE field = 'due_date' AND error IS NULL")
+def o86_register_comparator(spark, sf):
+    comparators.register_comparator("same_month", lambda truth, answer, ctx: F.substring(truth, 1, ctx["letters"]) == F.substring(answer, 1, ctx["letters"]))
+    comparators.register_context("calendar", lambda columns: {"letters": F.lit(7)})
+    d = docs(spark, sf)
+    r = responses(d).filter("error is null")
+    long = scoring.align(scoring.unpivot_truth(d, ["due_date"]).drop("field_seq").join(r.select("tool", "doc_id"), "doc_id"), scoring.unpivot_prediction(r, ["due_date"], ("tool", "doc_id", "error")).drop("field_seq"), ("tool", "doc_id", "field"))
+    return scoring.score_pairs(long, {"due_date": "same_month"}, comparators.context_of("calendar", {})).select("tool", "doc_id", "outcome")
