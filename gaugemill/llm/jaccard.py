@@ -35,8 +35,10 @@ from gaugemill.llm.common import bytes_of, discard, parallelism, scratch, stored
 from gaugemill.llm.components import components
 
 BLOCK = 1024
-#: Weight of a chance meeting of two sets in a bucket against one index entry, and how fast its odds fall with a subset's size.
-MEETING_COST, MEETING_FALL = 0.2, 1.0
+#: Elements that two unrelated sets of a band have in common, for the cost of their chance meetings in a bucket.
+SHARED = 1.0
+#: Segments beyond the needed ones that an allocation may spend, so that few sets have too many empty ones.
+SPARE, SPARE_SHARES = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32), (64, 32, 24, 16, 12, 8, 6, 4)
 BAND = 1.25
 #: Classes up to whose number their documents are picked by a broadcast of their ids (16 bytes each).
 BROADCAST_CLASSES = 500_000
@@ -101,12 +103,17 @@ class Bands:
         best = None
         for d in sorted({0, need // 8, need // 4, need // 2, (need + 1) // 2}):
             exact = max(0, need - 2 * d)
-            spare = exact and 4 + math.ceil(2 * exact * math.exp(-size / max(1, d + exact)))
-            subset = size / max(1, d + exact + spare)
-            entries = d * (1 + subset) + exact
-            cost = entries + MEETING_COST * documents * (exact + d * (1 + subset)) * math.exp(-MEETING_FALL * subset)
-            if best is None or cost < best[0]:
-                best = (cost, d, d + exact + spare)
+            for spare in {*SPARE, *(exact // s for s in SPARE_SHARES)} if exact else {0}:
+                m = max(1, d + exact + spare)
+                subset = size / m
+                entries = d * (1 + subset) + exact
+                # two sets meet by chance where a segment holds one of their common elements and nothing else, or all but one
+                chance = SHARED * math.exp(-2 * subset) * ((exact + d * (1 + 2 * subset)) / m)
+                empty = (exact + spare) * math.exp(-subset)
+                short = min(1.0, math.exp((spare + 1) * math.log(empty) - math.lgamma(spare + 2))) if exact else 0.0
+                cost = entries + documents * (chance + short**2)
+                if best is None or cost < best[0]:
+                    best = (cost, d, m)
         return best[1:]
 
     def home(self, size: int) -> int:
