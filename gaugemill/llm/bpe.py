@@ -106,7 +106,7 @@ class SpeculativeBpe:
         """Ids of distinct words in the byte alphabet."""
         proposed = [self.greedy(w) for w in words]
         flat = np.fromiter(chain.from_iterable(p or () for p in proposed), np.int64)
-        lengths = np.array([len(p or ()) for p in proposed])
+        lengths = np.array([len(p or ()) for p in proposed], np.int64)
         ends = np.cumsum(lengths)
         word = np.repeat(np.arange(len(words)), lengths)
         inner = np.flatnonzero(word[:-1] == word[1:]) if len(word) else np.zeros(0, int)

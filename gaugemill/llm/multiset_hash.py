@@ -109,7 +109,7 @@ def ordered(docs: DataFrame) -> DataFrame:
     ranges = parallelism(spark)
     places = slim.select(F.when(F.col("key") < infinity, F.col("key")).alias("key")).na.drop().approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
     splits = [-infinity, *sorted(set(places)), infinity]
-    ranged = Bucketizer(splits=splits, inputCol="key", outputCol="range").transform(slim).withColumn("range", F.col("range").cast("int"))
+    ranged = Bucketizer(splits=splits, inputCol="key", outputCol="range").transform(slim).withColumn("range", F.col("range").cast("int")) if places else slim.withColumn("range", F.lit(0))
     firsts = sorted((r["range"], r["key"]) for r in ranged.groupBy("range").agg(F.min("key").alias("key")).collect())
     before = {key: firsts[i - 1][0] for i, (_, key) in enumerate(firsts)}
     if not firsts:
