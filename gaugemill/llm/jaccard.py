@@ -110,7 +110,7 @@ class Bands:
                 # two sets meet by chance where a segment holds one of their common elements and nothing else, or all but one
                 chance = SHARED * math.exp(-2 * subset) * ((exact + d * (1 + 2 * subset)) / m)
                 empty = (exact + spare) * math.exp(-subset)
-                short = min(1.0, math.exp((spare + 1) * math.log(empty) - math.lgamma(spare + 2))) if exact else 0.0
+                short = math.exp(min(0.0, (spare + 1) * math.log(empty) - math.lgamma(spare + 2))) if exact else 0.0
                 cost = entries + documents * (chance + short**2)
                 if best is None or cost < best[0]:
                     best = (cost, d, m)
