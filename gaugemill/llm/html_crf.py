@@ -28,7 +28,7 @@ from gaugemill.llm.common import texts_of
 
 #: Bounds of the sample: pages, and characters of a page that may serve in it.
 TRAIN_PAGES, TRAIN_CHARS = 120, 100_000
-EPOCHS, RATE, DECAY = 6, 0.3, 1e-4
+EPOCHS, STEPS, RATE, DECAY = 6, 4000, 1.0, 1e-5  # as many rounds as give that many steps, EPOCHS at least
 #: Elements that begin and end a block, elements whose content is no text, elements without content.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 RAW = "script|style|title|template|noscript|textarea|svg|iframe|object|math"
@@ -107,15 +107,15 @@ def blocks(page: str) -> list[tuple[Path, str, float]]:
 
 
 def path_features(path: Path) -> list[str]:
-    found = {f"in {tag}" for tag, _ in path} | {f"named {w}" for _, words in path for w in words}
+    found = {f"in {tag}" for tag, _ in path if tag not in ("html", "body")} | {f"named {w}" for _, words in path for w in words}
     if path:
         found |= {f"own {path[-1][0]}"} | {f"own named {w}" for w in path[-1][1]}
-    return [*found, f"deep {min(len(path), 8)}"]
+    return sorted(found)
 
 
 def text_features(text: str, linked: float) -> list[str]:
     words = text.count(" ") + 1
-    found = [f"words {min(words, 64).bit_length()}", f"linked {int(linked * 4)}"]
+    found = [f"words {min(words, 16).bit_length()}", f"linked {int(linked * 4)}"]
     if text[-1] in ".!?…\"”»":
         found.append("ends a sentence")
     if ". " in text or ", " in text:
@@ -197,7 +197,13 @@ LAYOUTS = [
     ([], ["p", "h1", "div p"], []),
     (["nav ul li", "div.ad"], ["article h1", "article p"], ["article div.comment p", "article div.ad", "article footer p", "footer"]),
 ]
-FILLER = ["A first plain sentence, with a clause, that tells of something.", "And then there is another one. It ends here.", "Short words.", "Home", "About us", "© a company"]
+FILLER = ["A first plain sentence, with a clause, that tells of something.", "And then there is another one. It ends here.", "A third, to go on with."]
+OTHER_FILLER = ["Home", "About us", "© a company", "Sign up for more."]
+
+
+def shortened(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """A quarter of the texts cut to their first word: the main text has short blocks too."""
+    return [t.split(" ")[0] if rng.random() < 0.25 else t for t in texts]
 
 
 def in_layout(layout: tuple, main: list[str], other: list[str], rng: np.random.Generator) -> Labelled:
@@ -206,7 +212,7 @@ def in_layout(layout: tuple, main: list[str], other: list[str], rng: np.random.G
     out: Labelled = []
     for spec in before:
         out += [(path(spec), pick(), float("li" in spec.split()), 0) for _ in range(rng.integers(1, 5) if "li" in spec.split() else 1)]
-    for i, text in enumerate(main):
+    for i, text in enumerate(shortened(main, rng)):
         out.append((path(places[0] if i == 0 else places[rng.integers(len(places))]), text, 0.0, 1))
     for spec in after:
         # comments and adverts may read like the main text
@@ -222,10 +228,11 @@ def fit(pages: list[str], seed: int = 5) -> Field:
         known = labelled(page)
         main, other = ([b[1] for b in known or () if b[3] == y] for y in (1, 0))
         if known and main:
-            data.append(known)
-        data += [in_layout(LAYOUTS[i], (main or FILLER)[:12], other or FILLER, rng) for i in rng.choice(len(LAYOUTS), 3, replace=False)]
+            brief = shortened([b[1] for b in known], rng)
+            data += [known, [(b[0], t if b[3] else b[1], b[2], b[3]) for b, t in zip(known, brief, strict=True)]]
+        data += [in_layout(LAYOUTS[i], (main or FILLER)[:12], other or OTHER_FILLER, rng) for i in rng.choice(len(LAYOUTS), 3, replace=False)]
     if not data:
-        data = [in_layout(layout, FILLER[:3], FILLER, rng) for layout in LAYOUTS for _ in range(6)]
+        data = [in_layout(layout, FILLER, OTHER_FILLER, rng) for layout in LAYOUTS for _ in range(40)]
     index: dict[str, int] = {}
     chains = []
     for page in data:
@@ -233,7 +240,7 @@ def fit(pages: list[str], seed: int = 5) -> Field:
         chains.append((rows, np.array([y for *_, y in page])))
     weights, start, turn = np.zeros((len(index), 2)), np.zeros(2), np.zeros((2, 2))
     spread = [np.full_like(x, 1e-2) for x in (weights, start, turn)]
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS // len(chains))):
         for i in rng.permutation(len(chains)):
             rows, gold = chains[i]
             own = np.array([weights[r].sum(axis=0) for r in rows])

@@ -28,7 +28,7 @@ from gaugemill.llm.common import slices, texts_of
 TRAIN_ROWS = 3000
 #: At most so many characters of texts, taken row by row in the same order (whole texts only).
 TRAIN_CHARS = 24_000_000
-ROWS, DIM, EPOCHS, RATE, GRAM = 1 << 16, 8, 4, 0.5, 3
+ROWS, DIM, EPOCHS, STEPS, RATE, GRAM = 1 << 16, 8, 4, 12_000, 0.5, 3  # as many rounds as give that many steps, EPOCHS at least
 TOKENS_KEPT = 400_000
 WORD = re.compile(r"[^ \t-\r]+")
 
@@ -141,8 +141,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     target = np.array(labels)
     count = np.bincount(target, minlength=2)
     weight = np.sqrt(len(target) / (2 * np.maximum(count, 1)))
-    steps, at = EPOCHS * max(1, len(docs)), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, STEPS // len(docs))
+    steps, at = epochs * len(docs), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             rows, share = docs[i]
             mean = share @ vectors[rows] if len(rows) else np.zeros(DIM)
