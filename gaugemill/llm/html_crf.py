@@ -278,8 +278,11 @@ def marginals(own: np.ndarray, start: np.ndarray, turn: np.ndarray) -> tuple[np.
 
 def train(pages: DataFrame, limit: int = TRAIN_PAGES) -> Field:
     """Fit on the ``limit`` pages whose ids hash lowest, among those of at most ``TRAIN_CHARS`` characters."""
-    sized = pages.filter(F.length("html") <= TRAIN_CHARS).select(F.xxhash64("page_id").alias("order"), "html")
-    return fit([r["html"] for r in sized.orderBy("order", "html").limit(limit).collect()])
+    order = F.xxhash64("page_id")
+    sized = pages.filter(F.length("html") <= TRAIN_CHARS)
+    chosen = sized.select(F.col("page_id").alias("__id"), order.alias("__order")).orderBy("__order", "__id").limit(limit)  # ids alone, so tasks send little
+    rows = sized.join(F.broadcast(chosen), F.col("page_id").eqNullSafe(F.col("__id"))).select("__order", "html").distinct().collect()
+    return fit([r["html"] for r in sorted(rows, key=lambda r: (r["__order"], r["html"]))[:limit]])
 
 
 def extract(pages: DataFrame, field: Field) -> DataFrame:
