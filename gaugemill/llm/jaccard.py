@@ -304,7 +304,7 @@ def one_of_each(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFrame:
     found = linked(docs, k, num, den).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.groupBy("doc_id", "component").agg(F.min("place").alias("__place")).select(F.col("doc_id").alias("__id"), "__place").distinct()
     marked = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__place"))
+    own = marked["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (marked["__own"] == kept["__place"])
     return marked.join(kept.hint("merge"), own, "left_semi").dropDuplicates(["doc_id", "__own"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

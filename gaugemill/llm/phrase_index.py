@@ -226,7 +226,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     found = stored(found, f"{folder}/found")
     discard(docs.sparkSession, f"{folder}/index")
     side = F.broadcast(found) if found.count() <= BROADCAST_DOCS else found.hint("merge")
-    return docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("__hit")), "left_anti")
+    return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["__hit"]), "left_anti")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -192,3 +192,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     slim = kept.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), "*")
     return slim.mapInArrow(batches, kept.schema.add("score", "double")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, as they are, that score ``threshold`` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def batches(frames):
+        for frame in frames:
+            good = [s >= threshold for s in sent.value.scores(texts_of(frame.column(0)))]
+            yield pa.RecordBatch.from_arrays(frame.columns[1:], frame.schema.names[1:]).filter(pa.array(good, pa.bool_()))
+
+    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), "*").mapInArrow(batches, docs.schema)
