@@ -24,8 +24,6 @@ from gaugemill.llm.common import scratch, stored
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT_WORDS, CONTEXT_CHARS, SUPPORT, GENERALISE, REMOVE = 5, 160, 2, 0.9, 0.99
-#: Terms up to which they are sent to every executor to count their documents; beyond, all words are counted and joined.
-BROADCAST_TERMS = 300_000
 WORD = r"\p{L}{3,}"
 #: Fixed patterns, as they are given. What stands before [0-9]++ or the local part keeps a long run from being tried at
 #: each of its characters; it changes no match. Possessive repeats don't either, as nothing that follows could use their characters.
@@ -138,10 +136,8 @@ def revealing(docs: DataFrame, found: DataFrame, folder: str) -> DataFrame:
     joint = stored(texts.groupBy("entity", "term").agg(F.sum("docs").alias("joint"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT), f"{folder}/joint")
     terms = stored(joint.select("term").distinct(), f"{folder}/terms")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(WORD), F.lit(0)))).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
-        of_term = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    else:
-        of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).join(terms.hint("merge"), "term", "left_semi")
+    # words are counted before they are joined: a common term is one row of each task
+    of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).join(terms.hint("merge"), "term", "left_semi")
     entities = found.filter(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     total = found.count()
     known = joint.join(of_term.hint("merge"), "term").join(entities.hint("merge"), "entity")
