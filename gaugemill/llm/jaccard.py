@@ -43,7 +43,7 @@ BAND = 1.25
 #: Classes up to whose number their documents are picked by a broadcast of their ids (16 bytes each).
 BROADCAST_CLASSES = 500_000
 _WORDS: dict[bytes, int] = {}
-WORDS_KEPT = 600_000
+WORDS_KEPT = 300_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

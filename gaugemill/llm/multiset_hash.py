@@ -29,7 +29,7 @@ from gaugemill.llm.common import parallelism, texts_of
 LANES, SKETCH, SHINGLE = 16, 256, 5
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
 _WORDS: dict[str, int] = {}
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 
 
 def word_hashes(words: list[str]) -> np.ndarray:

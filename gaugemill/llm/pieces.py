@@ -23,7 +23,7 @@ PARTS = re.compile(rf"[{LATIN}]+|[^{SPACES}{LATIN}]+")
 SPACED_RUNS = re.compile(rf"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 SPACED_PARTS = re.compile(rf"[{SPACES}]*[{LATIN}]+|[{SPACES}]*[^{SPACES}{LATIN}]+|[{SPACES}]+")
 #: Parts that a task keeps in each of two generations; what isn't met again in the time of one is forgotten.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def tokenizer(path: str):

@@ -29,7 +29,7 @@ TRAIN_ROWS = 3000
 #: At most so many characters of texts, taken row by row in the same order (whole texts only).
 TRAIN_CHARS = 24_000_000
 ROWS, DIM, EPOCHS, STEPS, RATE, GRAM = 1 << 16, 8, 4, 12_000, 0.5, 3  # as many rounds as give that many steps, EPOCHS at least
-TOKENS_KEPT = 400_000
+TOKENS_KEPT = 200_000
 WORD = re.compile(r"[^ \t-\r]+")
 
 
