@@ -7,6 +7,9 @@ properties of the text (length, share of links, punctuation). The field is train
 * the same blocks set into other layouts (``LAYOUTS``), whose labels are known by construction, with menus, sidebars, notices, adverts,
   forms and reader comments; so the field also knows pages that mark their article in another way or not at all.
 
+The text of ``math`` and ``object`` is inline text like any other. An ``svg`` is left out up to its end tag; where a block begins or ends before
+that, or there is none, only its tags are. A name with a hyphen is another element.
+
 Character references are decoded, white space in a block becomes one space, blocks of the main text are joined by line feeds.
 
 Results: a null, empty or text-free page has an empty text. Tags that are never closed, comments and scripts that never end, and stray ``<``
@@ -31,15 +34,17 @@ TRAIN_PAGES, TRAIN_CHARS = 120, 100_000
 EPOCHS, STEPS, RATE, DECAY = 6, 4000, 1.0, 1e-5  # as many rounds as give that many steps, EPOCHS at least
 #: Elements that begin and end a block, elements whose content is no text, elements without content.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-RAW = "script|style|title|template|noscript|textarea|svg|iframe|object|math"
+RAW = "script|style|title|template|noscript|textarea|iframe"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that the start of another one of the same row ends.
 ENDED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 BOILERPLATE = frozenset("nav header footer aside form menu dialog select".split())
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>",
     re.DOTALL | re.IGNORECASE,
 )
+#: What ends a drawing: its own tags, or one of an element that can't stand in it.
+DRAWING = re.compile(rf"<(/?)(?:(svg)|{'|'.join(sorted(BLOCKS))}|b|br|code|em|font|i|img|small|span|strong|sub|sup|u)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>", re.IGNORECASE)
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
 Path = tuple[tuple[str, tuple[str, ...]], ...]
@@ -53,6 +58,21 @@ def names_of(attributes: str) -> tuple[str, ...]:
     return tuple(w.removesuffix("s") if len(w) > 3 else w for w in words)
 
 
+def drawing_end(page: str, at: int) -> tuple[int, bool]:
+    """Where the ``svg`` whose start tag ends at ``at`` is closed, or where it turns out that it isn't; and whether it is."""
+    depth = 1
+    for m in DRAWING.finditer(page, at):
+        if not m[2]:
+            return m.start(), False
+        if m[1]:
+            depth -= 1
+        elif not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end(), True
+    return len(page), False
+
+
 def blocks(page: str) -> list[tuple[Path, str, float]]:
     """Leaf blocks in page order: ancestors from the outermost on, text, share of its characters in links."""
     out: list[tuple[Path, str, float]] = []
@@ -76,8 +96,8 @@ def blocks(page: str) -> list[tuple[Path, str, float]]:
         if links:
             linked += len(text)
 
-    at = 0
-    for m in MARKUP.finditer(page):
+    at = unclosed = 0
+    while m := MARKUP.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -86,6 +106,13 @@ def blocks(page: str) -> list[tuple[Path, str, float]]:
         tag = m[3].lower()
         if tag == "br":
             held.append(" ")
+        elif tag == "svg":
+            if not m[2] and not m[4].endswith("/") and at >= unclosed:
+                end, closed = drawing_end(page, at)
+                if closed:
+                    at = end
+                else:
+                    unclosed = end
         elif tag == "a":
             links = 0 if m[2] else 1
         elif tag in BLOCKS:
@@ -173,7 +200,7 @@ def labelled(page: str) -> Labelled | None:
     """Labels from a page's own marks, or None where it doesn't tell."""
     found = blocks(page)
     for mark in ("article", "main"):
-        if len(re.findall(rf"<{mark}\b", page, re.IGNORECASE)) == 1:
+        if len(re.findall(rf"<{mark}(?=[\s/>])", page, re.IGNORECASE)) == 1:
             inside = [next((i for i, (tag, _) in enumerate(path) if tag == mark), None) for path, _, _ in found]
             own = [int(i is not None and not any(t in BOILERPLATE or {"comment", "ad", "advert"} & set(n) for t, n in path[i:])) for i, (path, _, _) in zip(inside, found, strict=True)]
             return [(*b, y) for b, y in zip(found, own, strict=True)]

@@ -355,6 +355,29 @@ def test_extraction(spark):
         assert r["text"] == "\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p>one</p><svg class="i"/><p>two</p><p>three</p>', ["one", "two", "three"]),
+        ("<p>one</p><svg-icon></svg-icon><object-x></object-x><title-bar>bar</title-bar><p>two</p>", ["one", "bar", "two"]),
+        ("<p>one</p><math/><p>two</p>", ["one", "two"]),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["if x=2 holds"]),
+        ("<p>one <object data=a>instead of it</object> two</p><object><p>three</p>", ["one instead of it two", "three"]),
+        ("<p>one <svg class=i></p><p>two</p><svg><text>label</text></svg><p>three</p>", ["one", "two", "three"]),
+        ("<p>one <svg><svg><title>t</title></svg><text>label</text></svg> two</p><math>three", ["one two", "three"]),
+        ("<svg>" * 3 + "end", ["end"]),
+        ("<title>T</title><style media=x>p{}</style ><script>'</p>'</script x><p>one</p>", ["one"]),
+        ("<p>one</p><textarea>two", ["one"]),
+    ],
+)
+def test_elements_that_hold_no_blocks(page, want):
+    assert [b[1] for b in html_crf.blocks(page)] == want
+
+
+def test_custom_elements_mark_nothing():
+    assert html_crf.labelled("<main-menu><p>one</p></main-menu>") is None
+
+
 def test_layouts_alone():
     field = html_crf.fit([])
     assert field.text("<nav><li><a>Home</a></li></nav><article><p>A text of some words, with a clause.</p></article>") == "A text of some words, with a clause."
