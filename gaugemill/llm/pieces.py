@@ -2,7 +2,8 @@
 
 A split point is used only where it can't change the ids:
 
-* between a non-space character and ASCII white space: no pre-token spans it;
+* between a non-space character and ASCII white space: no pre-token spans it. Where white space counts, one of ``WIDE`` is no
+  non-space character: a pre-token of white space may hold both kinds;
 * inside a run of non-space characters, between a letter and an ASCII mark, where the run holds only
   ASCII marks and digits and precomposed Latin letters, no apostrophe (contractions) and no ``<|``
   (special tokens). Runs with any other character stay whole.
@@ -18,9 +19,11 @@ from collections.abc import Callable, Iterable
 LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 SPACES = r" \t-\r"
 PLAIN_TEXT = re.compile(rf"[{SPACES}!-&(-~{LATIN}]*")
+#: White space beyond ASCII, for any library, and what some take for it.
+WIDE = r"\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 RUNS = re.compile(rf"[^{SPACES}]+")
 PARTS = re.compile(rf"[{LATIN}]+|[^{SPACES}{LATIN}]+")
-SPACED_RUNS = re.compile(rf"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+SPACED_RUNS = re.compile(rf"(?:[{SPACES}]*[^{SPACES}]*[{WIDE}](?=[{SPACES}]))++[{SPACES}]*[^{SPACES}]*|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 SPACED_PARTS = re.compile(rf"[{SPACES}]*[{LATIN}]+|[{SPACES}]*[^{SPACES}{LATIN}]+|[{SPACES}]+")
 #: Parts that a task keeps in each of two generations; what isn't met again in the time of one is forgotten.
 CACHE = 250_000

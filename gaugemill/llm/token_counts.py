@@ -12,6 +12,7 @@ input stay, but for the text; a column with the name of a result is replaced.
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 import pyarrow as pa
@@ -19,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugemill.llm.common import slices, texts_of
-from gaugemill.llm.pieces import PieceCache, tokenizer
+from gaugemill.llm.pieces import SPACES, WIDE, PieceCache, tokenizer
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
-SPACE = frozenset(" \t\n\r\x0b\x0c")
+#: A place at which white space follows a non-space of any kind.
+STABLE = re.compile(rf"(?<=[^{SPACES}{WIDE}])[{SPACES}]")
 
 
 class TokenCounter:
@@ -53,10 +55,10 @@ class TokenCounter:
                 stop = min(n, end + self.chunk)
                 right = self.starts(text, start, stop)
                 here, both = set(left), set(right)
-                cut = next((p for p in range(end - 1, start, -1) if text[p] in SPACE and text[p - 1] not in SPACE and p in here and p in both), None)
+                cut = next((p for p in range(end - 1, start, -1) if STABLE.match(text, p) and p in here and p in both), None)
                 if cut is not None:
                     # both sides agree on every token from the cut to the last boundary before the end of the left chunk
-                    last = max((p for p in range(cut, end) if text[p] in SPACE and text[p - 1] not in SPACE), default=cut)
+                    last = max((m.start() for m in STABLE.finditer(text, cut, end)), default=cut)
                     if [p for p in left if cut <= p < last] == [p for p in right if cut <= p < last]:
                         break
                 self.widened += 1

@@ -52,6 +52,21 @@ def test_any_text(text):
     assert np.frombuffer(one.encode([text])[0], "<u4").tolist() == one.library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abs Aé,.'1日\t\n   \xa0\xa0\x85\u2003\u3000\x1c\u200b"), max_size=60))
+def test_any_count(text):
+    for chunk, overlap in ((32_768, 512), (16, 3)):
+        one = token_counts.loaded(BYTE, chunk, overlap)
+        assert one.counts([text]) == [len(one.library.encode(text, add_special_tokens=False).ids)]
+
+
+@pytest.mark.parametrize("text", ["x" + " \xa0" * 4 + " y", "x\xa0 ", "x \xa0\xa0 \xa0\xa0 y", "a\xa0 b\xa0\n\xa0 c \u3000 d", "\xa0 " * 50 + "z"])
+def test_white_space_of_both_kinds(text):
+    for chunk, overlap in ((32_768, 512), (16, 3)):
+        one = token_counts.loaded(BYTE, chunk, overlap)
+        assert one.counts([text]) == [len(one.library.encode(text, add_special_tokens=False).ids)]
+
+
 @pytest.mark.parametrize(("chunk", "overlap"), [(32_768, 512), (300, 20), (60, 1)])
 def test_counts(docs, library, chunk, overlap):
     got = {r["doc_id"]: r for r in token_counts.count_tokens(docs, BYTE, 100, chunk=chunk, overlap=overlap).collect()}
