@@ -1,14 +1,14 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
 Fixed patterns find the protected entities: e-mail addresses, IP addresses, card and phone numbers. Corpus co-occurrence then
-estimates how strongly the words around an entity reveal it. With N documents, n(e) with entity e, n(t) with term t anywhere, and
-n(t,e) with t among the ``CONTEXT_WORDS`` words before or after e, the disclosure of e by t is the share of e's information
-content that t gives away:
+estimates how strongly other words of its documents reveal it. With N documents, n(e) with entity e, n(t) with term t anywhere, and
+n(t,e) with both, t outside of base spans, the disclosure of e by t is the share of e's information content that t gives away:
 
     disclosure(t, e) = log(n(t,e) N / (n(t) n(e))) / log(N / n(e))
 
 1 means that t names e. A pair with support in at least ``SUPPORT`` different texts and disclosure of at least ``GENERALISE``
-adds a span of kind ``term`` wherever t stands beside e; in sanitised texts it is generalised to ``[TERM]``, and from ``REMOVE`` on removed.
+adds a span of kind ``term`` wherever t stands in a document that holds e, however far from it; in sanitised texts it is
+generalised to ``[TERM]``, and from ``REMOVE`` on removed. Documents that hold t without e keep it.
 
 Results: null and empty texts have no spans. Base spans of one kind don't overlap and are always reported; a term never overlaps
 one. Spans of different kinds may overlap; in a sanitised text the earlier one, or of two at one place the longer one, is
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gaugemill.llm.common import scratch, stored
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT_WORDS, CONTEXT_CHARS, SUPPORT, GENERALISE, REMOVE = 5, 160, 2, 0.9, 0.99
+SUPPORT, GENERALISE, REMOVE = 2, 0.9, 0.99
 WORD = r"\p{L}{3,}"
 #: Fixed patterns, as they are given. What stands before [0-9]++ or the local part keeps a long run from being tried at
 #: each of its characters; it changes no match. Possessive repeats don't either, as nothing that follows could use their characters.
@@ -35,6 +35,7 @@ PATTERNS = {
 }
 #: Texts without a match of these have none of the kind's.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+TERMS = "array<struct<kind:string,start:bigint,end:bigint,disclosure:double>>"
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
@@ -99,21 +100,30 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def context(text: Column, n_chars: Column, base: Column) -> Column:
-    """The words beside each base span, cut by no window's edge and in no base span: array of (entity, term, start, end)."""
+def outside(text: Column, base: Column) -> Column:
+    """The text with blanks in place of its base spans, so that places stay."""
+    blank = lambda t, s: F.overlay(t, F.repeat(F.lit(" "), (s["end"] - s["start"]).cast("int")), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    return F.aggregate(base, text, blank)
 
-    def beside(s: Column) -> Column:
-        begin = F.greatest(F.lit(0).cast("long"), s["start"] - CONTEXT_CHARS)
-        stop = F.least(n_chars, s["end"] + CONTEXT_CHARS)
 
-        def side(a: Column, b: Column) -> Column:
-            words = matches(F.substring(text, (a + 1).cast("int"), (b - a).cast("int")), WORD)
-            placed = F.transform(words, lambda w: F.struct(s["entity"].alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + a).alias("start"), (w["end"] + a).alias("end")))
-            return F.filter(placed, lambda w: ((w["start"] > begin) | (begin == 0)) & ((w["end"] < stop) | (stop == n_chars)) & ~F.exists(base, lambda x: (x["start"] < w["end"]) & (w["start"] < x["end"])))
+def terms_of(text: Column) -> Column:
+    """The distinct words of a text in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
-        return F.concat(F.slice(F.reverse(side(begin, s["start"])), 1, CONTEXT_WORDS), F.slice(side(s["end"], stop), 1, CONTEXT_WORDS))
 
-    return F.flatten(F.transform(base, beside))
+def placed(text: Column, known: Column) -> Column:
+    """Every occurrence of a key of ``known``, a map from terms to disclosures: array of (kind, start, end, disclosure) by place."""
+    found = F.arrays_zip(F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("value"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(TERMS).alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["gap"])
+        end = begin + F.coalesce(F.length(x["value"]), F.lit(0))
+        own = F.try_element_at(known, F.coalesce(F.lower(x["value"]), F.lit("")))
+        span = F.struct(F.lit("term").alias("kind"), begin.alias("start"), end.alias("end"), own.alias("disclosure"))
+        return F.struct(end.alias("at"), F.when(own.isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
+
+    return F.aggregate(found, start, step, lambda acc: acc["spans"])
 
 
 def written(spans: Column) -> Column:
@@ -121,25 +131,37 @@ def written(spans: Column) -> Column:
 
 
 def detected(docs: DataFrame, folder: str) -> DataFrame:
-    """Per row of ``docs`` doc_id, row (a hash of id and text), base, context; written, so that the texts are searched once."""
+    """Per row of ``docs`` doc_id, row (a hash of id and text), words (one of the text), base, and with base spans rest, the text outside of them; written, so that the texts are searched once."""
     text = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     based = text.withColumn("base", base_spans(F.col("text")))
-    around = F.when(F.size("base") > 0, context(F.col("text"), F.length("text").cast("long"), F.col("base")))
-    return stored(based.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("words"), "base", around.alias("context")), f"{folder}/detected")
+    rest = F.when(F.size("base") > 0, outside(F.col("text"), F.col("base")))
+    return stored(based.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("words"), "base", rest.alias("rest")), f"{folder}/detected")
+
+
+def together(found: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The entities of at least ``SUPPORT`` texts, with their documents; and each text that holds some: words, docs, entities, rest."""
+    held = found.filter(F.size("base") > 0)
+    # copies of a text are many documents but one support
+    each = stored(held.select("words", F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).groupBy("words", "entity").agg(F.count(F.lit(1)).alias("docs")), f"{folder}/each")
+    entities = stored(each.groupBy("entity").agg(F.sum("docs").alias("of_entity"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT).drop("texts"), f"{folder}/entities")
+    # a list is as long as a text has entities
+    own = each.join(entities.hint("merge"), "entity").groupBy("words").agg(F.max("docs").alias("docs"), F.collect_list("entity").alias("entities"))
+    texts = held.select("words", "rest").dropDuplicates(["words"])
+    return entities, stored(own.join(texts.hint("merge"), "words"), f"{folder}/together")
+
+
+def both(texts: DataFrame) -> DataFrame:
+    """Each entity of a text with each of the text's terms: words, docs, entity, term."""
+    return texts.select("words", "docs", "entities", F.explode(terms_of(F.col("rest"))).alias("term")).select("words", "docs", "term", F.explode("entities").alias("entity"))
 
 
-def revealing(docs: DataFrame, found: DataFrame, folder: str) -> DataFrame:
+def revealing(docs: DataFrame, total: int, entities: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     """Pairs (term, entity, disclosure) beyond the threshold, from counts over all documents."""
-    pairs = found.filter("context is not null").select("doc_id", "row", "words", F.explode("context").alias("c")).select("doc_id", "row", "words", "c.entity", "c.term").distinct()
-    # copies of a text are many documents but one support; first count a text's documents, then a pair's texts, so that no pair is gathered
-    texts = pairs.groupBy("entity", "term", "words").agg(F.count(F.lit(1)).alias("docs"))
-    joint = stored(texts.groupBy("entity", "term").agg(F.sum("docs").alias("joint"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT), f"{folder}/joint")
+    joint = stored(both(texts).groupBy("entity", "term").agg(F.sum("docs").alias("joint"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT), f"{folder}/joint")
     terms = stored(joint.select("term").distinct(), f"{folder}/terms")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(WORD), F.lit(0)))).alias("term"))
+    words = docs.select(F.explode(terms_of(F.col("text").cast("string"))).alias("term"))
     # words are counted before they are joined: a common term is one row of each task
     of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).join(terms.hint("merge"), "term", "left_semi")
-    entities = found.filter(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    total = found.count()
     known = joint.join(of_term.hint("merge"), "term").join(entities.hint("merge"), "entity")
     n_term = F.greatest("of_term", "joint")
     information = F.log(F.lit(float(total)) / F.col("of_entity"))
@@ -151,14 +173,14 @@ def spans(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` doc_id, row, base and terms: the base spans, and the revealing terms as (kind, start, end, disclosure)."""
     folder = scratch(docs.sparkSession, "pii")
     found = detected(docs, folder)
-    pairs = stored(revealing(docs, found, folder), f"{folder}/revealing")
-    beside = found.filter("context is not null").select(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.explode("context").alias("c")).select("d", "r", "c.*").distinct()
-    hit = beside.join(pairs.hint("merge"), ["term", "entity"]).groupBy("d", "r", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    # a document has at most CONTEXT_WORDS * 2 terms for each of its entities
-    own = hit.groupBy("d", "r").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
-    kept = found.join(own.hint("merge"), found["doc_id"].eqNullSafe(own["d"]) & (found["row"] == own["r"]), "left")
-    named = F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["disclosure"].alias("disclosure")))
-    return kept.select("doc_id", "row", "base", F.coalesce(named, F.array().cast("array<struct<kind:string,start:bigint,end:bigint,disclosure:double>>")).alias("terms"))
+    entities, texts = together(found, folder)
+    pairs = stored(revealing(docs, found.count(), entities, texts, folder), f"{folder}/revealing")
+    hit = both(texts).join(pairs.hint("merge"), ["term", "entity"]).groupBy("words", "term").agg(F.max("disclosure").alias("disclosure"))
+    # a map is as long as a text has revealing terms
+    known = hit.groupBy("words").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("known"))
+    own = stored(texts.join(known.hint("merge"), "words").select("words", placed(F.col("rest"), F.col("known")).alias("terms")), f"{folder}/terms_of_texts")
+    kept = found.drop("rest").join(own.hint("merge"), "words", "left")
+    return kept.select("doc_id", "row", "base", F.coalesce("terms", F.array().cast(TERMS)).alias("terms"))
 
 
 def report(docs: DataFrame) -> DataFrame:

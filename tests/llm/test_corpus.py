@@ -265,6 +265,22 @@ def test_revealing_terms(spark):
     assert pii.report(frame(spark, [])).count() == 0
 
 
+def test_revealing_terms_at_any_distance(spark):
+    rng = random.Random(17)
+    docs = [(i, prose(rng, 40, 300).replace("w", "word")) for i in range(200)]
+    far = " ".join(["about", "the", "call"] * 60)
+    docs += [(300 + i, f"Zanzibar {'abcd'[i]} {far} +1 (578) 555-6437 {far} İzmir, ZANZIBAR") for i in range(4)]
+    docs += [(400, docs[200][1]), (401, far), (402, far + " x"), (403, "one call +1 (578) 555-6438 lonely"), (None, docs[201][1])] + [(500 + i, far) for i in range(50)]
+    texts = {i: t for i, t in docs}
+    rows = {r["doc_id"]: r for r in pii.report(frame(spark, docs)).collect()}
+    for i in (*range(300, 304), 400, None):
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer("zanzibar|İzmir", texts[i], re.IGNORECASE)]
+        assert len(want) == 3 and [s for s in rows[i]["spans"].split(",") if "term" in s] == want
+    assert rows[401]["spans"] == rows[402]["spans"] == "" and "term" not in rows[403]["spans"]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, docs)).collect()}
+    assert clean[301] == f" b {far} [PHONE] {far} , " and clean[401] == far and len(clean) == len(docs)
+
+
 # ---- classifier
 
 
