@@ -219,7 +219,7 @@ def near(spark: SparkSession, folder: str, phrases: list[tuple[str, str]], withi
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without those that hold a window of an item."""
+    """``docs`` without those whose id is one of a document that holds a window of an item."""
     folder = scratch(docs.sparkSession, "phrases")
     build(docs, f"{folder}/index")
     found = search(docs.sparkSession, f"{folder}/index", items, window).filter("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
@@ -229,6 +229,18 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["__hit"]), "left_anti")
 
 
+def clean_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the rows whose own text holds a window of an item: rows are told apart by a hash of id and text, not by id."""
+    folder = scratch(docs.sparkSession, "phrases")
+    mark = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    build(docs.select(mark.alias("doc_id"), "text"), f"{folder}/index")
+    found = search(docs.sparkSession, f"{folder}/index", items, window).filter("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
+    found = stored(found, f"{folder}/found")
+    discard(docs.sparkSession, f"{folder}/index")
+    side = F.broadcast(found) if found.count() <= BROADCAST_DOCS else found.hint("merge")
+    return docs.join(side, mark == side["__hit"], "left_anti")
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Index ``docs`` in the shared scratch folder and judge each of them against ``items`` (item_id, text)."""
     folder = scratch(docs.sparkSession, "phrases")
