@@ -599,8 +599,9 @@ def o62_quantize_amounts(spark, sf):
 
 @query("SELECT o_orderkey, '平成' AS era, CAST(year(CAST(o_orderdate AS DATE)) - 1988 AS INT) AS era_year, CAST(year(CAST(o_orderdate AS DATE)) + 543 AS INT) AS buddhist_year, '平成' || (year(CAST(o_orderdate AS DATE)) - 1988) || '年' || month(CAST(o_orderdate AS DATE)) || '月' || day(CAST(o_orderdate AS DATE)) || '日' AS japanese FROM orders")
 def o63_calendar_dim(spark, sf):
-    days = tables.calendar_dim(spark, "1994-01-01", "2002-12-31")
-    return table(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date")).join(F.broadcast(days), "day").select("o_orderkey", "era", "era_year", "buddhist_year", "japanese")
+    orders = table(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    first, last = orders.agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
+    return orders.join(tables.calendar_dim(spark, first, last), "day", "left").select("o_orderkey", "era", "era_year", "buddhist_year", "japanese")
 
 
 @query("SELECT o_orderkey, day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) AND o_orderkey % 2 = 0 AS ambiguous FROM orders")

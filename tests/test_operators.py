@@ -118,3 +118,12 @@ def test_truth_files(spark, tmp_path):
 
 def test_views_have_their_fields():
     assert [f for f, _ in views.FIELDS] == queries.NAMES
+
+
+def test_calendar_spans_all_orders(spark, tmp_path):
+    rows = [(1, "1990-03-01"), (2, "2018-12-31"), (3, None), (4, "1996-02-29")]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["o_orderkey"]: (r["era_year"], r["buddhist_year"]) for r in queries.QUERIES["o63_calendar_dim"](spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 2533), 2: (30, 2561), 3: (None, None), 4: (8, 2539)}
+    spark.createDataFrame([], "o_orderkey long, o_orderdate string").write.parquet(f"{tmp_path}/none/orders.parquet")
+    assert queries.QUERIES["o63_calendar_dim"](spark, f"{tmp_path}/none").count() == 0
