@@ -520,7 +520,7 @@ def o54_normalize_text(spark, sf):
 @query("SELECT doc_id, lang, n_chars FROM documents")
 def o54_normalize_documents(spark, sf):
     own = text.normalize_text(F.col("text"))
-    return table(spark, sf, "documents").filter(own.isNotNull()).select("doc_id", "lang", "n_chars")
+    return table(spark, sf, "documents").filter(own.isNotNull() | F.col("text").isNull()).select("doc_id", "lang", "n_chars")
 
 
 @query("SELECT c_custkey, upper(replace(c_name, '-', '')) AS norm FROM customer")

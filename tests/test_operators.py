@@ -127,3 +127,8 @@ def test_calendar_spans_all_orders(spark, tmp_path):
     assert got == {1: (2, 2533), 2: (30, 2561), 3: (None, None), 4: (8, 2539)}
     spark.createDataFrame([], "o_orderkey long, o_orderdate string").write.parquet(f"{tmp_path}/none/orders.parquet")
     assert queries.QUERIES["o63_calendar_dim"](spark, f"{tmp_path}/none").count() == 0
+
+
+def test_documents_without_a_text_stay(spark, tmp_path):
+    spark.createDataFrame([(1, "A text.", "en", 7), (2, None, "en", None), (3, "", None, 0)], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["doc_id"] for r in queries.QUERIES["o54_normalize_documents"](spark, str(tmp_path)).collect()) == [1, 2, 3]
