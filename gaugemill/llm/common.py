@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that a task holds split into pieces at a time.
 SLICE_CHARS = 1 << 21
@@ -39,6 +40,11 @@ def discard(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sized(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` for a join: broadcast if its counted rows are at most ``limit``, else merged."""
+    return F.broadcast(df) if df.count() <= limit else df.hint("merge")
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -64,7 +70,3 @@ def slices(items: list, limit: int = SLICE_CHARS) -> Iterator[range]:
             at, size = i + 1, 0
     if at < len(items):
         yield range(at, len(items))
-
-
-def map_arrow(df: DataFrame, batches: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(batches, schema)

@@ -32,7 +32,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     state, step = None, 0
     while True:
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == state:
+        if now == state or not now[0]:
             break
         state, step = now, step + 1
         edges = stored(small_star(large_star(edges)), f"{folder}/{step}")

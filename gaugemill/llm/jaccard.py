@@ -10,20 +10,28 @@ Sets of sizes p and q with p q-overlap of at least ``num/den`` differ in at most
    segments are exact, how many take one-deletion neighbourhoods - is the cheapest for the band's number of documents.
    Only a set's first u + 1 non-empty exact segments count: the first one that is equal and not empty has
    a rank of at most u + 1 on both sides. Sets with fewer non-empty ones share an entry of their own.
-3. *Buckets.* Classes with a signature in common. Buckets with the same members are one. A bucket beyond ``BLOCK`` members is
-   dealt out as pairs of blocks. In a bucket, classes carry a bitmap of element parities; two bitmaps differ in at most as many
-   bits as the sets differ in elements, so pairs beyond u fall at once, and of the rest only a spanning forest is emitted.
-4. *Verification.* The forests' pairs are compared by whole sets. Where one fails, its buckets emit all their remaining pairs
-   between different components, and these are verified too: no link between components is lost.
+3. *Buckets.* Classes with a signature in common. Entries are shuffled once, and those of one class alone fall there. A signature
+   with many classes within a task's texts goes out salted, so no bucket meets in one task. Buckets with the same members are one.
+4. *Hubs.* In a bucket beyond ``BLOCK`` members every member is first compared with ``HUBS`` of them, and what links is one part
+   from there on: near copies in large groups cost work in proportion to their number. Members outside the largest part are dealt
+   out as blocks that meet each other and the blocks of the rest.
+5. *Forests.* Classes carry a bitmap of element parities; two bitmaps differ in at most as many bits as the sets differ in elements, so
+   pairs beyond u fall at once, and of the rest only a spanning forest is emitted.
+6. *Verification.* Hubs' and forests' pairs are compared by whole texts. Where one fails, its buckets emit what pairs the bitmaps
+   leave between different components, and these are verified too: no link between components is lost.
+
+Elements are 64-bit hashes of shingles, and a class is known by a 64-bit hash of its set.
 
 Results: null and empty texts, and texts without words, have an empty set and link with nothing. A text of fewer than k words is
 one shingle. Repeated rows and equal texts are linked. Rows with a null doc_id take part; the smallest id of a component skips
-nulls. Extra columns are ignored.
+nulls. Very long texts have bands of their own; a text is held whole in one task, its entries in proportion. An empty table gives
+an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +39,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugemill.llm.common import bytes_of, discard, parallelism, scratch, stored
+from gaugemill.llm.common import bytes_of, discard, parallelism, scratch, sized, stored
 from gaugemill.llm.components import components
 
-BLOCK = 1024
+#: Members of a bucket that are compared with one another in one task.
+BLOCK = 256
+#: Members of a larger bucket with which all others are compared first.
+HUBS = 8
+#: Entries that a task sorts at a time, and classes with one signature among them from which on it is salted.
+CHUNK_ENTRIES, HOT = 1_000_000, 32
+#: Documents of a task that are described at a time, and classes whose entries it needn't send again; they change no result.
+CHUNK_DOCS, SENT_KEPT = 50_000, 100_000
+#: Buckets, or rows to remove, up to whose number a table of their ids is broadcast (16 bytes each).
+BROADCAST_IDS = 1_000_000
 #: Elements that two unrelated sets of a band have in common, for the cost of their chance meetings in a bucket.
 SHARED = 1.0
 #: Segments beyond the needed ones that an allocation may spend, so that few sets have too many empty ones.
@@ -177,21 +194,98 @@ def allocated(docs: DataFrame, k: int, num: int, den: int) -> Bands:
     return Bands(num, den, longest, counts)
 
 
-def described(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """Per document doc_id, place, key (of its set; null if empty), n_shingles, bits, signatures."""
+ENTRIES = "bucket long, key long, salt int, info binary"
+MEMBERS = "bucket long, key long, doc_id long, place long, n_shingles long, bits binary"
+INFO, INFO_BYTES = "<?qqq", struct.calcsize("<?qqq")
 
-    def batches(frames):
+
+class Entries:
+    """A task's index entries: collected, sorted by signature, salted where a signature has many classes."""
+
+    def __init__(self):
+        self.buckets, self.keys, self.n = [], [], 0
+
+    def add(self, signatures: np.ndarray, key: int) -> None:
+        self.buckets.append(signatures.view(np.int64))
+        self.keys.append(key)
+        self.n += len(signatures)
+
+    def batch(self, docs: list[tuple[int, bytes]], at: int) -> pa.RecordBatch:
+        """Everything collected, and rows of documents (key, info), which ``at`` numbers."""
+        bucket = np.concatenate([np.zeros(0, np.int64), *self.buckets])
+        key = np.repeat(np.array(self.keys, np.int64), [len(b) for b in self.buckets])
+        order = np.argsort(bucket, kind="stable")
+        bucket, key = bucket[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(first, len(bucket)))
+        # the first two of a hot signature go unsalted, so that it is known to be shared wherever the rest of it goes
+        rank = np.arange(len(bucket)) - np.repeat(first, sizes)
+        hot = (np.repeat(sizes, sizes) >= HOT) & (rank >= 2)
+        salt = np.where(hot, 1 + (mixed(key.view(np.uint64)) % np.uint64(1 << 20)).astype(np.int64), 0)
+        place = mixed(np.arange(at, at + len(docs), dtype=np.uint64)).view(np.int64)
+        info = pa.array([None] * len(bucket) + [d[1] for d in docs], pa.binary())
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([bucket, place])), pa.array(np.concatenate([key, np.array([d[0] for d in docs], np.int64)])), pa.array(np.concatenate([salt, np.full(len(docs), -1)]).astype(np.int32)), info], ["bucket", "key", "salt", "info"])
+
+
+def indexed(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
+    """In one pass over the texts and one shuffle: a row (bucket, key) for each entry whose signature several classes have, and
+    one without bucket for each document: key (null if its set is empty), doc_id, place, n_shingles, bits."""
+
+    def entries(frames):
+        found, docs, sent, at = Entries(), [], set(), 0
         for frame in frames:
-            keys, sizes, bits, signs = [], [], [], []
-            for text in bytes_of(frame.column(1)):
+            for doc_id, text, place in zip(frame.column(0).to_pylist(), bytes_of(frame.column(1)), frame.column(2).to_pylist(), strict=True):
                 s = shingles(text, k)
-                sizes.append(len(s))
-                keys.append(key_of(s) if len(s) else None)
-                bits.append(bands.bitmap(s) if len(s) else None)
-                signs.append(bands.signatures(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(2), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(signs, pa.list_(pa.int64()))], ["doc_id", "place", "key", "n_shingles", "bits", "signatures"])
-
-    return docs.mapInArrow(batches, "doc_id long, place long, key long, n_shingles long, bits binary, signatures array<long>")
+                key = key_of(s) if len(s) else 0
+                docs.append((key, struct.pack(INFO, doc_id is None, doc_id or 0, place, len(s)) + (bands.bitmap(s) if len(s) else b"")))
+                if len(s) and key not in sent:
+                    sent.add(key)
+                    found.add(bands.signatures(s), key)
+                if found.n >= CHUNK_ENTRIES or len(docs) >= CHUNK_DOCS:
+                    yield found.batch(docs, at)
+                    at, docs = at + len(docs), []
+                    if len(sent) >= SENT_KEPT:  # only here, so that a class comes once in a batch
+                        sent.clear()
+        yield found.batch(docs, at)
+
+    def shared(frames):
+        held = None  # the last entry, which may go on
+        for frame in frames:
+            table = pa.Table.from_batches([frame])
+            info = table.column("info").to_pylist()
+            bucket, key, salt = (table.column(c).to_numpy() for c in ("bucket", "key", "salt"))
+            cold = np.flatnonzero(salt == 0)
+            b, o = bucket[cold], key[cold]
+            if held is not None:
+                b, o = np.concatenate([[held[0]], b]), np.concatenate([[held[1]], o])
+            new = np.concatenate([[True], (b[1:] != b[:-1]) | (o[1:] != o[:-1])]) if len(b) else np.zeros(0, bool)
+            b, o = b[new], o[new]
+            same = b[1:] == b[:-1]
+            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(b) else new
+            if len(b):  # its run may go on in the next batch; whether it is kept already is told along
+                known = bool(keep[-1]) or (held is not None and held[2] and b[-1] == held[0])
+                if held is not None and held[2]:
+                    keep[0] = True
+                    keep[1:] |= b[1:] == held[0]
+                out = np.flatnonzero(keep[:-1])
+                held, b, o = (b[-1], o[-1], known), b[out], o[out]
+            hot = np.flatnonzero(salt > 0)
+            yield rows(np.concatenate([b, bucket[hot]]), np.concatenate([o, key[hot]]), [(int(key[i]), info[i]) for i in np.flatnonzero(salt < 0)])
+        if held is not None and held[2]:
+            yield rows(np.array([held[0]]), np.array([held[1]]), [])
+
+    def rows(bucket, key, docs):
+        n = len(bucket)
+        told = [struct.unpack_from(INFO, i) for _, i in docs]
+        columns = [
+            pa.array([*bucket.tolist(), *[None] * len(docs)], pa.int64()), pa.array([*key.tolist(), *(d[0] if t[3] else None for d, t in zip(docs, told, strict=True))], pa.int64()), pa.array([None] * n + [None if t[0] else t[1] for t in told], pa.int64()),
+            pa.array([None] * n + [t[2] for t in told], pa.int64()), pa.array([None] * n + [t[3] for t in told], pa.int64()), pa.array([None] * n + [i[INFO_BYTES:] or None for _, i in docs], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "key", "doc_id", "place", "n_shingles", "bits"])
+
+    sent = docs.select("doc_id", "text", "place").mapInArrow(entries, ENTRIES).repartition(parallelism(docs.sparkSession), "bucket", "salt")
+    return sent.sortWithinPartitions("bucket", "key").mapInArrow(shared, MEMBERS)
 
 
 class Bucket:
@@ -212,7 +306,7 @@ class Bucket:
         """For class i and every other: differing bits, or -1 where they can't link or needn't be looked at here."""
         apart = np.bitwise_count(self.bits ^ self.bits[i]).sum(axis=1, dtype=np.int64)
         total = self.sizes + self.sizes[i]
-        ok = (apart <= total - 2 * -(-num * total // (num + den))) & (self.parts != self.parts[i])
+        ok = (apart <= most_apart(total, num, den)) & (self.parts != self.parts[i])
         if self.pair_of_blocks:
             ok &= self.blocks != self.blocks[i]
         ok[i] = False
@@ -237,15 +331,26 @@ class Bucket:
         return [(i, int(o), int(a[o])) for i in range(len(self.keys)) for a in [self.beyond(i, num, den)] for o in np.flatnonzero(a >= 0) if o > i]
 
 
-def candidates(members: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+def dealt(members: DataFrame, folder: str) -> DataFrame:
+    """Rows (bucket, key, size, bits, part) with the cells (low, high) of blocks in which they meet others. A bucket that is one part is left out.
+
+    Small buckets are one block. In a larger one the largest part's blocks meet only those of the other members."""
+    parts = members.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("main"))
+    large = stored(parts.filter(F.col("n") > BLOCK), f"{folder}/large")
+    one, large = sized(large.filter("n = most").select("bucket"), BROADCAST_IDS), sized(large.filter("n > most"), BROADCAST_IDS)
+    small = members.join(one, "bucket", "left_anti").join(large.select("bucket"), "bucket", "left_anti").select("bucket", "key", "size", "bits", "part", F.lit(0).alias("block"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+    own = F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")
+    rest = F.ceil(F.col("most") / BLOCK).cast("int")
+    spread = members.join(large, "bucket").withColumns({"own": own, "rest": rest, "main": F.col("part") == F.col("main")})
+    block = F.when(F.col("main"), F.col("own") + F.pmod(F.xxhash64("key"), F.col("rest"))).otherwise(F.pmod(F.xxhash64("key"), F.col("own"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("main"), F.col("own")).otherwise(F.col("own") + F.col("rest")) - 1)
+    turns = F.transform(others, lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
+    return small.unionByName(spread.withColumn("block", block).select("bucket", "key", "size", "bits", "part", "block", F.inline(turns)))
+
+
+def candidates(members: DataFrame, num: int, den: int, every: bool, folder: str) -> DataFrame:
     """Pairs (bucket, a, b) of classes that may link, from rows (bucket, key, size, bits, part); with ``every`` all of them, else a forest of each bucket."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
-    dealt = members.join(sizes.hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    # a block meets itself and each other block once
-    turns = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
-    dealt = dealt.withColumn("block", block).select("bucket", "key", "size", "bits", "part", "block", F.inline(turns))
-    dealt = dealt.repartition(parallelism(members.sparkSession), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    cells = dealt(members, folder).repartition(parallelism(members.sparkSession), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
     def batches(frames):
         held, name = [], None
@@ -264,34 +369,93 @@ def candidates(members: DataFrame, num: int, den: int, every: bool) -> DataFrame
                     out += pairs()
                     held, name = [], (bucket, low, high)
                 held.append((key, size, bits, part, own))
-            yield batch(out)
-        yield batch(pairs())
+            yield pair_batch(out)
+        yield pair_batch(pairs())
+
+    return cells.mapInArrow(batches, "bucket long, a long, b long")
+
 
-    def batch(rows):
-        columns = list(zip(*rows, strict=True)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["bucket", "a", "b"])
+def pair_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["bucket", "a", "b"])
 
-    return dealt.mapInArrow(batches, "bucket long, a long, b long")
+
+def with_hubs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (bucket, a, b) of each member of a large bucket and the likest of its hubs. Hubs are the members whose keys hash lowest, so
+    that a group's buckets mostly have the same; they are dealt out to all parts of their bucket."""
+    least = [F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("order"), "key", "size", "bits")).alias(f"hub{i}") for i in range(HUBS)]
+    hubs = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *least).filter(F.col("n") > BLOCK)
+    hubs = hubs.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), F.array_distinct(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("hubs"))
+    known = sized(hubs.select("bucket", "parts"), BROADCAST_IDS)
+    salted = members.join(known, "bucket").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts")
+    hubs = hubs.select("bucket", "hubs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    both = salted.select("bucket", "salt", "key", "size", "bits").join(hubs.hint("merge"), ["bucket", "salt"]).select("bucket", "key", "size", "bits", "hubs")
+
+    def batches(frames):
+        for frame in frames:
+            out = []
+            for bucket, key, size, bits, hubs in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+                others = [h for h in hubs if h["key"] != key]
+                if len(others) < len(hubs):  # a hub meets all the others
+                    out += [(bucket, min(key, h["key"]), max(key, h["key"])) for h in others if parities(bits, h["bits"]) <= most_apart(size + h["size"], num, den)]
+                    continue
+                apart, near = min(((parities(bits, h["bits"]) - most_apart(size + h["size"], num, den), h["key"]) for h in others), default=(1, 0))
+                if apart <= 0:
+                    out.append((bucket, min(key, near), max(key, near)))
+            yield pair_batch(out)
+
+    return both.mapInArrow(batches, "bucket long, a long, b long")
+
+
+def most_apart(total, num: int, den: int):
+    """The most elements in which linked sets of together ``total`` elements differ."""
+    return total - 2 * -(-num * total // (num + den))
+
+
+def parities(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ, folded to the width of the narrower one."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def met(pairs: DataFrame, texts: DataFrame, own: str, other: str, name: str) -> DataFrame:
+    """``pairs`` with the text of their class ``own`` as ``name``. A class with very many pairs is dealt out to several tasks."""
+    hot = sized(pairs.groupBy(own).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).filter("parts > 1"), BROADCAST_IDS)
+    left = pairs.join(hot, own, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    right = texts.select(F.col("key").alias(own), F.col("text").alias(name)).join(hot, own, "left")
+    right = right.select(own, name, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+    return left.join(right.hint("merge"), [own, "salt"]).drop("salt")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, folder: str) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``, by whole sets; these are made anew from one document of each class."""
+    """``pairs`` (a, b) with ``linked``, by the whole texts of one document of each class."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep", "place").hint("merge"), "key").select("key", "rep", "place"), f"{folder}/wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted.hint("merge")
+    if wanted.isEmpty():
+        return docs.sparkSession.createDataFrame([], "a long, b long, linked boolean")
+    side = sized(wanted, BROADCAST_CLASSES)
     own = docs["doc_id"].eqNullSafe(side["rep"]) & (docs["place"] == side["place"])
-    picked = docs.join(side, own).select("key", "text")
+    texts = stored(docs.join(side, own).select("key", "text"), f"{folder}/texts")
+    if texts.count() > wanted.count():  # rows of the same id and text
+        texts = texts.dropDuplicates(["key"])
+    both = met(met(pairs.select("a", "b"), texts, "a", "b", "x"), texts, "b", "a", "y").select("a", "b", "x", "y")
 
-    def sets(frames):
+    def judge(frames):
+        name, x = None, None
         for frame in frames:
-            found = [(key, s) for key, text in zip(frame.column(0).to_pylist(), bytes_of(frame.column(1)), strict=True) for s in [shingles(text, k)] if key_of(s) == key]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1].view(np.int64) for f in found], pa.list_(pa.int64()))], ["key", "elements"])
+            linked = []
+            for a, left, right in zip(frame.column(0).to_pylist(), bytes_of(frame.column(2)), bytes_of(frame.column(3)), strict=True):
+                if a != name:
+                    name, x = a, shingles(left, k)
+                y = shingles(right, k)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(den * common >= num * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    elements = stored(picked.mapInArrow(sets, "key long, elements array<long>").dropDuplicates(["key"]), f"{folder}/elements")
-    left = elements.select(F.col("key").alias("a"), F.col("elements").alias("x"))
-    right = elements.select(F.col("key").alias("b"), F.col("elements").alias("y"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (den * common >= num * (F.size("x") + F.size("y") - common)).alias("linked"))
+    return both.mapInArrow(judge, "a long, b long, linked boolean")
 
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -300,12 +464,24 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
 
 
 def one_of_each(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest doc_id. Documents without words all stay, but for repeated rows."""
-    found = linked(docs, k, num, den).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("doc_id", "component").agg(F.min("place").alias("__place")).select(F.col("doc_id").alias("__id"), "__place").distinct()
-    marked = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    own = marked["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (marked["__own"] == kept["__place"])
-    return marked.join(kept.hint("merge"), own, "left_semi").dropDuplicates(["doc_id", "__own"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row of each component: that with the smallest doc_id. Documents without words all stay, but for repeated rows.
+
+    Texts are shuffled only where a row is repeated, or where more than ``BROADCAST_IDS`` rows go."""
+    folder = scratch(docs.sparkSession, "one")
+    found = linked(docs, k, num, den)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    best = found.filter(stays).groupBy("doc_id", "component").agg(F.min("place").alias("best"))
+    best = best.select(F.col("doc_id").alias("id"), F.col("best").alias("place")).distinct()
+    rows = stored(found.groupBy(F.col("doc_id").alias("id"), "place").agg(F.count(F.lit(1)).alias("n")), f"{folder}/rows")
+    same = rows["id"].eqNullSafe(best["id"]) & (rows["place"] == best["place"])
+    gone = sized(stored(rows.join(best.hint("merge"), same, "left_anti").select("id", "place"), f"{folder}/gone"), BROADCAST_IDS)
+    same = rows["id"].eqNullSafe(best["id"]) & (rows["place"] == best["place"])
+    twice = sized(stored(rows.filter("n > 1").join(best.hint("merge"), same, "left_semi").select("id", "place"), f"{folder}/twice"), BROADCAST_IDS)
+    own, place = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    is_one = lambda side: own.eqNullSafe(side["id"]) & (place == side["place"])
+    kept = docs.join(gone, is_one(gone), "left_anti")
+    once = kept.join(twice, is_one(twice), "left_anti")
+    return once.unionByName(kept.join(twice, is_one(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -315,33 +491,40 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("place", F.xxhash64("text"))  # tells rows of one doc_id apart
     bands = allocated(docs, k, num, den)
-    found = stored(described(docs, k, bands), f"{folder}/described")
+    index = stored(indexed(docs, k, bands), f"{folder}/index")
+    found = index.filter("bucket is null").drop("bucket")
     filled = found.filter("key is not null")
     classes = filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("place", "doc_id"), F.min("place")).alias("place"), F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
     classes = stored(classes, f"{folder}/classes")
 
-    entries = filled.select("key", F.explode("signatures").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least <> most").select("bucket")
-    shared = stored(shared, f"{folder}/shared")
-    members = stored(entries.join(shared.hint("merge"), "bucket").distinct(), f"{folder}/entries")
-    # buckets of the same classes are one
-    same = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
-    members = members.join(same.select("bucket").hint("merge"), "bucket", "left_semi")
-    members = stored(members.join(classes.hint("merge"), "key").select("bucket", "key", "size", "bits", F.col("key").alias("part")), f"{folder}/members")
-    discard(spark, f"{folder}/shared", f"{folder}/entries")
-
-    emitted = stored(candidates(members, num, den, every=False), f"{folder}/forest")
-    judged = stored(verified(emitted.select("a", "b").distinct(), docs, classes, k, num, den, f"{folder}/first"), f"{folder}/judged")
+    entries = stored(index.filter("bucket is not null").select("bucket", "key").distinct(), f"{folder}/entries")
+    # buckets of the same classes are one; the few large ones are told apart by a table that is sent to their members
+    sums = stored(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")), f"{folder}/sums")
+    kept = sums.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).filter("n > 1")
+    large = sized(sums.filter(F.col("n") > BLOCK).select("bucket"), BROADCAST_IDS)
+    small = entries.join(large, "bucket", "left_anti").join(kept.filter(F.col("n") <= BLOCK).select("bucket").hint("merge"), "bucket", "left_semi")
+    members = small.unionByName(entries.join(sized(kept.filter(F.col("n") > BLOCK).select("bucket"), BROADCAST_IDS), "bucket", "left_semi"))
+    members = stored(members.join(classes.hint("merge"), "key").select("bucket", "key", "size", "bits"), f"{folder}/members")
+    discard(spark, f"{folder}/entries", f"{folder}/sums")
+
+    first = stored(with_hubs(members, num, den), f"{folder}/hubs")
+    judged = stored(verified(first.select("a", "b").distinct(), docs, classes, k, num, den, f"{folder}/first"), f"{folder}/judged0")
+    links = judged.filter("linked").select("a", "b")
+    parts = stored(components(links, f"{folder}/parts0"), f"{folder}/part0")
+    # what hubs have shown needn't be shown again
+    emitted = stored(candidates(in_parts(members, parts), num, den, False, f"{folder}/second"), f"{folder}/forest")
+    fresh = emitted.select("a", "b").distinct().join(judged.hint("merge"), ["a", "b"], "left_anti")
+    judged = judged.unionByName(stored(verified(fresh, docs, classes, k, num, den, f"{folder}/second"), f"{folder}/judged"))
     links = judged.filter("linked").select("a", "b")
     parts = stored(components(links, f"{folder}/parts"), f"{folder}/part")
+    discard(spark, f"{folder}/first", f"{folder}/second")
 
     # where a pair of a forest failed, look at all pairs between the components so far
-    open_buckets = emitted.join(judged.filter("not linked").hint("merge"), ["a", "b"]).select("bucket").distinct()
-    again = members.join(open_buckets.hint("merge"), "bucket", "left_semi").drop("part").join(parts.withColumnRenamed("node", "key").hint("merge"), "key", "left")
-    again = again.select("bucket", "key", "size", "bits", F.coalesce("component", "key").alias("part"))
-    rest = candidates(again, num, den, every=True).select("a", "b").distinct().join(judged.hint("merge"), ["a", "b"], "left_anti")
+    open_buckets = sized(emitted.join(judged.filter("not linked").hint("merge"), ["a", "b"]).select("bucket").distinct(), BROADCAST_IDS)
+    again = in_parts(members.join(open_buckets, "bucket", "left_semi"), parts)
+    rest = candidates(again, num, den, True, f"{folder}/third").select("a", "b").distinct().join(judged.hint("merge"), ["a", "b"], "left_anti")
     rest = stored(rest, f"{folder}/rest")
-    late = verified(rest, docs, classes, k, num, den, f"{folder}/second").filter("linked").select("a", "b")
+    late = verified(rest, docs, classes, k, num, den, f"{folder}/third").filter("linked").select("a", "b")
     parts = stored(components(links.unionByName(late), f"{folder}/all"), f"{folder}/component")
 
     named = classes.select("key", "rep").join(parts.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -350,5 +533,10 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     own = filled.select("doc_id", "place", "key", "n_shingles").join(named.hint("merge"), "key").drop("key")
     empty = found.filter("key is null").select("doc_id", "place", "n_shingles", F.col("place").alias("component"), F.col("doc_id").alias("component_id"))
     result = stored(own.unionByName(empty), f"{folder}/result")
-    discard(spark, *(f"{folder}/{x}" for x in ("described", "classes", "members", "forest", "first", "judged", "parts", "part", "rest", "second", "all", "component")))
+    discard(spark, *(f"{folder}/{x}" for x in ("index", "classes", "members", "hubs", "forest", "judged0", "judged", "parts0", "part0", "parts", "part", "rest", "third", "all", "component")))
     return result
+
+
+def in_parts(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """``members`` with the component of their class, or the class itself."""
+    return members.join(parts.withColumnRenamed("node", "key").hint("merge"), "key", "left").select("bucket", "key", "size", "bits", F.coalesce("component", "key").alias("part"))
