@@ -70,3 +70,11 @@ def slices(items: list, limit: int = SLICE_CHARS) -> Iterator[range]:
             at, size = i + 1, 0
     if at < len(items):
         yield range(at, len(items))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it none of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

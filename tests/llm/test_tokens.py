@@ -55,11 +55,18 @@ def test_any_text(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("abs Aé,.'1日\t\n   \xa0\xa0\x85\u2003\u3000\x1c\u200b"), max_size=60))
 def test_any_count(text):
-    for chunk, overlap in ((32_768, 512), (16, 3)):
+    for chunk, overlap in ((32_768, 512), (300, 20), (20, 4), (16, 3)):
         one = token_counts.loaded(BYTE, chunk, overlap)
         assert one.counts([text]) == [len(one.library.encode(text, add_special_tokens=False).ids)]
 
 
+def test_huge_texts_without_a_place_to_splice():
+    one = token_counts.loaded(BYTE, 4096, 256)
+    texts = ["x" * 60_000, "\xa0 " * 20_000, "ab" * 3000 + " " + "word " * 3000 + "é" * 9000, " " * 30_000 + "y"]
+    assert one.counts(texts) == [len(one.library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert one.widened
+
+
 @pytest.mark.parametrize("text", ["x" + " \xa0" * 4 + " y", "x\xa0 ", "x \xa0\xa0 \xa0\xa0 y", "a\xa0 b\xa0\n\xa0 c \u3000 d", "\xa0 " * 50 + "z"])
 def test_white_space_of_both_kinds(text):
     for chunk, overlap in ((32_768, 512), (16, 3)):
