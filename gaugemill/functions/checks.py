@@ -18,7 +18,6 @@ def characters(c: Column, first: int, last: int) -> Column:
     return F.split(F.substring(c, first + 1, last - first + 1), "")
 
 
-
 def value_at(alphabet: str, c: Column) -> Column:
     return F.position(c, F.lit(alphabet)) - 1
 
@@ -45,6 +44,17 @@ def valid_clabe(c: Column) -> Column:
     return F.when(c.rlike("^[0-9]{18}$"), ((10 - total % 10) % 10) == F.substring(c, 18, 1).try_cast("int")).otherwise(False)
 
 
+def make_iban(country: str, bban: Column) -> Column:
+    """An account with its two check digits; ``bban`` is digits and upper-case letters."""
+    return F.concat(F.lit(country), F.lpad((98 - mod97(F.concat(bban, F.lit(f"{country}00")))).cast("string"), 2, "0"), bban)
+
+
+def make_clabe(first: Column) -> Column:
+    """Seventeen digits and their check digit."""
+    total = weighted(characters(first, 0, 16), "0123456789", (3, 7, 1) * 5 + (3, 7))
+    return F.concat(first, ((10 - total % 10) % 10).cast("string"))
+
+
 def valid_account(c: Column) -> Column:
     return c.isNull() | valid_iban(c) | valid_clabe(c)
 

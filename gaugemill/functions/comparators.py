@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugemill.functions.amounts import half_even, parse_amount
 from gaugemill.functions.dates import parse_date
-from gaugemill.functions.text import fold_digits, normalize_identifier, normalize_text
+from gaugemill.functions.text import bind, fold_digits, normalize_identifier, normalize_text, normalize_texts
 
 #: name -> (truth, answer, context) -> whether two given values agree; null counts as no.
 Builder = Callable[[Column, Column, dict[str, Column]], Column]
@@ -56,10 +56,8 @@ def name(truth: Column, answer: Column, ctx: dict[str, Column]) -> Column:
     own = exact(truth, answer, ctx)
     if "alternates" not in ctx:
         return own
-    # alternates are joined by a character that no normal form keeps, so that one call normalises them all
-    wanted = normalize_text(answer, "ascii" in ctx)
-    given = F.transform(F.filter(ctx["alternates"], lambda a: a != ""), lambda a: F.regexp_replace(F.trim(F.regexp_replace(F.lower(a), r"\s+", " ")), r"[.,;:]+$", ""))
-    return own | F.coalesce(F.array_contains(given, wanted), F.lit(False))
+    given = normalize_texts(F.filter(ctx["alternates"], lambda a: a != ""), "ascii" in ctx)
+    return own | F.coalesce(F.array_contains(F.filter(given, lambda a: a != ""), normalize_text(answer, "ascii" in ctx)), F.lit(False))
 
 
 def identifier(truth: Column, answer: Column, ctx: dict[str, Column]) -> Column:
@@ -72,7 +70,7 @@ def date(truth: Column, answer: Column, ctx: dict[str, Column]) -> Column:
 
 def amount(truth: Column, answer: Column, ctx: dict[str, Column]) -> Column:
     """Equal after rounding half-even to the currency's minor units."""
-    minor = ctx.get("minor_units", F.lit(2))
+    minor = ctx.get("minor_units", 2)
     return half_even(parse_amount(truth), minor) == half_even(parse_amount(answer), minor)
 
 
@@ -81,13 +79,13 @@ def rate_set(truth: Column, answer: Column, ctx: dict[str, Column]) -> Column:
 
     def members(c: Column) -> Column:
         read = F.transform(F.from_json(c, "array<string>"), parse_amount)
-        return F.when(c.rlike(r"^\s*\[") & ~F.exists(read, lambda x: x.isNull()), F.array_sort(F.array_distinct(read)))
+        return bind(read, lambda r: F.when(c.rlike(r"^\s*\[") & ~F.exists(r, lambda x: x.isNull()), F.array_sort(F.array_distinct(r))))
 
     return members(truth) == members(answer)
 
 
 def integer(truth: Column, answer: Column, ctx: dict[str, Column]) -> Column:
-    read = lambda c: F.when(F.trim(fold_digits(c)).rlike("^[+-]?[0-9]+$"), F.trim(fold_digits(c)).try_cast("bigint"))
+    read = lambda c: bind(F.trim(fold_digits(c)), lambda s: F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("bigint")))
     return read(truth) == read(answer)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +23,11 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+def bind(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def fold_digits(c: Column) -> Column:
     return F.translate(c, ARABIC_INDIC, ASCII_DIGITS)
 
@@ -34,10 +40,24 @@ def folded(c: Column, ascii_only: bool = False) -> Column:
     return F.lower(c) if ascii_only else nfkc_casefold(c)
 
 
+def tidied(c: Column) -> Column:
+    """One space for white space, trimmed, without trailing marks."""
+    return F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"[.,;:]+$", "")
+
+
 def normalize_text(c: Column, ascii_only: bool = False) -> Column:
     """NFKC, casefold, one space for white space, trimmed, without trailing marks."""
-    spaced = F.trim(F.regexp_replace(folded(c, ascii_only), r"\s+", " "))
-    return F.regexp_replace(spaced, r"[.,;:]+$", "")
+    return tidied(folded(c, ascii_only))
+
+
+#: A private character that stands between texts that are folded together.
+BETWEEN = "\ue000"
+
+
+def normalize_texts(texts: Column, ascii_only: bool = False) -> Column:
+    """``normalize_text`` of an array's texts, folded in one call; nulls are left out."""
+    joined = F.array_join(F.transform(texts, lambda t: F.translate(t, BETWEEN, "")), BETWEEN)
+    return F.transform(F.split(folded(joined, ascii_only), BETWEEN), tidied)
 
 
 def normalize_identifier(c: Column, ascii_only: bool = False) -> Column:

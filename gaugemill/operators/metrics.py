@@ -79,14 +79,14 @@ def dimension_coords(documents: DataFrame, dimensions: Sequence[str], key: str =
 
 def summarize_slices(units: DataFrame, coords: DataFrame, key: str = "doc_id") -> DataFrame:
     """``summarize`` for each (tool, dimension, value), one dimension at a time."""
-    return summarize(units.join(coords, key), ("tool", "dimension", "value"))
+    return summarize(units.join(coords.hint("merge"), key), ("tool", "dimension", "value"))
 
 
 def run_summary(units: DataFrame, responses: DataFrame, known: DataFrame, on: Sequence[str] = ("tool", "doc_id")) -> DataFrame:
     """Per tool documents, cached (answered before, without error), new and failed."""
     before = known.filter("error is null").select(*on).distinct().withColumn("__before", F.lit(True))
     now = responses.select(*on, F.col("error").isNotNull().alias("__failed"))
-    joined = units.join(before, list(on), "left").join(now, list(on), "left")
+    joined = units.join(before.hint("merge"), list(on), "left").join(now.hint("merge"), list(on), "left")
     fresh = F.col("__before").isNull() & F.col("__failed").isNotNull()
     return joined.groupBy("tool").agg(F.count(F.lit(1)).alias("documents"), F.count_if("__before").alias("cached"), F.count_if(fresh & ~F.col("__failed")).alias("new"), F.count_if(fresh & F.col("__failed")).alias("failed"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugemill.functions.dates import CONVENTIONS, localize_date
-from gaugemill.functions.text import extract_rates
+from gaugemill.functions.text import bind, extract_rates
 
 #: Label types of expense payloads by field, with their priority (a lower number wins).
 EXPENSE_FIELDS = (
@@ -18,9 +18,8 @@ EXPENSE_FIELDS = (
 )
 CURRENCY_FIELDS = (("TOTAL", 0), ("SUBTOTAL", 1), ("TAX", 2))
 SELLER_WORDS = "vendor|seller|supplier|from|remit"
-EXPENSE_SCHEMA = """ExpenseDocuments array<struct<
-  SummaryFields: array<struct<Type: struct<Text: string>, LabelDetection: struct<Text: string>, ValueDetection: struct<Text: string>, Currency: struct<Code: string>>>,
-  LineItemGroups: array<struct<LineItems: array<string>>>>>"""
+SUMMARY_FIELDS = "array<struct<Type: struct<Text: string>, LabelDetection: struct<Text: string>, ValueDetection: struct<Text: string>, Currency: struct<Code: string>>>"
+EXPENSE_SCHEMA = f"ExpenseDocuments array<struct<SummaryFields: {SUMMARY_FIELDS}, LineItemGroups: array<struct<LineItems: array<string>>>>>"
 
 
 def answer_text(raw: Column) -> Column:
@@ -49,24 +48,33 @@ def canonicalize_chat(responses: DataFrame, fields: Sequence[str], count_field:
 
 
 def canonicalize_expense(responses: DataFrame) -> DataFrame:
-    """(tool, doc_id, raw) to one row with the fields of ``EXPENSE_FIELDS``, currency, tax_rates and line_item_count.
-
-    For each field the lowest priority, then the first position wins; a value must be there."""
-    keys = ["tool", "doc_id"]
-    read = responses.select(*keys, F.from_json("raw", EXPENSE_SCHEMA).alias("p")).select(*keys, F.posexplode_outer("p.ExpenseDocuments").alias("d", "doc"))
-    fields = read.select(*keys, "d", F.posexplode("doc.SummaryFields").alias("i", "f")).select(
-        *keys, F.struct("d", "i").alias("pos"), F.upper("f.Type.Text").alias("kind"), F.lower(F.coalesce("f.LabelDetection.Text", F.lit(""))).alias("label"), F.col("f.ValueDetection.Text").alias("value"), F.col("f.Currency.Code").alias("code")
-    )
-    fields = fields.filter("value is not null")
-    choose = lambda rows: F.coalesce(*[F.when(F.col("kind") == k, F.struct(F.lit(f).alias("field"), F.lit(p).alias("priority"))) for k, f, p in rows])
-    named = F.when((F.col("kind") == "NAME") & F.col("label").rlike(SELLER_WORDS), F.struct(F.lit("vendor_name").alias("field"), F.lit(0).alias("priority")))
-    convention = F.element_at(F.create_map(*[F.lit(x) for kv in CONVENTIONS.items() for x in kv]), F.upper(F.substring(F.col("doc_id").cast("string"), 1, 2)))
-    mapped = fields.withColumn("m", F.coalesce(choose(EXPENSE_FIELDS), named)).filter("m is not null").select(*keys, "pos", "m.field", "m.priority", F.when(F.col("m.field").isin("invoice_date", "due_date"), localize_date(F.col("value"), convention)).otherwise(F.col("value")).alias("value"))
-    money = fields.filter("code is not null and code <> ''").withColumn("m", choose([(k, "currency", p) for k, p in CURRENCY_FIELDS])).filter("m is not null").select(*keys, "pos", "m.field", "m.priority", F.col("code").alias("value"))
-    names = list(dict.fromkeys(f for _, f, _ in EXPENSE_FIELDS)) + ["currency"]
-    best = mapped.unionByName(money).groupBy(*keys, "field").agg(F.min_by("value", F.struct("priority", "pos")).alias("value"))
-    wide = best.groupBy(*keys).pivot("field", names).agg(F.first("value"))
-    rates = fields.filter("kind = 'TAX'").select(*keys, F.explode(extract_rates(F.col("label"))).alias("rate")).groupBy(*keys).agg(F.array_sort(F.collect_set("rate")).alias("tax_rates"))
-    items = F.aggregate("doc.LineItemGroups", F.lit(0), lambda acc, g: acc + F.coalesce(F.size(g["LineItems"]), F.lit(0)))
-    counts = read.select(*keys, "d", F.coalesce(items, F.lit(0)).alias("n")).filter("n > 0").groupBy(*keys).agg(F.min_by("n", "d").alias("line_item_count"))
-    return responses.select(*keys).distinct().join(wide, keys, "left").join(rates, keys, "left").join(counts, keys, "left")
+    """(tool, doc_id, raw) to the fields of ``EXPENSE_FIELDS``, currency, tax_rates and line_item_count, row by row: nothing is shuffled.
+
+    For each field the lowest priority, then the first position wins; a value must be there. Unreadable text gives nulls."""
+    country = F.upper(F.substring(F.col("doc_id").cast("string"), 1, 2))
+    convention = F.element_at(F.create_map(*[F.lit(x) for kv in CONVENTIONS.items() for x in kv]), country)
+    parts = F.coalesce(F.from_json("raw", EXPENSE_SCHEMA)["ExpenseDocuments"], F.array().cast(EXPENSE_SCHEMA.split(" ", 1)[1]))
+
+    def entry(f: Column, place: Column) -> Column:
+        label = F.lower(F.coalesce(f["LabelDetection"]["Text"], F.lit("")))
+        kind = F.upper(f["Type"]["Text"])
+        kind = F.when((kind == "NAME") & label.rlike(SELLER_WORDS), "seller").otherwise(kind)
+        return F.struct(place.alias("place"), kind.alias("kind"), label.alias("label"), f["ValueDetection"]["Text"].alias("value"), F.nullif(f["Currency"]["Code"], F.lit("")).alias("code"))
+
+    entries = F.flatten(F.transform("parts", lambda d: F.coalesce(d["SummaryFields"], F.array().cast(SUMMARY_FIELDS))))
+    counts = F.transform("parts", lambda d: F.aggregate(F.coalesce(d["LineItemGroups"], F.array().cast("array<struct<LineItems:array<string>>>")), F.lit(0), lambda acc, g: acc + F.coalesce(F.size(g["LineItems"]), F.lit(0))))
+    read = responses.select("tool", "doc_id", parts.alias("parts")).select("tool", "doc_id", F.filter(F.transform(entries, entry), lambda e: e["value"].isNotNull()).alias("entries"), F.get(F.filter(counts, lambda n: n > 0), F.lit(0)).alias("line_item_count"))
+
+    def best(ranks: dict[str, int], value: str) -> Column:
+        rank = lambda e: F.coalesce(*[F.when(e["kind"] == k, F.lit(p)) for k, p in ranks.items()])
+        given = F.filter("entries", lambda e: e["kind"].isin(list(ranks)) & e[value].isNotNull())
+        return F.array_min(F.transform(given, lambda e: F.struct(rank(e), e["place"], e[value].alias("value"))))["value"]
+
+    fields: dict[str, dict[str, int]] = {}
+    for kind, field, priority in (*EXPENSE_FIELDS, ("seller", "vendor_name", 0)):
+        fields.setdefault(field, {})[kind] = priority
+    found = {f: best(ranks, "value") for f, ranks in fields.items()} | {"currency": best(dict(CURRENCY_FIELDS), "code")}
+    found |= {f: localize_date(found[f], convention) for f in ("invoice_date", "due_date")}
+    rates = F.flatten(F.transform(F.filter("entries", lambda e: e["kind"] == "TAX"), lambda e: extract_rates(e["label"])))
+    rates = bind(F.array_sort(F.array_distinct(rates)), lambda r: F.when(F.size(r) > 0, r))
+    return read.select("tool", "doc_id", *[c.alias(f) for f, c in found.items()], rates.alias("tax_rates"), "line_item_count")

@@ -50,6 +50,12 @@ def unpivot_prediction(answers: DataFrame, fields: Sequence[str], keys: Sequence
     return unpivot(answers, keys, fields, "answer")
 
 
+def long_rows(wide: DataFrame, fields: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Rows with truth_<field> and answer_<field> to one row a field: keys, field_seq, field, truth, answer. No shuffle."""
+    rows = F.array(*[F.struct(F.lit(i).alias("field_seq"), F.lit(f).alias("field"), F.col(f"truth_{f}").cast("string").alias("truth"), F.col(f"answer_{f}").cast("string").alias("answer")) for i, f in enumerate(fields, 1)])
+    return wide.select(*keys, F.inline(rows))
+
+
 def drop_unscored(pairs: DataFrame) -> DataFrame:
     """Pairs whose field its document lists as unscored leave every denominator."""
     return pairs.filter(~F.array_contains("unscored_fields", F.col("field")))
@@ -59,13 +65,13 @@ def pair_units(files: DataFrame, tools: DataFrame, responses: DataFrame, on: Seq
     """Every tool with every file, and its response where there is one; ``status`` is skipped, failed or answered. ``tools`` is a short configured list."""
     grid = files.crossJoin(F.broadcast(tools))
     marked = responses.withColumn("__there", F.lit(True))
-    joined = grid.join(marked, list(on), "left")
+    joined = grid.join(marked.hint("merge"), list(on), "left")
     return joined.withColumn("status", F.when(F.col("__there").isNull(), "skipped").when(F.col("error").isNotNull(), "failed").otherwise("answered")).drop("__there")
 
 
 def align(truth_long: DataFrame, answers_long: DataFrame, on: Sequence[str]) -> DataFrame:
     """Each truth row with its answer, null where there is none."""
-    return truth_long.join(answers_long, list(on), "left")
+    return truth_long.join(answers_long.hint("merge"), list(on), "left")
 
 
 def attach_context(pairs: DataFrame, minor_units: DataFrame) -> DataFrame:
@@ -75,7 +81,7 @@ def attach_context(pairs: DataFrame, minor_units: DataFrame) -> DataFrame:
 
 def pending_work(units: DataFrame, responses: DataFrame, on: Sequence[str] = ("tool", "doc_id")) -> DataFrame:
     """Units without a response, or whose response has an error."""
-    return units.join(responses.filter("error is null").select(*on).distinct(), list(on), "left_anti")
+    return units.join(responses.filter("error is null").select(*on).distinct().hint("merge"), list(on), "left_anti")
 
 
 def reconcile(manifest: DataFrame, truth: DataFrame) -> DataFrame:
@@ -100,12 +106,15 @@ def score_pairs(pairs: DataFrame, registry: dict[str, str], context: dict[str, C
     return pairs.withColumn("outcome", outcome(names, which, F.col("truth"), F.col("answer"), context or {}, F.col("error")))
 
 
-def score_wide(units: DataFrame, registry: dict[str, str], context: dict[str, Column] | None = None) -> DataFrame:
-    """Add a struct ``outcomes`` (an outcome a field) to rows with truth_<field>, answer_<field>, error and unscored_fields; null where unscored."""
+def score_wide(units: DataFrame, registry: dict[str, str], context: dict[str, Column] | None = None, alternates: str | None = None) -> DataFrame:
+    """Add a struct ``outcomes`` (an outcome a field) to rows with truth_<field>, answer_<field>, error and unscored_fields; null where unscored.
+
+    ``alternates`` names a column map<field, array<string>> of other right answers."""
 
     def one(field: str) -> Column:
         truth, answer = F.col(f"truth_{field}").cast("string"), F.col(f"answer_{field}").cast("string")
-        judged = F.when(F.col("error").isNotNull(), "incorrect").otherwise(null_rule(truth, answer, comparator(registry[field])(truth, answer, context or {})))
+        given = (context or {}) | ({"alternates": F.element_at(alternates, field)} if alternates and registry[field] == "name" else {})
+        judged = F.when(F.col("error").isNotNull(), "incorrect").otherwise(null_rule(truth, answer, comparator(registry[field])(truth, answer, given)))
         return F.when(~F.array_contains("unscored_fields", field), judged).alias(field)
 
     return units.withColumn("outcomes", F.struct(*[one(f) for f in registry]))

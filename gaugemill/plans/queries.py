@@ -38,26 +38,33 @@ def views(sql: str):
 # ---- the scored views
 
 
-def wide(spark: SparkSession, sf: str) -> DataFrame:
-    """Units with truth and answers side by side, and their outcomes."""
-    d = docs(spark, sf).cache()  # read for the truth and for the planted answers
+def answered(spark: SparkSession, sf: str) -> DataFrame:
+    """Units with truth and answers side by side: the join of responses and truth is the scoring's one shuffle."""
+    d = docs(spark, sf)
     truth = d.select("doc_id", "unscored_fields", *[(F.date_format(f, "yyyy-MM-dd") if k == "date" else F.col(f).cast("string")).alias(f"truth_{f}") for f, k in FIELDS])
     answers = responses(d).select(*UNIT, "error", "latency_ms", "cost_usd", *[F.col(f).alias(f"answer_{f}") for f in NAMES])
-    return scoring.score_wide(answers.join(truth, "doc_id"), dict(FIELDS), ASCII)
+    return answers.join(truth.hint("merge"), "doc_id")
+
+
+def wide(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.score_wide(answered(spark, sf), dict(FIELDS), ASCII)
 
 
 def units(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.unit_rows(wide(spark, sf), NAMES, UNIT)
 
 
+def stored_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Units written once, for queries that read them several times."""
+    path, u = scratch(spark, "units"), units(spark, sf)
+    u.write.parquet(path)
+    return spark.read.schema(u.schema).parquet(path)
+
+
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """The long form with outcomes, from the long comparators."""
-    d = docs(spark, sf).cache()
-    truth = scoring.unpivot_truth(d, NAMES, ("doc_id", "unscored_fields"))
-    r = responses(d)
-    answers = scoring.unpivot_prediction(r, NAMES, (*UNIT, "error"))
-    long = scoring.align(scoring.drop_unscored(truth).drop("field_seq").join(r.select("tool", "doc_id"), "doc_id"), answers, ("tool", "doc_id", "field"))
-    return scoring.score_pairs(long, dict(FIELDS), ASCII)
+    long = scoring.long_rows(answered(spark, sf), NAMES, (*UNIT, "error", "unscored_fields"))
+    return scoring.score_pairs(scoring.drop_unscored(long).drop("unscored_fields", "field_seq"), dict(FIELDS), ASCII)
 
 
 def summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +154,7 @@ def o04_lookup_tables(spark, sf):
 @query(SUMMARY + " SELECT tool, n_units, n_exact, (SELECT count(*) FROM pairs WHERE outcome <> 'correct') AS n_failures FROM summary")
 def o05_write_results(spark, sf):
     path = scratch(spark, "results")
-    u, p = units(spark, sf).cache(), pairs(spark, sf)
+    u, p = stored_units(spark, sf), pairs(spark, sf)
     cut = metrics.summarize_slices(u.drop("variant"), metrics.dimension_coords(docs(spark, sf), DIMENSIONS))
     tables.write_results(metrics.summarize(u), cut, u, scoring.failures(p), path, "2026.1", "public")
     n = spark.read.text(f"{path}/2026.1/public/failures").agg(F.count(F.lit(1)).alias("n_failures"))
@@ -176,9 +183,12 @@ def o08_select_units(spark, sf):
     return scoring.select_units(docs(spark, sf).select("doc_id", "variant"), [t for t, _ in TOOLS], tools="t_a, t_c, t_x", variants="1-URGENT,5-LOW", limit=500, strict=False).select("tool", "doc_id", "variant")
 
 
-@views("SELECT DISTINCT doc_id, field_seq, field, truth FROM long")
+TRUTHS = ", truths AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS field_seq, '{f}' AS field, {f'strftime({f}, {chr(39)}%Y-%m-%d{chr(39)})' if k == 'date' else f'CAST({f} AS VARCHAR)'} AS truth, {'unscored' if f == 'line_item_count' else 'false'} AS unscored FROM docs" for i, (f, k) in enumerate(FIELDS, 1)) + ")"
+
+
+@views(TRUTHS + " SELECT doc_id, field_seq, field, truth FROM truths")
 def o09_unpivot_truth(spark, sf):
-    return scoring.unpivot_truth(docs(spark, sf).filter("doc_id % 97 <> 3"), NAMES)
+    return scoring.unpivot_truth(docs(spark, sf), NAMES)
 
 
 @views("SELECT tool, doc_id, field_seq, field, answer FROM long")
@@ -191,9 +201,9 @@ def o11_dimension_coords(spark, sf):
     return metrics.dimension_coords(docs(spark, sf), DIMENSIONS)
 
 
-@views("SELECT field, count(*) AS n FROM (SELECT DISTINCT doc_id, field FROM long WHERE NOT unscored) GROUP BY field")
+@views(TRUTHS + " SELECT field, count(*) AS n FROM truths WHERE NOT unscored GROUP BY field")
 def o12_drop_unscored(spark, sf):
-    d = docs(spark, sf).filter("doc_id % 97 <> 3")
+    d = docs(spark, sf)
     return scoring.drop_unscored(scoring.unpivot_truth(d, NAMES, ("doc_id", "unscored_fields"))).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -215,7 +225,7 @@ def o14_pair_units(spark, sf):
 def o15_align(spark, sf):
     d = docs(spark, sf)
     r = responses(d)
-    truth = scoring.unpivot_truth(d, NAMES).join(r.select("tool", "doc_id"), "doc_id")
+    truth = scoring.unpivot_truth(d, NAMES).join(r.select("tool", "doc_id").hint("merge"), "doc_id")
     return scoring.align(truth, scoring.unpivot_prediction(r, NAMES).drop("field_seq"), ("tool", "doc_id", "field")).select("tool", "doc_id", "field", "truth", "answer")
 
 
@@ -246,14 +256,16 @@ HALVES = VIEWS + ", half AS (SELECT tool, doc_id % 2 AS h, count(*) AS n, count(
 
 @query(HALVES + " SELECT a.tool, CAST(a.s::DOUBLE / a.n AS DECIMAL(18,6)) AS public_rate, CAST(b.s::DOUBLE / b.n AS DECIMAL(18,6)) AS private_rate, CAST((b.s::DOUBLE / b.n - a.s::DOUBLE / a.n) * 100 AS DECIMAL(18,6)) AS gap_points FROM half a LEFT JOIN half b ON b.tool = a.tool AND b.h = 1 AND b.tool <> 't_a' WHERE a.h = 0")
 def o19_split_gap(spark, sf):
-    u = units(spark, sf)
+    u = stored_units(spark, sf)
     gap = ranking.split_gap(metrics.summarize(u.filter("doc_id % 2 = 0")), metrics.summarize(u.filter("doc_id % 2 = 1 and tool <> 't_a'")))
     return gap.select("tool", dec("public_rate", "public_rate"), dec("private_rate", "private_rate"), dec("gap_points", "gap_points"))
 
 
 @query(SLICES + " SELECT s.tool, CAST(s.n_exact AS BIGINT) AS successes, CAST(s.n_units AS BIGINT) AS n, s.exact_rate AS rate FROM slices s JOIN summary USING (tool) WHERE dimension = 'region' AND value = 'ASIA'")
 def o20_with_slice_metric(spark, sf):
-    board = ranking.with_slice_metric(summary(spark, sf), slices(spark, sf), "region", ["ASIA"])
+    u = stored_units(spark, sf)
+    cut = metrics.summarize_slices(u.drop("variant"), metrics.dimension_coords(docs(spark, sf), DIMENSIONS))
+    board = ranking.with_slice_metric(metrics.summarize(u), cut, "region", ["ASIA"])
     return board.select("tool", "exact_match.successes", "exact_match.n", dec("exact_match.rate", "rate"))
 
 
@@ -300,6 +312,23 @@ def o25_name_match(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", comparators.null_rule(F.col("s_name"), answer, comparators.name(F.col("s_name"), answer, {"alternates": F.array_compact(alternates)})).alias("outcome"))
 
 
+@query("""SELECT c_custkey AS doc_id, CASE c_custkey % 5 WHEN 0 THEN 'correct' WHEN 1 THEN 'correct' WHEN 2 THEN 'correct' WHEN 3 THEN 'incorrect' ELSE 'incorrect' END AS vendor_name,
+CASE c_custkey % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'hallucination' ELSE 'incorrect' END AS tax_rates FROM customer""")
+def o25_score_names(spark, sf):
+    """The wide path with names beyond ASCII, their alternates and rate sets."""
+    k = F.col("c_custkey")
+    pick = lambda *values: F.element_at(F.array(*values), (k % len(values) + 1).cast("int"))
+    own = F.concat(F.lit("Größe "), "c_name")
+    rows = table(spark, sf, "customer").select(
+        k.alias("doc_id"), F.lit(None).cast("string").alias("error"), F.array().cast("array<string>").alias("unscored_fields"), own.alias("truth_vendor_name"),
+        pick(F.concat(F.lit("GRÖSSE  "), F.upper("c_name"), F.lit(".")), F.concat(F.lit("ＴＲＡＤＥ "), k.cast("string")), F.concat(F.lit("Handel STRASSE "), k.cast("string")), F.concat(F.lit("Grösse-"), "c_name"), F.lit(None).cast("string")).alias("answer_vendor_name"),
+        F.create_map(F.lit("vendor_name"), F.array(F.lit(""), F.concat(F.lit("Trade "), k.cast("string")), F.concat(F.lit("handel  Straße "), k.cast("string"), F.lit(",")))).alias("others"),
+        pick(F.lit('["19", "7.0"]'), F.lit('["19"]'), F.lit(None).cast("string"), F.lit('["5"]')).alias("truth_tax_rates"), pick(F.lit("[7, 19.00]"), F.lit('["19", "7"]'), F.lit("[]"), F.lit("five")).alias("answer_tax_rates"),
+    )
+    scored = scoring.score_wide(rows, {"vendor_name": "name", "tax_rates": "rate_set"}, alternates="others")
+    return scored.select("doc_id", "outcomes.vendor_name", "outcomes.tax_rates")
+
+
 @query(judged_sql("party_id"))
 def o26_identifier_match(spark, sf):
     return judged(spark, sf, "party_id")
@@ -453,7 +482,7 @@ POOLED = SLICES + ", pooled AS (SELECT tool, sum(n_exact)::DOUBLE / sum(n_units)
 
 @query(POOLED + " SELECT row_number() OVER (ORDER BY r DESC, cost_per_exact NULLS LAST, tool) AS place, tool, CAST(r AS DECIMAL(18,6)) AS rate, mean_cost, cost_per_exact FROM pooled JOIN summary USING (tool) WHERE mean_cost <= 0.033 AND r >= 0.1")
 def o45_recommend(spark, sf):
-    u = units(spark, sf)
+    u = stored_units(spark, sf)
     cut = metrics.summarize_slices(u.drop("variant"), metrics.dimension_coords(docs(spark, sf), DIMENSIONS))
     best = ranking.recommend(metrics.summarize(u), cut, {"region": ["ASIA", "EUROPE"]}, max_mean_cost="0.033", min_rate=0.1)
     return best.select("place", "tool", dec("exact_match.rate", "rate"), dec("mean_cost", "mean_cost"), dec("cost_per_exact", "cost_per_exact"))
@@ -517,10 +546,10 @@ def o54_normalize_text(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.normalize_text(dressed).alias("norm"))
 
 
-@query("SELECT doc_id, lang, n_chars FROM documents")
+@query(r"WITH n AS (SELECT doc_id, lang, n_chars, regexp_replace(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[ \t\n\v\f\r]+', ' ', 'g')), '[.,;:]+$', '') AS norm FROM documents) SELECT doc_id, lang, n_chars, CAST(length(norm) AS BIGINT) AS norm_chars, sha256(norm) AS norm_sha256 FROM n")
 def o54_normalize_documents(spark, sf):
-    own = text.normalize_text(F.col("text"))
-    return table(spark, sf, "documents").filter(own.isNotNull() | F.col("text").isNull()).select("doc_id", "lang", "n_chars")
+    own = table(spark, sf, "documents").withColumn("norm", text.normalize_text(F.col("text")))
+    return own.select("doc_id", "lang", "n_chars", F.length("norm").cast("long").alias("norm_chars"), F.sha2("norm", 256).alias("norm_sha256"))
 
 
 @query("SELECT c_custkey, upper(replace(c_name, '-', '')) AS norm FROM customer")
@@ -532,12 +561,14 @@ def o55_normalize_identifier(spark, sf):
 STYLE = "o_orderkey % 7"
 
 
-@query(f"SELECT o_orderkey, CASE {STYLE} WHEN 0 THEN 'plain' WHEN 1 THEN 'us' WHEN 2 THEN 'eu' WHEN 3 THEN 'comma' WHEN 4 THEN 'us' WHEN 5 THEN 'none' END AS class, CASE WHEN {STYLE} < 5 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(18,6)) END AS amount FROM orders WHERE o_totalprice >= 1000")
+@query(f"""WITH o AS (SELECT o_orderkey, {STYLE} AS style, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders)
+SELECT o_orderkey, CASE style WHEN 0 THEN 'plain' WHEN 1 THEN CASE WHEN v >= 1000 THEN 'us' ELSE 'plain' END WHEN 2 THEN CASE WHEN v >= 1000 THEN 'eu' ELSE 'comma' END WHEN 3 THEN 'comma' WHEN 4 THEN CASE WHEN v >= 1000 THEN 'us' ELSE 'plain' END WHEN 5 THEN CASE WHEN v >= 1000 THEN 'none' ELSE 'plain' END END AS class,
+CASE WHEN style < 5 THEN CAST(v AS DECIMAL(18,6)) WHEN style = 5 AND v < 1000 THEN CAST(floor(v) AS DECIMAL(18,6)) END AS amount FROM o""")
 def o56_parse_amounts(spark, sf):
     v = F.col("o_totalprice").cast("decimal(18,2)")
     us, eu, bare = amounts.format_amount(v, "western", 2), amounts.format_amount(v, "european", 2), v.cast("string")
     shown = F.when(F.expr(STYLE) == 0, F.concat(bare, F.lit(" USD"))).when(F.expr(STYLE) == 1, F.concat(F.lit("$"), us)).when(F.expr(STYLE) == 2, F.concat(F.lit("R$ "), eu)).when(F.expr(STYLE) == 3, F.translate(bare, ".", ",")).when(F.expr(STYLE) == 4, text.arabic_digits(us)).when(F.expr(STYLE) == 5, F.regexp_replace(us, r"\.[0-9]+$", ""))
-    return table(spark, sf, "orders").filter("o_totalprice >= 1000").select("o_orderkey", amounts.amount_class(shown).alias("class"), dec(amounts.parse_amount(shown), "amount"))
+    return table(spark, sf, "orders").select("o_orderkey", amounts.amount_class(shown).alias("class"), dec(amounts.parse_amount(shown), "amount"))
 
 
 FORM = "o_orderkey % 6"
@@ -583,11 +614,9 @@ def o61_format_amounts(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", western.alias("western"), european.alias("european"), amounts.format_amount(v, "space", 2).alias("spaced"), F.substring_index(western, ".", 1).alias("whole_text"), amounts.with_symbol(european, "EUR").alias("euro"))
 
 
-@query("SELECT o_orderkey, replace(format('{:,}', w // 100000), ',', 'x') AS lakhs, CAST(w % 100000 AS BIGINT) AS rest FROM (SELECT o_orderkey, CAST(floor(CAST(o_totalprice AS DECIMAL(18,2))) AS BIGINT) AS w FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 10000000)")
+@query(r"SELECT o_orderkey, CASE WHEN w < 1000 THEN w::VARCHAR ELSE ltrim(reverse(regexp_replace(reverse((w // 1000)::VARCHAR), '([0-9]{2})', '\1,', 'g')), ',') || ',' || lpad((w % 1000)::VARCHAR, 3, '0') END AS shown FROM (SELECT o_orderkey, CAST(floor(CAST(o_totalprice AS DECIMAL(18,2))) AS BIGINT) AS w FROM orders)")
 def o61_indian_grouping(spark, sf):
-    shown = amounts.format_amount(F.floor(F.col("o_totalprice").cast("decimal(18,2)")), "indian", 0)
-    part = F.split(shown, ",")
-    return table(spark, sf, "orders").filter("o_totalprice >= 100000 and o_totalprice < 10000000").select("o_orderkey", part[0].alias("lakhs"), F.concat(part[1], part[2]).cast("long").alias("rest"))
+    return table(spark, sf, "orders").select("o_orderkey", amounts.format_amount(F.floor(F.col("o_totalprice").cast("decimal(18,2)")), "indian", 0).alias("shown"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN CAST((v + 500) // 1000 AS DECIMAL(18,2)) ELSE CAST((v + 5) // 10 AS DECIMAL(18,2)) / 100 END::DECIMAL(18,2) AS amount FROM (SELECT l_orderkey, l_partkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount * 100 AS BIGINT) AS p, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT) // 10 AS v FROM lineitem)")
@@ -679,24 +708,44 @@ def o71_check_rates(spark, sf):
     return quality.check_rates(lines, allowed)
 
 
-IBAN_SQL = "WITH a AS (SELECT c_custkey AS k, lpad(c_custkey::VARCHAR, 18, '0') AS bban FROM customer), b AS (SELECT k, bban, 98 - CAST((bban || '131400')::HUGEINT % 97 AS INT) AS chk FROM a), i AS (SELECT k, 'DE' || lpad(((chk + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END))::VARCHAR, 2, '0') || bban AS iban FROM b) "
+IBAN_SQL = """WITH a AS (SELECT c_custkey AS k, lpad(c_custkey::VARCHAR, 18, '0') AS bban, lpad(c_custkey::VARCHAR, 17, '0') AS first FROM customer),
+b AS (SELECT k, bban, first, 98 - CAST((bban || '131400')::HUGEINT % 97 AS INT) AS chk, (10 - list_sum([substr(first, i, 1)::INT * [3, 7, 1][1 + (i - 1) % 3] for i in range(1, 18)]) % 10) % 10 AS digit FROM a),
+i AS (SELECT k, CASE WHEN k % 2 = 0 THEN 'DE' || lpad((chk + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END)::VARCHAR, 2, '0') || bban ELSE first || ((digit + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END) % 10)::INT::VARCHAR END AS account FROM b)
+"""
 
 
-@query(IBAN_SQL + "SELECT k AS doc_id, 'payment_account' AS rule, iban AS message FROM i WHERE k % 5 = 0 AND k % 7 <> 0")
+@query(IBAN_SQL + "SELECT k AS doc_id, 'payment_account' AS rule, account AS message FROM i WHERE k % 5 = 0 AND k % 7 <> 0")
 def o72_check_accounts(spark, sf):
-    bban = F.lpad(F.col("c_custkey").cast("string"), 18, "0")
-    check = 98 - checks.mod97(F.concat(bban, F.lit("DE00"))) + F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0)
-    iban = F.concat(F.lit("DE"), F.lpad(check.cast("string"), 2, "0"), bban)
-    own = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 7 != 0, iban).alias("payment_account"))
-    return quality.check_accounts(own)
+    """IBANs and CLABEs, every fifth with a wrong check digit."""
+    key = F.col("c_custkey")
+    good = F.when(key % 2 == 0, checks.make_iban("DE", F.lpad(key.cast("string"), 18, "0"))).otherwise(checks.make_clabe(F.lpad(key.cast("string"), 17, "0")))
+    digits = F.when(key % 2 == 0, F.lpad((F.substring("good", 3, 2).cast("int") + 1).cast("string"), 2, "0")).otherwise(((F.substring("good", 18, 1).cast("int") + 1) % 10).cast("string"))
+    bad = F.when(key % 2 == 0, F.concat(F.substring("good", 1, 2), digits, F.substring("good", 5, 30))).otherwise(F.concat(F.substring("good", 1, 17), digits))
+    own = table(spark, sf, "customer").withColumn("good", good)
+    return quality.check_accounts(own.select(key.alias("doc_id"), F.when(key % 7 != 0, F.when(key % 5 == 0, bad).otherwise(F.col("good"))).alias("payment_account")))
+
+
+#: The sum of a GSTIN's values, doubled at even places, 35 less where they reach 36.
+GSTIN_SUM = """WITH g AS (SELECT c_custkey AS k, concat('27ABCDE', lpad((c_custkey % 10000)::VARCHAR, 4, '0'), 'F', (c_custkey % 9 + 1)::VARCHAR, 'Z') AS first FROM customer),
+s AS (SELECT k, first, list_sum([v - CASE WHEN v >= 36 THEN 35 ELSE 0 END for v in [(strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr(first, i, 1)) - 1) * (1 + (i - 1) % 2) for i in range(1, 15)]]) AS total FROM g),
+t AS (SELECT k, first, substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', 1 + CAST((36 - total % 36 + CASE WHEN k % 8 = 7 THEN 1 ELSE 0 END) % 36 AS INT), 1) AS mark FROM s)
+"""
 
 
-@query("SELECT c_custkey AS doc_id, 'vendor_tax_id' AS rule FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'vendor_tax_id' FROM customer WHERE c_custkey % 3 = 1")
+@query(GSTIN_SUM + """SELECT k AS doc_id, 'vendor_tax_id' AS rule, first || mark AS message FROM t WHERE k % 4 = 3 AND k % 8 = 7
+UNION ALL SELECT c_custkey, 'vendor_tax_id', CASE WHEN c_custkey % 4 = 0 THEN 'ABC0102301A2' ELSE '911111111111111112' END FROM customer WHERE (c_custkey % 4 = 0 AND c_custkey % 8 = 0) OR c_custkey % 4 = 1""")
 def o73_check_tax_ids(spark, sf):
+    """RFCs with an impossible date, credit codes and GSTINs with a wrong check character; a country without rule passes."""
     k = F.col("c_custkey")
-    rfc = F.concat(F.lit("ABC"), F.when(k % 2 == 0, "010230").otherwise("010228"), F.lit("1A2"))
-    own = table(spark, sf, "customer").select(k.alias("doc_id"), F.when(k % 3 == 0, "MX").when(k % 3 == 1, "CN").otherwise("DE").alias("country"), F.when(k % 3 == 0, rfc).otherwise("911111111111111112").alias("vendor_tax_id"))
-    return quality.check_tax_ids(own).select("doc_id", "rule")
+    rfc = F.concat(F.lit("ABC"), F.when(k % 8 == 0, "010230").otherwise("010228"), F.lit("1A2"))
+    alphabet = F.lit(checks.B36)
+    first = F.concat(F.lit("27ABCDE"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("F"), (k % 9 + 1).cast("string"), F.lit("Z"))
+    values = F.transform(F.split(first, ""), lambda c, i: (F.position(c, alphabet) - 1) * (1 + i % 2))
+    total = F.aggregate(values, F.lit(0), lambda acc, v: acc + v.cast("int") - F.when(v >= 36, 35).otherwise(0))
+    gstin = F.concat(first, F.substring(alphabet, (36 - total % 36 + F.when(k % 8 == 7, 1).otherwise(0)).cast("int") % 36 + 1, F.lit(1)))
+    country = F.element_at(F.array(*map(F.lit, ("MX", "CN", "DE", "IN"))), (k % 4 + 1).cast("int"))
+    own = table(spark, sf, "customer").select(k.alias("doc_id"), country.alias("country"), F.when(k % 4 == 0, rfc).when(k % 4 == 3, gstin).otherwise("911111111111111112").alias("vendor_tax_id"))
+    return quality.check_tax_ids(own)
 
 
 @views("SELECT doc_id, 'unscored list' AS rule, 'null' AS message FROM docs WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'unscored names', 'total' FROM docs WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, 'unscored value', party_id FROM docs WHERE doc_id % 3 = 2 AND doc_id % 2 = 0")
@@ -735,7 +784,19 @@ def o78_seed_documents(spark, sf):
     return invoices.seed_documents(table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id")), "7").select(F.col("doc_id").alias("p_partkey"), "doc_seed")
 
 
-@query()
+def drawn(seed: str, label: str, n: int) -> str:
+    return f"(('0x' || substr(sha256({seed} || ':{label}'), 1, 15))::BIGINT % {n})"
+
+
+SEEDS = "WITH s AS (SELECT *, ('0x' || substr(sha256('7:' || o_orderkey), 1, 15))::BIGINT AS doc_seed FROM orders)"
+
+
+@query(SEEDS + f""", n AS (SELECT o_orderkey AS doc_id, doc_seed, CASE WHEN {drawn('doc_seed', 'many', 8)} = 0 THEN 18 + {drawn('doc_seed', 'count', 8)} ELSE 1 + {drawn('doc_seed', 'count', 12)} END AS n FROM s),
+l AS (SELECT doc_id, doc_seed, unnest(range(1, n + 1)) AS line_no FROM n),
+o AS (SELECT *, ('0x' || substr(sha256(doc_seed || ':' || line_no), 1, 15))::BIGINT AS own FROM l),
+p AS (SELECT doc_id, doc_seed, line_no, CASE WHEN {drawn('own', 'unit', 4)} = 0 THEN 'hrs' ELSE 'pcs' END AS unit, CAST(1000 + {drawn('own', 'price', 1780)} * 50 AS DECIMAL(18,2)) + CASE WHEN {drawn('own', 'cents', 100)} < 35 THEN CAST(5 + {drawn('own', 'cent', 95)} AS DECIMAL(18,2)) * 0.01 ELSE 0 END AS price,
+ [1, 2, 3, 5, 7, 9, 15, 25][1 + {drawn('own', 'quantity', 8)}] * 10 + CASE WHEN {drawn('own', 'unit', 4)} = 0 AND {drawn('own', 'half', 100)} < 30 THEN 5 ELSE 0 END AS tenths FROM o)
+SELECT doc_id, doc_seed, line_no, unit, CAST(price AS DECIMAL(18,2)) AS price, CAST(tenths * 0.1 AS DECIMAL(9,1)) AS quantity, CAST((CAST(price * 100 AS BIGINT) * tenths + 5) // 10 AS DECIMAL(18,0)) * 0.01 AS amount FROM p""")
 def o79_generate_lines(spark, sf):
     return invoices.generate_lines(invoices.seed_documents(table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")), "7"))
 
@@ -767,7 +828,11 @@ def o81_apply_withholding(spark, sf):
     return invoices.apply_withholding(totals(spark, sf), "10", "16").select("doc_id", d2("withholding_total"), d2("total"))
 
 
-@query()
+@query(SEEDS + f""", m AS (SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS d, o_orderkey % 9 = 0 AS bare, [7, 21, 30, 50][1 + {drawn('doc_seed', 'due', 4)}] AS days, {drawn('doc_seed', 'method', 4)} AS method, {drawn('doc_seed', 'account', 10**15)}::VARCHAR AS number FROM s),
+a AS (SELECT *, lpad(number, 18, '0') AS bban, lpad(number, 17, '0') AS first FROM m)
+SELECT doc_id, d AS invoice_date, CASE WHEN NOT bare THEN CAST(d + to_days(days) AS DATE) END AS due_date,
+CASE method WHEN 0 THEN 'DE' || lpad((98 - CAST((bban || '131400')::HUGEINT % 97 AS INT))::VARCHAR, 2, '0') || bban WHEN 1 THEN first || ((10 - list_sum([substr(first, i, 1)::INT * [3, 7, 1][1 + (i - 1) % 3] for i in range(1, 18)]) % 10) % 10)::INT::VARCHAR END AS payment_account,
+CASE WHEN method = 2 THEN 'payment_account' ELSE '' END AS unscored FROM a""")
 def o82_payment_and_due(spark, sf):
     own = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("invoice_date"), F.when(F.col("o_orderkey") % 9 == 0, "fapiao").otherwise("plain").alias("template"))
     return invoices.payment_and_due(invoices.seed_documents(own, "7")).select("doc_id", "invoice_date", "due_date", "payment_account", F.array_join("unscored_fields", ",").alias("unscored"))
@@ -804,5 +869,5 @@ def o86_register_comparator(spark, sf):
     comparators.register_context("calendar", lambda columns: {"letters": F.lit(7)})
     d = docs(spark, sf)
     r = responses(d).filter("error is null")
-    long = scoring.align(scoring.unpivot_truth(d, ["due_date"]).drop("field_seq").join(r.select("tool", "doc_id"), "doc_id"), scoring.unpivot_prediction(r, ["due_date"], ("tool", "doc_id", "error")).drop("field_seq"), ("tool", "doc_id", "field"))
+    long = scoring.align(scoring.unpivot_truth(d, ["due_date"]).drop("field_seq").join(r.select("tool", "doc_id").hint("merge"), "doc_id"), scoring.unpivot_prediction(r, ["due_date"], ("tool", "doc_id", "error")).drop("field_seq"), ("tool", "doc_id", "field"))
     return scoring.score_pairs(long, {"due_date": "same_month"}, comparators.context_of("calendar", {})).select("tool", "doc_id", "outcome")

@@ -24,5 +24,10 @@ def running_counts(responses: DataFrame) -> DataFrame:
     return responses.groupBy("tool_id").agg(F.count_if(F.col("error").isNull()).alias("answered"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.sum("cost_usd").alias("cost_usd"))
 
 
-def keep_counts(counts: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    return counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def keep_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the counts so far as a Parquet table at ``path``, written anew at each trigger."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

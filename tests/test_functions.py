@@ -108,3 +108,21 @@ def test_money(spark):
 @pytest.mark.parametrize(("country", "shown", "want"), [("DE", "10.02.2025", "2025-02-10"), ("US", "06/08/2026", "2026-06-08"), ("US", "02/30/2026", "02/30/2026"), ("JP", "2026/3/4", "2026-03-04"), (None, "1/2/2026", "1/2/2026")])
 def test_localised_dates(spark, country, shown, want):
     assert one(spark, dates.localize_date(lit(shown), lit(dates.CONVENTIONS.get(country)))) == want
+
+
+def test_one_rounding_and_any_script(spark):
+    agree = lambda rule, a, b, ctx=None: one(spark, comparators.null_rule(lit(a), lit(b), rule(lit(a), lit(b), ctx or {})))
+    assert agree(comparators.amount, "0.01", "0.0149999999") == "correct"
+    assert agree(comparators.amount, "0.02", "0.0150000000000000000001") == "correct" and agree(comparators.amount, "0.02", "0.015") == "correct" and agree(comparators.amount, "0.02", "0.025") == "correct"
+    assert agree(comparators.amount, "0.01", "0.0050000000000000000000001") == "correct" and agree(comparators.amount, "0.01", "0.005") == "incorrect"
+    assert agree(comparators.amount, "9" * 26, "9" * 26 + ".00") == "correct" and one(spark, amounts.amount_class(lit("9" * 27))) == "none"
+    for given, answer in (("Straße", "STRASSE"), ("ＡＣＭＥ", "acme."), ("ab", "AB")):
+        assert agree(comparators.name, "Other", answer, {"alternates": F.array(F.lit(""), F.lit(given))}) == "correct"
+    assert agree(comparators.name, "Other", "none of them", {"alternates": F.array(F.lit("x"))}) == "incorrect"
+
+
+def test_made_accounts_are_valid(spark):
+    from gaugemill.functions import checks
+
+    rows = spark.range(300).select(checks.make_iban("DE", F.lpad(F.col("id").cast("string"), 18, "7")).alias("iban"), checks.make_clabe(F.lpad(F.col("id").cast("string"), 17, "3")).alias("clabe"))
+    assert rows.filter(checks.valid_iban(F.col("iban")) & checks.valid_clabe(F.col("clabe"))).count() == 300

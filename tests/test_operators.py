@@ -79,9 +79,9 @@ def test_store_keeps_the_newest(spark, tmp_path):
     (row,) = tables.read_responses(spark, str(tmp_path / "store"), ["t"]).collect()
     assert row["raw"] == "r2" and row["tool_version"] == "m_1_2"
     counts = streams.running_counts(streams.response_stream(spark, str(tmp_path / "store")))
-    q = streams.keep_counts(counts, "counts", str(tmp_path / "cp"))
+    q = streams.keep_counts(counts, str(tmp_path / "counts"), str(tmp_path / "cp"))
     q.awaitTermination()
-    assert spark.table("counts").first()["answered"] == 3
+    assert spark.read.parquet(str(tmp_path / "counts")).first()["answered"] == 3
 
 
 def test_chat_payloads(spark):
