@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugemill.sources.scratch import scratch as scratch  # one helper for the whole library
+
 #: Characters of text that a task holds split into pieces at a time.
 SLICE_CHARS = 1 << 21
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder.
-
-    Where ``spark.checkpoint.dir`` is unset, as in tests, a temporary folder of the session is used."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/gaugemill-{uuid.uuid4().hex}/{name}"
-
-
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -1,18 +1,22 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
-Fixed patterns find the protected entities: e-mail addresses, IP addresses, card and phone numbers. Corpus co-occurrence then
-estimates how strongly other words of its documents reveal it. With N documents, n(e) with entity e, n(t) with term t anywhere, and
+Fixed patterns find the personal data: e-mail addresses, IP addresses, card and phone numbers. Each stands for two protected entities, itself
+and the group it belongs to (an address's domain, a network, an issuer, an area). Corpus co-occurrence then
+estimates how strongly other words reveal them. With N documents, n(e) with entity e, n(t) with term t anywhere, and
 n(t,e) with both, t outside of base spans, the disclosure of e by t is the share of e's information content that t gives away:
 
     disclosure(t, e) = log(n(t,e) N / (n(t) n(e))) / log(N / n(e))
 
 1 means that t names e. A pair with support in at least ``SUPPORT`` different texts and disclosure of at least ``GENERALISE``
-adds a span of kind ``term`` wherever t stands in a document that holds e, however far from it; in sanitised texts it is
-generalised to ``[TERM]``, and from ``REMOVE`` on removed. Documents that hold t without e keep it.
+adds a span of kind ``term`` wherever t stands, in documents that name no entity too. In sanitised texts such a term is generalised: to the
+word that reveals most of e below the threshold among those that stand in at least ``COVER`` of t's documents with e and in more documents
+than t. What is left of the disclosure is then that word's. Terms without such a word, and from ``REMOVE`` on, are removed.
 
 Results: null and empty texts have no spans. Base spans of one kind don't overlap and are always reported; a term never overlaps
 one. Spans of different kinds may overlap; in a sanitised text the earlier one, or of two at one place the longer one, is
-replaced. Equal rows give equal results. Extra columns stay in ``sanitised``; columns of ``spans`` are its own.
+replaced. A term that reveals several entities counts with its strongest, ties by the entity's name. Equal rows give equal results, an
+empty table none. Very long texts are searched whole, in time that grows with their length. Extra columns stay in
+``sanitised``, whatever their names; columns of ``spans`` are its own.
 """
 
 from __future__ import annotations
@@ -20,10 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugemill.llm.common import scratch, stored
+from gaugemill.llm.common import free_name, scratch, sized, stored
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, GENERALISE, REMOVE = 2, 0.9, 0.99
+SUPPORT, GENERALISE, REMOVE, COVER = 2, 0.9, 0.99, 0.8
+#: Terms up to whose number a table of them is sent to every executor; beyond, the same join is merged.
+BROADCAST_TERMS = 200_000
+#: Changed rows up to whose number their spans are sent to every executor; beyond, texts are shuffled.
+BROADCAST_ROWS = 50_000
+BLOCK = 64
 WORD = r"\p{L}{3,}"
 #: Fixed patterns, as they are given. What stands before [0-9]++ or the local part keeps a long run from being tried at
 #: each of its characters; it changes no match. Possessive repeats don't either, as nothing that follows could use their characters.
@@ -35,22 +44,38 @@ PATTERNS = {
 }
 #: Texts without a match of these have none of the kind's.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-TERMS = "array<struct<kind:string,start:bigint,end:bigint,disclosure:double>>"
+TERMS = "array<struct<kind:string,start:bigint,end:bigint,disclosure:double,broader:string>>"
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
+def running(lengths: Column) -> Column:
+    """The sums of an array's numbers before each place and after the last. Sums are made in blocks, so that no long array is copied for each number."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def sums(first: Column, numbers: Column) -> Column:
+        return F.aggregate(numbers, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def whole(found: Column) -> Column:
+        firsts = sums(F.lit(0).cast("long"), F.transform(found, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + x)))
+        inner = F.transform(found, lambda b, i: F.slice(sums(F.get(firsts, i), b), F.lit(1), F.size(b)))
+        return F.concat(F.flatten(inner), F.array(F.element_at(firsts, -1)))
+
+    return F.element_at(F.transform(F.array(blocks), whole), 1)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches with their places in code points: what lies between them gives the places."""
-    found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
+    found = F.struct(F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long")).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
+
+    def placed_in(f: Column) -> Column:
+        lengths = F.zip_with(f["gaps"], F.transform(f["values"], lambda v: F.length(v).cast("long")), lambda g, n: g + F.coalesce(n, F.lit(0).cast("long")))
+        both = F.struct(f["values"].alias("values"), f["gaps"].alias("gaps"), running(lengths).alias("at"))
+        return F.element_at(F.transform(F.array(both), spans_of), 1)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["value"]), F.lit(0))
-        spans = F.when(x["value"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))))
-        return F.struct(end.alias("at"), spans.alias("spans"))
+    def spans_of(b: Column) -> Column:
+        return F.transform(b["values"], lambda v, i: F.struct((F.get(b["at"], i) + F.get(b["gaps"], i)).alias("start"), F.get(b["at"], i + 1).alias("end"), v.alias("value")))
 
-    return F.aggregate(found, start, step, lambda acc: acc["spans"])
+    return F.element_at(F.transform(F.array(found), placed_in), 1)
 
 
 def digits(value: Column) -> Column:
@@ -82,13 +107,15 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def entity(kind: str, value: Column) -> Column:
-    """One name for an entity however it is written."""
-    return F.concat(F.lit(f"{kind}:"), F.lower(value) if kind == "email" else digits(value) if kind in ("card", "phone") else value)
+    """The names of an entity, however it is written, and of its group."""
+    own = F.lower(value) if kind == "email" else digits(value) if kind in ("card", "phone") else value
+    group = {"email": F.substring_index(own, "@", -1), "ip": F.substring_index(own, ".", 3), "card": F.substring(own, 1, 6), "phone": F.substring(own, 1, 4)}[kind]
+    return F.array(F.concat(F.lit(f"{kind}:"), own), F.concat(F.lit(f"{kind} group:"), group))
 
 
 def named_spans(text: Column, kind: str) -> Column:
     kept = F.filter(matches(text, PATTERNS[kind]), lambda s: valid(kind, s["value"]))
-    return F.transform(kept, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), entity(kind, s["value"]).alias("entity")))
+    return F.transform(kept, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), entity(kind, s["value"]).alias("entities")))
 
 
 def base_spans(text: Column) -> Column:
@@ -96,7 +123,7 @@ def base_spans(text: Column) -> Column:
     parts = []
     for kind in KINDS:
         named = named_spans(text, kind)
-        parts.append(F.when(text.rlike(HINTS[kind]), named).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint,entity:string>>")))
+        parts.append(F.when(text.rlike(HINTS[kind]), named).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint,entities:array<string>>>")))
     return F.concat(*parts)
 
 
@@ -112,18 +139,10 @@ def terms_of(text: Column) -> Column:
 
 
 def placed(text: Column, known: Column) -> Column:
-    """Every occurrence of a key of ``known``, a map from terms to disclosures: array of (kind, start, end, disclosure) by place."""
-    found = F.arrays_zip(F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("value"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(TERMS).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["value"]), F.lit(0))
-        own = F.try_element_at(known, F.coalesce(F.lower(x["value"]), F.lit("")))
-        span = F.struct(F.lit("term").alias("kind"), begin.alias("start"), end.alias("end"), own.alias("disclosure"))
-        return F.struct(end.alias("at"), F.when(own.isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
-
-    return F.aggregate(found, start, step, lambda acc: acc["spans"])
+    """Every occurrence of a key of ``known``, a map from terms to (disclosure, broader): array of (kind, start, end, disclosure, broader) by place."""
+    own = lambda m: F.try_element_at(known, F.lower(m["value"]))
+    hits = F.filter(matches(text, WORD), lambda m: own(m).isNotNull())
+    return F.transform(hits, lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), own(m)["disclosure"].alias("disclosure"), own(m)["broader"].alias("broader")))
 
 
 def written(spans: Column) -> Column:
@@ -142,7 +161,7 @@ def together(found: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """The entities of at least ``SUPPORT`` texts, with their documents; and each text that holds some: words, docs, entities, rest."""
     held = found.filter(F.size("base") > 0)
     # copies of a text are many documents but one support
-    each = stored(held.select("words", F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).groupBy("words", "entity").agg(F.count(F.lit(1)).alias("docs")), f"{folder}/each")
+    each = stored(held.select("words", F.explode(F.array_distinct(F.flatten(F.transform("base", lambda s: s["entities"])))).alias("entity")).groupBy("words", "entity").agg(F.count(F.lit(1)).alias("docs")), f"{folder}/each")
     entities = stored(each.groupBy("entity").agg(F.sum("docs").alias("of_entity"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT).drop("texts"), f"{folder}/entities")
     # a list is as long as a text has entities
     own = each.join(entities.hint("merge"), "entity").groupBy("words").agg(F.max("docs").alias("docs"), F.collect_list("entity").alias("entities"))
@@ -155,31 +174,49 @@ def both(texts: DataFrame) -> DataFrame:
     return texts.select("words", "docs", "entities", F.explode(terms_of(F.col("rest"))).alias("term")).select("words", "docs", "term", F.explode("entities").alias("entity"))
 
 
-def revealing(docs: DataFrame, total: int, entities: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
-    """Pairs (term, entity, disclosure) beyond the threshold, from counts over all documents."""
+def estimated(docs: DataFrame, total: int, entities: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+    """Disclosure of every (term, entity) with support, from counts over all documents: term, entity, of_term, joint, disclosure."""
     joint = stored(both(texts).groupBy("entity", "term").agg(F.sum("docs").alias("joint"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT), f"{folder}/joint")
     terms = stored(joint.select("term").distinct(), f"{folder}/terms")
     words = docs.select(F.explode(terms_of(F.col("text").cast("string"))).alias("term"))
-    # words are counted before they are joined: a common term is one row of each task
-    of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).join(terms.hint("merge"), "term", "left_semi")
-    known = joint.join(of_term.hint("merge"), "term").join(entities.hint("merge"), "entity")
-    n_term = F.greatest("of_term", "joint")
+    if terms.count() <= BROADCAST_TERMS:  # other words never leave their task
+        of_term = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    else:  # words are counted before they are joined: a common term is one row of each task
+        of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).join(terms.hint("merge"), "term", "left_semi")
+    known = joint.join(of_term.hint("merge"), "term").join(entities.hint("merge"), "entity").withColumn("of_term", F.greatest("of_term", "joint"))
     information = F.log(F.lit(float(total)) / F.col("of_entity"))
-    disclosure = F.when(information > 0, F.log(F.col("joint") * float(total) / (n_term * F.col("of_entity"))) / information)
-    return known.withColumn("disclosure", disclosure).filter(F.col("disclosure") >= GENERALISE).select("term", "entity", "disclosure")
+    disclosure = F.when(information > 0, F.log(F.col("joint") * float(total) / (F.col("of_term") * F.col("of_entity"))) / information)
+    return stored(known.select("term", "entity", "of_term", "joint", disclosure.alias("disclosure")), f"{folder}/estimated")
+
+
+def revealing(known: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+    """The terms beyond the threshold: term, disclosure, entity (the one they reveal most), broader (null where none is safe) and left, its disclosure."""
+    strong = known.filter(F.col("disclosure") >= GENERALISE).groupBy("term").agg(F.max_by(F.struct("entity", "of_term", "joint", "disclosure"), F.struct("disclosure", "entity")).alias("s")).select("term", "s.*")
+    strong = stored(strong, f"{folder}/strong")
+    weak = known.filter(F.col("disclosure") < GENERALISE).select("entity", F.col("term").alias("broader"), F.col("of_term").alias("of_broader"), F.col("disclosure").alias("left"))
+    # the other words of a term's documents with its entity; counted before they are joined
+    beside = both(texts).join(strong.select("term", "entity").hint("merge"), ["term", "entity"]).select("words", "docs", "term", "entity")
+    others = beside.join(texts.select("words", "rest").hint("merge"), "words").select("term", "entity", "docs", F.explode(terms_of(F.col("rest"))).alias("broader"))
+    shared = others.groupBy("term", "entity", "broader").agg(F.sum("docs").alias("shared")).join(strong.select("term", "of_term", "joint").hint("merge"), "term")
+    fit = shared.filter(F.col("shared") >= COVER * F.col("joint")).join(weak.hint("merge"), ["entity", "broader"]).filter("of_broader > of_term")
+    best = fit.groupBy("term").agg(F.max_by(F.struct("broader", "left"), F.struct("left", "broader")).alias("b")).select("term", "b.*")
+    return stored(strong.join(best.hint("merge"), "term", "left").select("term", "entity", "disclosure", "broader", "left"), f"{folder}/revealing")
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` doc_id, row, base and terms: the base spans, and the revealing terms as (kind, start, end, disclosure)."""
+    """Per row of ``docs`` doc_id, row, base and terms: the base spans, and the revealing terms as (kind, start, end, disclosure, broader)."""
     folder = scratch(docs.sparkSession, "pii")
     found = detected(docs, folder)
     entities, texts = together(found, folder)
-    pairs = stored(revealing(docs, found.count(), entities, texts, folder), f"{folder}/revealing")
-    hit = both(texts).join(pairs.hint("merge"), ["term", "entity"]).groupBy("words", "term").agg(F.max("disclosure").alias("disclosure"))
+    strong = sized(revealing(estimated(docs, found.count(), entities, texts, folder), texts, folder), BROADCAST_TERMS)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = docs.select(F.xxhash64(text).alias("words"), F.explode(terms_of(text)).alias("term"))
     # a map is as long as a text has revealing terms
-    known = hit.groupBy("words").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("known"))
-    own = stored(texts.join(known.hint("merge"), "words").select("words", placed(F.col("rest"), F.col("known")).alias("terms")), f"{folder}/terms_of_texts")
-    kept = found.drop("rest").join(own.hint("merge"), "words", "left")
+    hit = words.join(strong.select("term", "disclosure", "broader"), "term").groupBy("words").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("term", F.struct("disclosure", "broader").alias("v"))))).alias("known"))
+    hit = stored(hit, f"{folder}/hit")
+    own = docs.select(F.xxhash64(text).alias("words"), text.alias("text")).join(sized(hit, BROADCAST_TERMS), "words").dropDuplicates(["words"])
+    own = own.join(found.select("words", "base").hint("merge"), "words").dropDuplicates(["words"]).select("words", placed(outside(F.col("text"), F.col("base")), F.col("known")).alias("terms"))
+    kept = found.drop("rest").join(sized(stored(own, f"{folder}/placed"), BROADCAST_TERMS), "words", "left")
     return kept.select("doc_id", "row", "base", F.coalesce("terms", F.array().cast(TERMS)).alias("terms"))
 
 
@@ -195,13 +232,16 @@ def report(docs: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind in brackets, revealing terms generalised or removed; n_chars, where there is one, follows."""
     found = spans(docs).filter((F.size("base") > 0) | (F.size("terms") > 0))
+    instead = lambda s: F.when((s["disclosure"] >= REMOVE) | s["broader"].isNull(), "").otherwise(F.concat(F.lit("["), s["broader"], F.lit("]")))
     put = F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put"))),
-        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), F.when(s["disclosure"] >= REMOVE, "").otherwise("[TERM]").alias("put"))),
+        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), instead(s).alias("put"))),
     )
-    marks = found.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"), F.array_sort(put).alias("__put")).dropDuplicates(["__d", "__r"])
+    row, own, other, marks_of = (free_name(docs, n) for n in ("row", "own", "other", "put"))
+    marks = found.select(F.col("doc_id").alias(own), F.col("row").alias(other), F.array_sort(put).alias(marks_of)).dropDuplicates([own, other])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.withColumn("__row", F.xxhash64("doc_id", text)).join(marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left")
+    side = sized(marks, BROADCAST_ROWS)
+    joined = docs.withColumn(row, F.xxhash64("doc_id", text)).join(side, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(row) == F.col(other)), "left")
 
     def step(acc: Column, s: Column) -> Column:
         done = F.struct((-s["less"]).alias("at"), F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), s["put"]).alias("out"))
@@ -209,7 +249,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
-    changed = joined.withColumn("text", F.when(F.col("__put").isNull(), F.col("text")).otherwise(F.aggregate("__put", begin, step, rest)))
+    changed = joined.withColumn("text", F.when(F.col(marks_of).isNull(), F.col("text")).otherwise(F.aggregate(marks_of, begin, step, rest)))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("__put").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        changed = changed.withColumn("n_chars", F.when(F.col(marks_of).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return changed.select(*[F.col(f"`{c}`") for c in docs.columns])

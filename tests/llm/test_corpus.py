@@ -2,13 +2,16 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from gaugemill.llm import html_crf, jaccard, multiset_hash, phrase_index, pii, quality, warc
+from gaugemill.llm.common import scratch
 from gaugemill.llm.components import components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -258,10 +261,10 @@ def test_revealing_terms(spark):
         at = text.index("zanzibar")
         assert f"term:{at}:{at + 8}" in rows[i]["spans"].split(",")
         assert f"term:{text.index('call')}:" not in rows[i]["spans"]
-    assert rows[400]["spans"] == rows[401]["spans"] == ""
+    assert rows[400]["spans"] == "term:0:8" and rows[401]["spans"] == ""  # a term gives its entity away wherever it stands
     clean = {r["doc_id"]: r for r in pii.sanitised(frame(spark, [(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars int")).collect()}
     assert "zanzibar" not in clean[300]["text"] and "[PHONE]" in clean[300]["text"] and clean[300]["n_chars"] == len(clean[300]["text"])
-    assert clean[400]["text"] == dict(docs)[400] and len(clean) == len(docs)
+    assert clean[400]["text"] == "[the] alone, without its number" and clean[401]["text"] == dict(docs)[401] and len(clean) == len(docs)
     assert pii.report(frame(spark, [])).count() == 0
 
 
@@ -281,6 +284,75 @@ def test_revealing_terms_at_any_distance(spark):
     assert clean[301] == f" b {far} [PHONE] {far} , " and clean[401] == far and len(clean) == len(docs)
 
 
+def groups(kind, value):
+    number = re.sub("[^0-9]", "", value)
+    own = {"email": value.lower(), "ip": value, "card": number, "phone": number}[kind]
+    return {f"{kind}:{own}", f"{kind} group:" + {"email": own.split("@")[-1], "ip": ".".join(own.split(".")[:3]), "card": own[:6], "phone": own[:4]}[kind]}
+
+
+def disclosures(docs):
+    """Brute force over distinct texts and documents: {(term, entity): disclosure} with support, and each document's blanked text."""
+    seen, texts, of_term = {}, {}, {}
+    for _, text in docs:
+        text, entities = text or "", set()
+        rest = list(text)
+        for kind, pattern in PATTERNS.items():
+            for m in re.finditer(pattern, text):
+                if holds(kind, m[0]):
+                    entities |= groups(kind, m[0])
+                    rest[m.start() : m.end()] = " " * len(m[0])
+        texts[text] = ("".join(rest), entities)
+        for t in {w.lower() for w in re.findall(r"[^\W\d_]{3,}", text)}:
+            of_term[t] = of_term.get(t, 0) + 1
+        seen[text] = seen.get(text, 0) + 1
+    of_entity, joint = {}, {}
+    for text, (rest, entities) in texts.items():
+        for e in entities:
+            a, b = of_entity.get(e, (0, 0))
+            of_entity[e] = (a + seen[text], b + 1)
+            for t in {w.lower() for w in re.findall(r"[^\W\d_]{3,}", rest)}:
+                a, b = joint.get((t, e), (0, 0))
+                joint[t, e] = (a + seen[text], b + 1)
+    n = len(docs)
+    out = {}
+    for (t, e), (j, support) in joint.items():
+        if support >= 2 and of_entity[e][0] < n:
+            out[t, e] = math.log(j * n / (max(of_term.get(t, 0), j) * of_entity[e][0])) / math.log(n / of_entity[e][0])
+    return out, texts
+
+
+def test_disclosures_on_the_tables(spark):
+    """All pairs and all term spans of a whole table, against counting by hand."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    docs = [(r["doc_id"], r["text"]) for r in table.collect()]
+    want, texts = disclosures(docs)
+    folder = scratch(spark, "pii-test")
+    found = pii.detected(table, folder)
+    entities, together = pii.together(found, folder)
+    got = {(r["term"], r["entity"]): r["disclosure"] for r in pii.estimated(table, len(docs), entities, together, folder).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    strong = {t for (t, _), d in want.items() if d >= pii.GENERALISE}
+    assert strong
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(table).collect()}
+    for i, text in docs:
+        terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{3,}", texts[text or ""][0]) if m[0].lower() in strong]
+        assert spans[i] == ",".join([*base(text), *terms])
+
+
+def test_broader_words(spark):
+    """A term below certainty is generalised to the word that reveals most below the threshold."""
+    docs = [(i, f"Harbour kiosk number +1 (578) 555-6437 {'abcd'[i % 4] * 3} text {i}") for i in range(8)] + [(20, "kiosk alone")] + [(100 + i, f"harbour water {'xyz'[i % 3] * 3} {i}") for i in range(12)] + [(200 + i, f"other things {i} altogether") for i in range(80)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, docs).withColumns({"row": F.lit(1), "put": F.lit(2)})).collect()}
+    assert clean[0].startswith("Harbour [harbour] ") and "[PHONE]" in clean[0] and clean[20] == "[harbour] alone" and clean[100] == docs[9][1]
+
+
+def test_many_spans_in_one_text(spark):
+    text = "a1@b.cc " * 8000
+    began = time.time()
+    (row,) = pii.report(frame(spark, [(1, text)])).collect()
+    assert row["n_email"] == 8000 and row["base_sha256"] == hashlib.sha256(",".join(base(text)).encode()).hexdigest() and time.time() - began < 60
+
+
 # ---- classifier
 
 
