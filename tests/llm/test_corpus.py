@@ -471,6 +471,41 @@ def test_layouts_alone():
     assert field.text("<nav><li><a>Home</a></li></nav><article><p>A text of some words, with a clause.</p></article>") == "A text of some words, with a clause."
 
 
+SAYS = "A long first sentence, with a clause, that tells of something in the world. And it goes on for some time, too."
+UNKNOWN_NAMES = [
+    (f'<body><div class="top"><a href=x>Home</a></div><section class="prose"><h2>Title here</h2><p>{SAYS}</p><p>{SAYS} More.</p></section><div class="foot">(c) me</div></body>', f"Title here\n{SAYS}\n{SAYS} More."),
+    (f'<article><h1>T</h1><p>{SAYS}</p><p>{SAYS} More.</p><p>{SAYS} Third.</p><div class="responses"><div><p>I agree with this, fully.</p></div><div><p>Me too.</p></div></div></article>', f"T\n{SAYS}\n{SAYS} More.\n{SAYS} Third."),
+    (f'<article><div class="toolbar"><a href=x>Share</a> <a href=y>Print</a></div><h1>T</h1><p>{SAYS}</p><p>{SAYS} More.</p></article>', f"T\n{SAYS}\n{SAYS} More."),
+    (f'<article><h1>T</h1><p>{SAYS}</p><p>{SAYS} More.</p><div class="gdpr"><p>We value your privacy. Accept all.</p></div></article>', f"T\n{SAYS}\n{SAYS} More."),
+    (f'<article><h1>T</h1><p>{SAYS}</p><blockquote><p>Quoted words, of someone.</p></blockquote><ul><li>one item</li><li>two items</li></ul><p>{SAYS} More.</p></article>', f"T\n{SAYS}\nQuoted words, of someone.\none item\ntwo items\n{SAYS} More."),
+]
+
+
+def test_names_that_training_never_met(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    field = html_crf.train(table.withColumn("__id", F.lit(1)).withColumn("order", F.lit("x")))
+    assert [field.text(page) for page, _ in UNKNOWN_NAMES] == [want for _, want in UNKNOWN_NAMES]
+
+
+def test_held_out_layouts(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").limit(40).collect()]
+    right, found, true = (sum(x) for x in zip(*(html_crf.held_out(pages, f) for f in (1, 3, 6)), strict=True))
+    assert right / found > 0.85 and right / true > 0.6  # with names that it never met
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<div>" * 20_000 + "</p>" * 20_000, "<div>x" * 20_000, '<a ">' * 50_000, "<svg>" * 20_000, "<script>" * 50_000, "<p title='>" * 50_000, "<!--" * 50_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.time()
+    html_crf.blocks(page)
+    assert time.time() - began < 4
+
+
+def test_unclosed_quotes_keep_the_text():
+    assert [b[1] for b in html_crf.blocks('<p>one</p><p title="x>two</p><p>three</p>')] == ["one", "two", "three"]
+    assert [b[1] for b in html_crf.blocks('<p title="a > b">one</p><a href="')] == ["one", '<a href="']
+    assert [b[1] for b in html_crf.blocks("<p>one</p><noscript><p>two</p></noscript>")] == ["one", "two"]
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
