@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugemill.llm.common import slices, texts_of
+from gaugemill.llm.common import free_name, slices, texts_of
 from gaugemill.llm.pieces import PieceCache, tokenizer
 
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
@@ -55,6 +55,7 @@ class SpeculativeBpe:
         self.shown = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
         self.good = np.zeros(0, np.int64)  # pair keys, sorted
         self.bad = np.zeros(0, np.int64)
+        self.whole: dict[int, bool] = {}
         self.cache = PieceCache(self.encode_parts, lower=True, spaced=False)
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -102,6 +103,12 @@ class SpeculativeBpe:
         self.good, self.bad = np.union1d(self.good, np.array(good, np.int64)), np.union1d(self.bad, np.array(bad, np.int64))
         return np.isin(distinct, self.good, assume_unique=True)[back]
 
+    def reached(self, token: int, word: str) -> bool:
+        """Do its own merges give this token? Judged once for each token."""
+        if token not in self.whole:
+            self.whole[token] = self.merged(self.symbols(word)) == [self.text[token]]
+        return self.whole[token]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct words in the byte alphabet."""
         proposed = [self.greedy(w) for w in words]
@@ -112,9 +119,8 @@ class SpeculativeBpe:
         inner = np.flatnonzero(word[:-1] == word[1:]) if len(word) else np.zeros(0, int)
         fails = lengths == 0
         fails[word[inner[~self.compatible(flat[inner] * self.size + flat[inner + 1])]]] = True
-        for i in np.flatnonzero(lengths == 1):  # a token that its own merges don't reach
-            if self.merged(self.symbols(words[i])) != [self.text[flat[ends[i] - 1]]]:
-                fails[i] = True
+        for i in np.flatnonzero(lengths == 1):
+            fails[i] = not self.reached(int(flat[ends[i] - 1]), words[i])
         for i in np.flatnonzero(fails):
             proposed[i] = [self.vocab[s] for s in self.merged(self.symbols(words[i])) if s in self.vocab]
         return proposed
@@ -173,7 +179,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = Fals
     def batches(frames):
         bpe = loaded(path)
         for frame in frames:
-            texts = texts_of(frame.column("__text"))
+            texts = texts_of(frame.column(0))
             ids = bpe.encode(texts)
             decoded = [bpe.decode(x) for x in ids]
             new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])]
@@ -184,4 +190,4 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = Fals
     schema = docs.select(*without_text).schema
     for f in ("n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(("ids binary", "decoded string") if keep_ids else ())):
         schema = schema.add(*f.split())
-    return docs.select(F.col(f"`{text}`").cast("string").alias("__text"), *without_text).mapInArrow(batches, schema)
+    return docs.select(F.col(f"`{text}`").cast("string").alias(free_name(docs, "text")), *without_text).mapInArrow(batches, schema)

@@ -8,9 +8,11 @@ by adding or subtracting its vector (``Fingerprint.edited``). The vector has two
 * 256 lanes modulo 2^32, to which each five-word shingle of the paragraph adds +1 or -1 at one place (a shorter paragraph
   is one shingle). The cosine of two documents' lanes estimates that of their shingle multisets: the likeness.
 
+A written fingerprint holds both parts, so likenesses can be had from fingerprints alone (``Fingerprint.read``).
+
 Results: null and empty texts are one empty paragraph. Equal fingerprints have likeness 1; otherwise a document without
 words has likeness 0 with any other. Rows with equal doc_id follow each other in the order of their texts; null ids come
-last. The only row of a table is its own next document. Extra columns are ignored.
+last. The only row of a table is its own next document; an empty table gives none. A very long text is hashed whole in its task. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,6 +91,11 @@ class Fingerprint:
         begin = old.rfind("\n", 0, same) + 1
         return self - Fingerprint.of(old[begin:]) + Fingerprint.of(new[begin:])
 
+    @classmethod
+    def read(cls, written: bytes) -> Fingerprint:
+        """What ``bytes()`` gave."""
+        return cls(np.frombuffer(written, "<u8", LANES), np.frombuffer(written, "<u4", SKETCH, 8 * LANES))
+
     def __bytes__(self) -> bytes:
         return self.dense.astype("<u8").tobytes() + self.sketch.astype("<u4").tobytes()
 

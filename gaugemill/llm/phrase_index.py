@@ -6,7 +6,7 @@ gap between documents, so a phrase is an intersection of lists shifted by the te
 documents. A query starts from the rarest term and intersects in order of rarity; a term that a segment lacks ends it.
 
 No term's list is gathered from the whole corpus: however frequent it is, it stays spread over the segments.
-The phrases searched for go to the executors in blocks of at most ``BLOCK_BYTES``, each checked by its size.
+The phrases searched for go to the executors in blocks of at most ``BLOCK_BYTES``, each checked by its size, one at a time.
 
 Results: a null or empty text has no words. A document may come twice; each row is judged on its own. An item without
 words has no window and is never found. Items with equal texts are each found. Extra columns are ignored.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -176,8 +177,9 @@ def hits_in(segment: Segment, items: list[tuple[str, list[bytes]]], window: int)
 def search(spark: SparkSession, folder: str, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, from the index in ``folder``."""
     index = spark.read.schema(SEGMENT).parquet(folder)
-    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, block_bytes)]
-    many = len(blocks) > 1
+    blocks = item_blocks(items, block_bytes)
+    ahead = [next(blocks, None), next(blocks, None)]
+    many = ahead[1] is not None
 
     def matches(block, frames):
         for frame in frames:
@@ -193,14 +195,17 @@ def search(spark: SparkSession, folder: str, items: DataFrame, window: int = WIN
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(segment.ids)), pa.int64()), pa.array([row["segment"]] * len(segment.ids)), *columns], ["place", "segment", "doc_id", "n_words", "n_hit", "items", "places"])
 
     schema = "place long, segment string, doc_id long, n_words long, n_hit long, items array<string>, places array<int>"
-    parts = [index.mapInArrow(lambda frames, b=b: matches(b, frames), schema) for b in blocks or [None]]
-    if many:  # a document's hits from several blocks may overlap
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.unionByName(p)
+    found = lambda b: index.mapInArrow(lambda frames: matches(b, frames), schema)
+    if many:  # one block at a time is at the executors; a document's hits from several may overlap
+        path = scratch(spark, "blocks")
+        for i, block in enumerate(chain(ahead, blocks)):
+            sent = spark.sparkContext.broadcast(block)
+            found(sent).write.parquet(f"{path}/block={i}")
+            sent.destroy()
+        both = spark.read.schema(schema).parquet(*[f"{path}/block={k}" for k in range(i + 1)])
         one = both.groupBy("segment", "place", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"))
     else:
-        one = parts[0]
+        one = found(spark.sparkContext.broadcast(ahead[0]) if ahead[0] else None)
     return one.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
@@ -244,5 +249,7 @@ def clean_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Index ``docs`` in the shared scratch folder and judge each of them against ``items`` (item_id, text)."""
     folder = scratch(docs.sparkSession, "phrases")
-    build(docs, folder)
-    return search(docs.sparkSession, folder, items, window)
+    build(docs, f"{folder}/index")
+    found = stored(search(docs.sparkSession, f"{folder}/index", items, window), f"{folder}/found")
+    discard(docs.sparkSession, f"{folder}/index")
+    return found

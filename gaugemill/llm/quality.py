@@ -8,7 +8,8 @@ scores a token by one number, kept a worker for each distinct token.
 
 Only text is an input. Results: null and empty texts have no tokens and get the score of the bias, which is learned
 with the rest from an empty text beside every sample. Rows with a null label, or with labels that disagree, are not
-trained on. A document that comes twice is scored twice. Extra columns stay.
+trained on; of texts that no longer fit into the sample shorter ones after them do. Rows of the sample whose hashes are equal follow their ids, then
+their texts. A very long text is scored whole. A document that comes twice is scored twice, an empty table gives none. Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugemill.llm.common import slices, texts_of
+from gaugemill.llm.common import free_name, slices, texts_of
 
 #: At most so many labelled rows are trained on, those whose ids hash lowest.
 TRAIN_ROWS = 3000
@@ -172,9 +173,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: int
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     texts, targets, size = [], [], 0
     for text, label in training_rows(docs, labels, limit=limit).toLocalIterator():
+        if texts and size + len(text) > chars:
+            continue  # a huge text leaves room for the shorter ones after it
         size += len(text)
-        if texts and size > chars:
-            break
         texts.append(text)
         targets.append(label)
     return fit([*texts, ""], [*targets, 0])
@@ -190,7 +191,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             scores = pa.array(sent.value.scores(texts_of(frame.column(0))), pa.float64())
             yield pa.RecordBatch.from_arrays([*frame.columns[1:], scores], [*frame.schema.names[1:], "score"])
 
-    slim = kept.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), "*")
+    slim = kept.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias(free_name(kept, "whole")), "*")
     return slim.mapInArrow(batches, kept.schema.add("score", "double")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -203,4 +204,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
             good = [s >= threshold for s in sent.value.scores(texts_of(frame.column(0)))]
             yield pa.RecordBatch.from_arrays(frame.columns[1:], frame.schema.names[1:]).filter(pa.array(good, pa.bool_()))
 
-    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), "*").mapInArrow(batches, docs.schema)
+    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias(free_name(docs, "whole")), "*").mapInArrow(batches, docs.schema)

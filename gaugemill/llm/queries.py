@@ -54,8 +54,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = multiset_hash.with_next(table(spark, sf_dir, "documents"))
-    lanes = 8 * multiset_hash.LANES  # those for equality
-    return marks.withColumns({c: F.lower(F.hex(F.substring(c, 1, lanes))) for c in ("fingerprint", "edited_fingerprint")})
+    return marks.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

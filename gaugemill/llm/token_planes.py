@@ -32,6 +32,8 @@ from gaugemill.llm.common import parallelism, slices, stored, texts_of
 from gaugemill.llm.pieces import PieceCache, tokenizer
 
 BLOCK_IDS = 65_536
+#: Bytes of text that a shard holds about, whatever the size of the table, and rows from which their mean length is estimated.
+SHARD_BYTES, SIZED_ROWS = 256 << 20, 5_000
 SYNC = "\n#GMSYNC"
 TAIL, TAIL_BYTES = "<I4s", struct.calcsize("<I4s")
 HEAD, HEAD_BYTES = "<cIB", struct.calcsize("<cIB")
@@ -162,12 +164,18 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, bits: bool = Fal
             yield pa.RecordBatch.from_arrays([pa.array([footer(ids, lengths, offsets, counts)], pa.binary())], ["value"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = slim.repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = slim.repartitionByRange(shards_for(slim), "doc_id").sortWithinPartitions("doc_id", "text")
     files = ranged.mapInArrow(shard, "value binary").select(F.col("value").cast("string").alias("value"))
     files.write.option("lineSep", SYNC).text(f"{folder}/shards")
     index_of(spark, folder).write.parquet(f"{folder}/chunks")
 
 
+def shards_for(docs: DataFrame) -> int:
+    """As many shards as keep them at about ``SHARD_BYTES`` of text: files stay far below what a reader can take whole. It changes file sizes only."""
+    mean = docs.limit(SIZED_ROWS).agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    return max(parallelism(docs.sparkSession), int(docs.count() * mean / SHARD_BYTES) + 1)
+
+
 def files_of(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/shards")
     return files.filter("length > 0").select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("shard"), "content")
@@ -192,7 +200,7 @@ def index_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def first_positions(chunks: DataFrame) -> DataFrame:
-    """Ids before each shard. One row a shard, so the running sum is over as many rows as there are files."""
+    """Ids before each shard. One row a shard, so the running sum is over as many rows as there are files: 400,000 at 100 TB of text."""
     sizes = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     return sizes.select("shard", (F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
 

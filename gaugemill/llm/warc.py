@@ -23,11 +23,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm.common import bytes_of
+from gaugemill.llm.common import bytes_of, scratch, sized, stored
 
 DICTIONARY_MAGIC, EMPTY_FRAME, FRAME_MAGIC = 0x184D2A5D, "P*M\x18\x00\x00\x00\x00", 0xFD2FB528
 #: Bounds of the sample that the dictionary is trained on; it changes sizes only, never contents.
 SAMPLE_PAGES, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 32_768, 16_384
+#: Repeated payloads up to whose number a table of their digests is sent to every executor (60 bytes each); beyond, pages are shuffled by payload.
+BROADCAST_PAYLOADS = 500_000
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -66,10 +68,10 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     dictionary = train(slim)
     keyed = slim.withColumn("key", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html"))
-    # one row for each payload that several pages have; a payload with very many pages is split by the adaptive skew join
+    # one row for each payload that several pages have; while they are few, no page is shuffled and a file is one input split
     first = keyed.filter(F.col("size") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").drop("n")
     target = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    told = keyed.join(first.hint("merge"), "key", "left").select("page_id", "url", "html", F.when(F.col("size") >= min_bytes, target).alias("refers_to"))
+    told = keyed.join(sized(stored(first, f"{scratch(pages.sparkSession, 'warc')}/first"), BROADCAST_PAYLOADS), "key", "left").select("page_id", "url", "html", F.when(F.col("size") >= min_bytes, target).alias("refers_to"))
 
     def archive(frames):
         held = zstandard.ZstdCompressionDict(dictionary) if dictionary else None

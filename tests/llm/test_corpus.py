@@ -192,6 +192,15 @@ def test_multisets():
     assert bytes(of(old).edited(old, new, 19)) == bytes(of(new))
 
 
+def likeness(a, b):
+    """By hand, from the lanes as numbers."""
+    if a.dense.tolist() == b.dense.tolist():
+        return 1.0
+    x, y = ([v - (1 << 32) * (v >= 1 << 31) for v in f.sketch.tolist()] for f in (a, b))
+    size = math.sqrt(float(sum(v * v for v in x) * sum(v * v for v in y)))
+    return min(1.0, max(0.0, sum(p * q for p, q in zip(x, y, strict=True)) / size)) if size else 0.0
+
+
 @pytest.mark.parametrize("partitions", ["1", "5"])
 def test_next_documents(spark, partitions):
     rng = random.Random(3)
@@ -206,7 +215,11 @@ def test_next_documents(spark, partitions):
         third = len(t) // 3
         text = t[: len(t) - third] + after[:third]
         assert got[i]["edited_sha256"] == hashlib.sha256(text.encode()).hexdigest() and got[i]["n_chars"] == len(t)
-        assert bytes(got[i]["edited_fingerprint"]) == bytes(multiset_hash.Fingerprint.of(text))
+        own, new, following = (multiset_hash.Fingerprint.of(x) for x in (t, text, after))
+        assert bytes(got[i]["fingerprint"]) == bytes(own) and bytes(got[i]["edited_fingerprint"]) == bytes(new)
+        read = multiset_hash.Fingerprint.read
+        assert got[i]["near_edited"] == read(got[i]["fingerprint"]).likeness(read(got[i]["edited_fingerprint"])) == likeness(own, new)
+        assert got[i]["near_next"] == likeness(own, following)
     (only,) = multiset_hash.with_next(frame(spark, [(1, "a b c")])).collect()
     assert only["near_next"] == 1.0
     assert multiset_hash.with_next(frame(spark, [])).count() == 0
@@ -383,6 +396,13 @@ def test_held_out_rows(spark):
     assert right / total > 0.95
 
 
+def test_huge_labelled_texts_leave_room(spark):
+    texts = ["word " * 40_000, *(f"good plain text number {i}" for i in range(30))]
+    labels = frame(spark, [(i, i % 2, 0) for i in range(31)], "doc_id long, quality int, toxic int")
+    few = quality.train(frame(spark, list(enumerate(texts))), labels, chars=5_000)
+    assert 0 <= few.scores(["good plain text"])[0] <= 1
+
+
 # ---- archives
 
 
