@@ -7,8 +7,9 @@ n(t,e) with both, t outside of base spans, the disclosure of e by t is the share
 
     disclosure(t, e) = log(n(t,e) N / (n(t) n(e))) / log(N / n(e))
 
-1 means that t names e. A pair with support in at least ``SUPPORT`` different texts and disclosure of at least ``GENERALISE``
-adds a span of kind ``term`` wherever t stands, in documents that name no entity too. In sanitised texts such a term is generalised: to the
+1 means that t names e. A pair needs support in s >= ``SUPPORT`` different texts, and more than chance would give: with l = n(t) n(e) / N and P pairs
+in the corpus, P l^s / s! at most ``CHANCE`` (by Stirling's formula). So in a large corpus two rare words that meet twice prove nothing. Then
+disclosure of at least ``GENERALISE`` adds a span of kind ``term`` wherever t stands, in documents that name no entity too. In sanitised texts such a term is generalised: to the
 word that reveals most of e below the threshold among those that stand in at least ``COVER`` of t's documents with e and in more documents
 than t. What is left of the disclosure is then that word's. Terms without such a word, and from ``REMOVE`` on, are removed.
 
@@ -21,6 +22,8 @@ empty table none. Very long texts are searched whole, in time that grows with th
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ from gaugemill.llm.common import free_name, scratch, sized, stored
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, GENERALISE, REMOVE, COVER = 2, 0.9, 0.99, 0.8
+#: Pairs that may come by chance: a term isn't revealing where so many of the corpus's pairs would have its support anyway.
+CHANCE = 0.1
 #: Terms up to whose number a table of them is sent to every executor; beyond, the same join is merged.
 BROADCAST_TERMS = 200_000
 #: Changed rows up to whose number their spans are sent to every executor; beyond, texts are shuffled.
@@ -158,47 +163,49 @@ def detected(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def together(found: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The entities of at least ``SUPPORT`` texts, with their documents; and each text that holds some: words, docs, entities, rest."""
+    """The entities of at least ``SUPPORT`` texts, with their documents and id; and each text that holds some: words, docs, entities (ids), rest."""
     held = found.filter(F.size("base") > 0)
     # copies of a text are many documents but one support
     each = stored(held.select("words", F.explode(F.array_distinct(F.flatten(F.transform("base", lambda s: s["entities"])))).alias("entity")).groupBy("words", "entity").agg(F.count(F.lit(1)).alias("docs")), f"{folder}/each")
-    entities = stored(each.groupBy("entity").agg(F.sum("docs").alias("of_entity"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT).drop("texts"), f"{folder}/entities")
+    entities = stored(each.groupBy("entity").agg(F.sum("docs").alias("of_entity"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT).drop("texts").withColumn("id", F.xxhash64("entity")), f"{folder}/entities")
     # a list is as long as a text has entities
-    own = each.join(entities.hint("merge"), "entity").groupBy("words").agg(F.max("docs").alias("docs"), F.collect_list("entity").alias("entities"))
+    own = each.join(entities.hint("merge"), "entity").groupBy("words").agg(F.max("docs").alias("docs"), F.collect_list("id").alias("entities"))
     texts = held.select("words", "rest").dropDuplicates(["words"])
     return entities, stored(own.join(texts.hint("merge"), "words"), f"{folder}/together")
 
 
 def both(texts: DataFrame) -> DataFrame:
-    """Each entity of a text with each of the text's terms: words, docs, entity, term."""
-    return texts.select("words", "docs", "entities", F.explode(terms_of(F.col("rest"))).alias("term")).select("words", "docs", "term", F.explode("entities").alias("entity"))
+    """Each entity of a text with each of the text's terms: words, docs, id, term."""
+    return texts.select("words", "docs", "entities", F.explode(terms_of(F.col("rest"))).alias("term")).select("words", "docs", "term", F.explode("entities").alias("id"))
 
 
 def estimated(docs: DataFrame, total: int, entities: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
-    """Disclosure of every (term, entity) with support, from counts over all documents: term, entity, of_term, joint, disclosure."""
-    joint = stored(both(texts).groupBy("entity", "term").agg(F.sum("docs").alias("joint"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT), f"{folder}/joint")
+    """Disclosure of every (term, entity) with support, from counts over all documents: term, id, entity, of_term, joint, disclosure, chance (a logarithm)."""
+    joint = stored(both(texts).groupBy("id", "term").agg(F.sum("docs").alias("joint"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT), f"{folder}/joint")
     terms = stored(joint.select("term").distinct(), f"{folder}/terms")
     words = docs.select(F.explode(terms_of(F.col("text").cast("string"))).alias("term"))
     if terms.count() <= BROADCAST_TERMS:  # other words never leave their task
         of_term = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
     else:  # words are counted before they are joined: a common term is one row of each task
         of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).join(terms.hint("merge"), "term", "left_semi")
-    known = joint.join(of_term.hint("merge"), "term").join(entities.hint("merge"), "entity").withColumn("of_term", F.greatest("of_term", "joint"))
+    known = joint.join(of_term.hint("merge"), "term").join(entities.hint("merge"), "id").withColumn("of_term", F.greatest("of_term", "joint"))
     information = F.log(F.lit(float(total)) / F.col("of_entity"))
     disclosure = F.when(information > 0, F.log(F.col("joint") * float(total) / (F.col("of_term") * F.col("of_entity"))) / information)
-    return stored(known.select("term", "entity", "of_term", "joint", disclosure.alias("disclosure")), f"{folder}/estimated")
+    s = F.col("texts").cast("double")
+    by_chance = s * F.log(F.col("of_term") * F.col("of_entity") / float(total)) - (s * F.log(s) - s + F.log(2 * math.pi * s) / 2) + math.log(max(1, joint.count()))
+    return stored(known.select("term", "id", "entity", "of_term", "joint", disclosure.alias("disclosure"), by_chance.alias("chance")), f"{folder}/estimated")
 
 
 def revealing(known: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     """The terms beyond the threshold: term, disclosure, entity (the one they reveal most), broader (null where none is safe) and left, its disclosure."""
-    strong = known.filter(F.col("disclosure") >= GENERALISE).groupBy("term").agg(F.max_by(F.struct("entity", "of_term", "joint", "disclosure"), F.struct("disclosure", "entity")).alias("s")).select("term", "s.*")
+    strong = known.filter((F.col("disclosure") >= GENERALISE) & (F.col("chance") <= math.log(CHANCE))).groupBy("term").agg(F.max_by(F.struct("id", "entity", "of_term", "joint", "disclosure"), F.struct("disclosure", "entity")).alias("s")).select("term", "s.*")
     strong = stored(strong, f"{folder}/strong")
-    weak = known.filter(F.col("disclosure") < GENERALISE).select("entity", F.col("term").alias("broader"), F.col("of_term").alias("of_broader"), F.col("disclosure").alias("left"))
+    weak = known.filter(F.col("disclosure") < GENERALISE).select("id", F.col("term").alias("broader"), F.col("of_term").alias("of_broader"), F.col("disclosure").alias("left"))
     # the other words of a term's documents with its entity; counted before they are joined
-    beside = both(texts).join(strong.select("term", "entity").hint("merge"), ["term", "entity"]).select("words", "docs", "term", "entity")
-    others = beside.join(texts.select("words", "rest").hint("merge"), "words").select("term", "entity", "docs", F.explode(terms_of(F.col("rest"))).alias("broader"))
-    shared = others.groupBy("term", "entity", "broader").agg(F.sum("docs").alias("shared")).join(strong.select("term", "of_term", "joint").hint("merge"), "term")
-    fit = shared.filter(F.col("shared") >= COVER * F.col("joint")).join(weak.hint("merge"), ["entity", "broader"]).filter("of_broader > of_term")
+    beside = both(texts).join(strong.select("term", "id").hint("merge"), ["term", "id"]).select("words", "docs", "term", "id")
+    others = beside.join(texts.select("words", "rest").hint("merge"), "words").select("term", "id", "docs", F.explode(terms_of(F.col("rest"))).alias("broader"))
+    shared = others.groupBy("term", "id", "broader").agg(F.sum("docs").alias("shared")).join(strong.select("term", "of_term", "joint").hint("merge"), "term")
+    fit = shared.filter(F.col("shared") >= COVER * F.col("joint")).join(weak.hint("merge"), ["id", "broader"]).filter("of_broader > of_term")
     best = fit.groupBy("term").agg(F.max_by(F.struct("broader", "left"), F.struct("left", "broader")).alias("b")).select("term", "b.*")
     return stored(strong.join(best.hint("merge"), "term", "left").select("term", "entity", "disclosure", "broader", "left"), f"{folder}/revealing")
 

@@ -304,7 +304,7 @@ def groups(kind, value):
 
 
 def disclosures(docs):
-    """Brute force over distinct texts and documents: {(term, entity): disclosure} with support, and each document's blanked text."""
+    """Brute force over distinct texts and documents: {(term, entity): disclosure} with support, each text without its personal data, and the revealing terms."""
     seen, texts, of_term = {}, {}, {}
     for _, text in docs:
         text, entities = text or "", set()
@@ -331,20 +331,22 @@ def disclosures(docs):
     for (t, e), (j, support) in joint.items():
         if support >= 2 and of_entity[e][0] < n:
             out[t, e] = math.log(j * n / (max(of_term.get(t, 0), j) * of_entity[e][0])) / math.log(n / of_entity[e][0])
-    return out, texts
+    pairs = sum(s >= 2 for _, s in joint.values())
+    chance = lambda t, e, s: s * math.log(max(of_term.get(t, 0), joint[t, e][0]) * of_entity[e][0] / n) - (s * math.log(s) - s + math.log(2 * math.pi * s) / 2) + math.log(pairs)
+    proven = {t for (t, e), d in out.items() if d >= pii.GENERALISE and chance(t, e, joint[t, e][1]) <= math.log(pii.CHANCE)}
+    return out, texts, proven
 
 
 def test_disclosures_on_the_tables(spark):
     """All pairs and all term spans of a whole table, against counting by hand."""
     table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     docs = [(r["doc_id"], r["text"]) for r in table.collect()]
-    want, texts = disclosures(docs)
+    want, texts, strong = disclosures(docs)
     folder = scratch(spark, "pii-test")
     found = pii.detected(table, folder)
     entities, together = pii.together(found, folder)
     got = {(r["term"], r["entity"]): r["disclosure"] for r in pii.estimated(table, len(docs), entities, together, folder).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    strong = {t for (t, _), d in want.items() if d >= pii.GENERALISE}
     assert strong
     spans = {r["doc_id"]: r["spans"] for r in pii.report(table).collect()}
     for i, text in docs:
