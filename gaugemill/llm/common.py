@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugemill.sources.scratch import scratch as scratch  # one helper for the whole library
@@ -29,9 +29,10 @@ def discard(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def sized(df: DataFrame, limit: int) -> DataFrame:
-    """``df`` for a join: broadcast if its counted rows are at most ``limit``, else merged."""
-    return F.broadcast(df) if df.count() <= limit else df.hint("merge")
+def sized(df: DataFrame, limit: int, entries: Column | None = None) -> DataFrame:
+    """``df`` for a join: broadcast if its counted rows, or the sum of their ``entries``, are at most ``limit``, else merged."""
+    count = df.count() if entries is None else df.agg(F.coalesce(F.sum(entries), F.lit(0))).first()[0]
+    return F.broadcast(df) if count <= limit else df.hint("merge")
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -27,13 +27,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugemill.llm.common import free_name, scratch, sized, stored
+from gaugemill.llm.common import discard, free_name, scratch, sized, stored
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, GENERALISE, REMOVE, COVER = 2, 0.9, 0.99, 0.8
 #: Pairs that may come by chance: a term isn't revealing where so many of the corpus's pairs would have its support anyway.
 CHANCE = 0.1
-#: Terms up to whose number a table of them is sent to every executor; beyond, the same join is merged.
+#: Terms, or entries of texts' lists of them, up to whose number a table of them is sent to every executor; beyond, the same join is merged.
 BROADCAST_TERMS = 200_000
 #: Changed rows up to whose number their spans are sent to every executor; beyond, texts are shuffled.
 BROADCAST_ROWS = 50_000
@@ -145,9 +145,9 @@ def terms_of(text: Column) -> Column:
 
 def placed(text: Column, known: Column) -> Column:
     """Every occurrence of a key of ``known``, a map from terms to (disclosure, broader): array of (kind, start, end, disclosure, broader) by place."""
-    own = lambda m: F.try_element_at(known, F.lower(m["value"]))
-    hits = F.filter(matches(text, WORD), lambda m: own(m).isNotNull())
-    return F.transform(hits, lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), own(m)["disclosure"].alias("disclosure"), own(m)["broader"].alias("broader")))
+    found = F.transform(matches(text, WORD), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.try_element_at(known, F.lower(m["value"])).alias("of")))
+    hits = F.filter(found, lambda m: m["of"].isNotNull())
+    return F.transform(hits, lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["of"]["disclosure"].alias("disclosure"), m["of"]["broader"].alias("broader")))
 
 
 def written(spans: Column) -> Column:
@@ -193,16 +193,19 @@ def estimated(docs: DataFrame, total: int, entities: DataFrame, texts: DataFrame
     disclosure = F.when(information > 0, F.log(F.col("joint") * float(total) / (F.col("of_term") * F.col("of_entity"))) / information)
     s = F.col("texts").cast("double")
     by_chance = s * F.log(F.col("of_term") * F.col("of_entity") / float(total)) - (s * F.log(s) - s + F.log(2 * math.pi * s) / 2) + math.log(max(1, joint.count()))
-    return stored(known.select("term", "id", "entity", "of_term", "joint", disclosure.alias("disclosure"), by_chance.alias("chance")), f"{folder}/estimated")
+    done = stored(known.select("term", "id", "entity", "of_term", "joint", disclosure.alias("disclosure"), by_chance.alias("chance")), f"{folder}/estimated")
+    discard(docs.sparkSession, f"{folder}/joint", f"{folder}/terms")
+    return done
 
 
 def revealing(known: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
-    """The terms beyond the threshold: term, disclosure, entity (the one they reveal most), broader (null where none is safe) and left, its disclosure."""
+    """The terms beyond the threshold: term, disclosure, entity (the one they reveal most), broader (null where none is safe, or the term is removed) and left, its disclosure."""
     strong = known.filter((F.col("disclosure") >= GENERALISE) & (F.col("chance") <= math.log(CHANCE))).groupBy("term").agg(F.max_by(F.struct("id", "entity", "of_term", "joint", "disclosure"), F.struct("disclosure", "entity")).alias("s")).select("term", "s.*")
     strong = stored(strong, f"{folder}/strong")
     weak = known.filter(F.col("disclosure") < GENERALISE).select("id", F.col("term").alias("broader"), F.col("of_term").alias("of_broader"), F.col("disclosure").alias("left"))
-    # the other words of a term's documents with its entity; counted before they are joined
-    beside = both(texts).join(strong.select("term", "id").hint("merge"), ["term", "id"]).select("words", "docs", "term", "id")
+    # the other words of a term's documents with its entity; counted before they are joined. Terms that are removed need none
+    open_to = sized(strong.filter(F.col("disclosure") < REMOVE).select("term", "id"), BROADCAST_TERMS)
+    beside = both(texts).join(open_to, ["term", "id"]).select("words", "docs", "term", "id")
     others = beside.join(texts.select("words", "rest").hint("merge"), "words").select("term", "id", "docs", F.explode(terms_of(F.col("rest"))).alias("broader"))
     shared = others.groupBy("term", "id", "broader").agg(F.sum("docs").alias("shared")).join(strong.select("term", "of_term", "joint").hint("merge"), "term")
     fit = shared.filter(F.col("shared") >= COVER * F.col("joint")).join(weak.hint("merge"), ["id", "broader"]).filter("of_broader > of_term")
@@ -216,14 +219,17 @@ def spans(docs: DataFrame) -> DataFrame:
     found = detected(docs, folder)
     entities, texts = together(found, folder)
     strong = sized(revealing(estimated(docs, found.count(), entities, texts, folder), texts, folder), BROADCAST_TERMS)
+    discard(docs.sparkSession, *(f"{folder}/{name}" for name in ("each", "together", "entities", "estimated", "strong")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = docs.select(F.xxhash64(text).alias("words"), F.explode(terms_of(text)).alias("term"))
     # a map is as long as a text has revealing terms
     hit = words.join(strong.select("term", "disclosure", "broader"), "term").groupBy("words").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("term", F.struct("disclosure", "broader").alias("v"))))).alias("known"))
-    hit = stored(hit, f"{folder}/hit")
-    own = docs.select(F.xxhash64(text).alias("words"), text.alias("text")).join(sized(hit, BROADCAST_TERMS), "words").dropDuplicates(["words"])
-    own = own.join(found.select("words", "base").hint("merge"), "words").dropDuplicates(["words"]).select("words", placed(outside(F.col("text"), F.col("base")), F.col("known")).alias("terms"))
-    kept = found.drop("rest").join(sized(stored(own, f"{folder}/placed"), BROADCAST_TERMS), "words", "left")
+    hit = sized(stored(hit, f"{folder}/hit"), BROADCAST_TERMS, F.size("known"))
+    # their few texts are searched again, so that no row of ``found`` moves for them
+    own = docs.select(F.xxhash64(text).alias("words"), text.alias("text")).join(hit, "words").dropDuplicates(["words"])
+    rest = own.withColumn("base", base_spans(F.col("text"))).select("words", "known", outside(F.col("text"), F.col("base")).alias("rest"))
+    own = stored(rest.select("words", placed(F.col("rest"), F.col("known")).alias("terms")), f"{folder}/placed")
+    kept = found.drop("rest").join(sized(own, BROADCAST_TERMS, F.size("terms")), "words", "left")
     return kept.select("doc_id", "row", "base", F.coalesce("terms", F.array().cast(TERMS)).alias("terms"))
 
 
