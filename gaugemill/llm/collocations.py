@@ -93,10 +93,10 @@ def token_slices(texts: list[bytes]) -> Iterator[tuple[list[bytes], int]]:
 class Slice:
     """A slice's tokens with the hashes of the phrases that begin at each of them."""
 
-    def __init__(self, ids: np.ndarray, known: Tokens, lang: str, carried: int):
+    def __init__(self, ids: np.ndarray, known: Tokens, lang: tuple[str, int], carried: int):
         self.ids, self.carried = ids, carried
         self.parts = known.hashes[ids]
-        self.seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
+        self.seed = np.uint64(xxhash.xxh3_64_intdigest(lang[0]))
 
     def phrases(self, fits) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, first places, hashes) of the phrases that end in this slice and all of whose shorter beginnings and last words ``fits`` lets through."""
@@ -130,20 +130,20 @@ class Tally:
         self.size += len(found)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for (shard, lang), parts in self.held.items():
+        for (shard, (_, lang)), parts in self.held.items():
             hashes, back = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
             count = np.zeros(len(hashes), np.int64)
             np.add.at(count, back, np.concatenate([c for _, c in parts]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), shard, np.int32)), pa.array([lang]).take(pa.array(np.zeros(len(hashes), np.int32))), pa.array(hashes.view(np.int64)), pa.array(count)], ["shard", "lang", "h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), shard, np.int32)), pa.array(np.full(len(hashes), lang, np.int64)), pa.array(hashes.view(np.int64)), pa.array(count)], ["shard", "lang", "h", "c"])
         self.held.clear()
         self.size = 0
 
 
-def groups(frame: pa.RecordBatch) -> Iterator[tuple[int, str, list[bytes]]]:
-    """A batch's texts by shard and language."""
+def groups(frame: pa.RecordBatch) -> Iterator[tuple[int, tuple[str, int], list[bytes]]]:
+    """A batch's texts by shard and language (its name and number)."""
     found = defaultdict(list)
-    for shard, lang, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), bytes_of(frame.column(2)), strict=True):
-        found[shard, lang].append(text)
+    for shard, lang, number, text in zip(*(frame.column(i).to_pylist() for i in range(3)), bytes_of(frame.column(3)), strict=True):
+        found[shard, (lang, number)].append(text)
     for (shard, lang), texts in found.items():
         yield shard, lang, texts
 
@@ -164,7 +164,7 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     return bits
 
 
-COUNTS = "shard int, lang string, h long, c long"
+COUNTS = "shard int, lang long, h long, c long"  # a language by its number, so that the aggregations have keys of numbers only
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield from tally.rows()
         yield from tally.rows()
         for (shard, lang), n in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([lang]), pa.array([0], pa.int64()), pa.array([n], pa.int64())], ["shard", "lang", "h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([lang[1]]), pa.array([0], pa.int64()), pa.array([n], pa.int64())], ["shard", "lang", "h", "c"])
 
     return docs.mapInArrow(count, COUNTS).groupBy("shard", "lang", "h").agg(F.sum("c").alias("c"))
 
@@ -236,7 +236,7 @@ def exact_counts(docs: DataFrame, candidates: np.ndarray) -> DataFrame:
                     for n, at, h in Slice(ids, known, lang, carried).phrases(lambda h, n: has(sent.value, h)):
                         if len(at):
                             for place, times in zip(*(x.tolist() for x in same_words(ids, at, h, n)), strict=True):
-                                held[lang, b" ".join(found[place : place + n]), n] += times
+                                held[lang[0], b" ".join(found[place : place + n]), n] += times
                     if len(held) > WORDS_KEPT:
                         yield rows()
         yield rows()
@@ -245,13 +245,14 @@ def exact_counts(docs: DataFrame, candidates: np.ndarray) -> DataFrame:
 
 
 def mine(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """All phrases of one to ``LONGEST`` words with ``support`` occurrences in their language: (lang, phrase, words, a), and (lang, n)."""
+    """All phrases of one to ``LONGEST`` words with ``support`` occurrences in their language: (lang, phrase, words, a), and each language's number of words: (number, n)."""
     if not 1 <= shards <= 16:
         raise ValueError("shards must be 1 to 16")
     spark = docs.sparkSession
     folder = scratch(spark, "collocations")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(shards)).cast("int").alias("shard"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(shards)).cast("int").alias("shard"), lang.alias("lang"), F.xxhash64(lang).alias("number"), text.alias("text"))
     words = stored(word_counts(dealt), f"{folder}/words")
     sizes = stored(words.filter("h = 0").groupBy("lang", "shard").agg(F.sum("c").alias("own")).withColumn("n", F.sum("own").over(Window.partitionBy("lang"))), f"{folder}/sizes")
     enough = F.col("c").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)") >= F.lit(support).cast("decimal(10,0)") * F.col("own").cast("decimal(19,0)")
@@ -261,7 +262,7 @@ def mine(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> tuple
     union = bitmap(own.unionByName(phrases).select("h", F.lit(0).alias("shard")))
     counted = stored(exact_counts(dealt, union).filter(F.col("a") >= support), f"{folder}/counted")
     discard(spark, f"{folder}/words", f"{folder}/own", f"{folder}/phrases")
-    return counted, sizes.select("lang", "n").distinct()
+    return counted, sizes.select(F.col("lang").alias("number"), "n").distinct()
 
 
 def scored(counted: DataFrame) -> DataFrame:
@@ -292,4 +293,4 @@ def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP, shards
     salted = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     best = salted.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("place") <= top)
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
-    return ranked.join(sized(sizes, 100_000), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.withColumn("number", F.xxhash64("lang")).join(sized(sizes, 100_000), "number").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
