@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_multiset_hash": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op9_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op10_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op11_collocations": "lang rank phrase a l r n score",
+    "op12_conversations": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op13_host_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
 }
 
 
@@ -39,7 +42,7 @@ def test_names():
     assert list(COLUMNS) == list(queries.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["op2_html_crf", "op3_phrase_index", "op7_pii", "op9_warc"])
+@pytest.mark.parametrize("name", ["op2_html_crf", "op3_phrase_index", "op7_pii", "op9_warc", "op11_collocations", "op12_conversations", "op13_host_rules"])
 def test_columns(spark, name):
     assert set(COLUMNS[name].split()) <= set(queries.QUERIES[name](spark, SF).columns)
 
