@@ -3,8 +3,8 @@
 Rows of a conversation are ordered by turn (nulls first). Edits are Delete, Insert (an empty text), Keep and Rerole; the search is
 iterative-deepening A*: depth first in the ASCII order of the edits' letters, under a bound on the cost so far plus the
 heuristic, which is what the rows ahead cost at least; the next bound is the least sum beyond this one. A table of failed states
-(row, roles so far) with the most that was left to spend on them cuts repeated work. So the first path that
-is accepted is the cheapest, and the least of the cheapest.
+(row, roles so far) keeps the least that may be enough from there, so a state is searched again only with more to spend than it failed
+with. So the first path that is accepted is the cheapest, and the least of the cheapest.
 
 A conversation is searched in blocks of ``BLOCK`` rows: from each state of the roles before a block to each state after it. Of
 paths to the same state only the cheapest, and least, can go on, so at most four are held between blocks: their cost,
@@ -18,7 +18,6 @@ roles. A very long text passes by itself. An empty table gives no rows, a conver
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,71 +26,88 @@ from pyspark.sql import functions as F
 
 #: The costs of edits, what an undeleted truncated row adds.
 DELETE, INSERT, REROLE, TRUNCATED = 3, 2, 2, 1
-BLOCK = 32
+BLOCK = 6
 #: States of the roles so far: none, after system, after user, after assistant; what may follow, and the role that an edit gives.
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = ({"s": SYSTEM, "u": USER}, {"u": USER}, {"a": ASSISTANT}, {"u": USER})
 GIVEN = (USER, USER, ASSISTANT, USER)
+#: What inserted turns cost from a state to another.
+_NEVER = 1 << 40
+AWAY = ((0, _NEVER, INSERT, 2 * INSERT), (_NEVER, 0, INSERT, 2 * INSERT), (_NEVER, _NEVER, 0, INSERT), (_NEVER, _NEVER, INSERT, 0))
 ROLES = {USER: "user", ASSISTANT: "assistant"}
 ACCEPTED = (START, ASSISTANT)
 WHITE = " \t\n\x0b\x0c\r"
 MARKS = (".", "!", "?")
 
 
+def at_least(rows: tuple[tuple[str, bool, bool], ...], ends: tuple[int, ...]) -> list[list[int]]:
+    """What the rows from each one on cost at least, by the state before them: deletions that must be, marks of truncated rows, a rerole for each
+    foreign role, and one edit for each of the most pairs of neighbours, none in two pairs, whose roles can't follow each other."""
+    n = len(rows)
+    fixed, pairs, first = 0, 0, "end"  # of the rows from i on; the first one that may stay: its role, "end", or none that a pair could have
+    behind = 0  # pairs beyond that first row
+    table = [[0] * 4 for _ in range(n + 1)]
+    for i in range(n, -1, -1):
+        if i < n:
+            initial, gone, cut = rows[i]
+            if gone:
+                fixed += DELETE
+            else:
+                fixed += TRUNCATED * cut
+                if initial not in ("s", "u", "a"):
+                    fixed += REROLE * (initial != "")
+                    first, behind = "", pairs
+                else:
+                    state = {"s": SYSTEM, "u": USER, "a": ASSISTANT}[initial]
+                    bad = state not in ends if first == "end" else first != "" and first not in NEXT[state]
+                    first, behind, pairs = initial, pairs, max(pairs, behind + 1) if bad else pairs
+        for state in range(4):
+            bad = state not in ends if first == "end" else first != "" and first not in NEXT[state]
+            table[i][state] = fixed + INSERT * (max(pairs, behind + 1) if bad else pairs)
+    return table
+
+
 def search(rows: tuple[tuple[str, bool, bool], ...], begin: int, ends: tuple[int, ...], last: bool) -> tuple[int, str, int] | None:
     """The cheapest edits, the least among equals, from state ``begin`` through ``rows`` (initial, must go, truncated) to one of ``ends``: cost, letters, end.
 
     ``last``: turns may be inserted after the last row."""
-    n = len(rows)
-    ahead = [0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        _, gone, cut = rows[i]
-        ahead[i] = ahead[i + 1] + (DELETE if gone else TRUNCATED if cut else 0)
-    bound, none = ahead[0], 1 << 60
+    n, ahead = len(rows), at_least(rows, ends)  # a state that fails raises its entry to the least that may be enough
+    if n == 0 and begin in ends:
+        return 0, "", begin
     limit = n * DELETE + 4 * INSERT  # deleting everything and inserting what the end needs is never dearer
-    while bound <= limit:
-        failed: dict[tuple[int, int], int] = {}
-        beyond = none
+    while (bound := ahead[0][begin]) <= limit:
         path: list[str] = []
-        stack = [(0, begin, bound, _edits(rows, 0, begin, last))]
-        if n == 0 and begin in ends:
-            return 0, "", begin
+        stack = [(0, begin, bound, iter(_edits(rows, 0, begin, last)))]
         while stack:
             i, state, left, edits = stack[-1]
             for letter, cost, to_i, to_state in edits:
-                rest = left - cost
-                if rest < ahead[to_i]:
-                    beyond = min(beyond, bound - rest + ahead[to_i])
-                    continue
-                if failed.get((to_i, to_state), -1) >= rest:
+                if left - cost < ahead[to_i][to_state]:
                     continue
                 path.append(letter)
                 if to_i == n and to_state in ends:
-                    return bound - rest, "".join(path), to_state
-                stack.append((to_i, to_state, rest, _edits(rows, to_i, to_state, last)))
+                    return bound - left + cost, "".join(path), to_state
+                stack.append((to_i, to_state, left - cost, iter(_edits(rows, to_i, to_state, last))))
                 break
             else:
                 stack.pop()
-                failed[i, state] = max(failed.get((i, state), -1), left)
+                ahead[i][state] = max(ahead[i][state], min((cost + ahead[to_i][to_state] for _, cost, to_i, to_state in _edits(rows, i, state, last)), default=limit + 1))
                 if path:
                     path.pop()
-        bound = beyond
     return None
 
 
-def _edits(rows, i: int, state: int, last: bool) -> Iterator[tuple[str, int, int, int]]:
+def _edits(rows, i: int, state: int, last: bool) -> list[tuple[str, int, int, int]]:
     """(letter, cost, next row, next state) in ASCII order."""
-    if i < len(rows):
-        initial, gone, cut = rows[i]
-        yield "D", DELETE, i + 1, state
-        yield "I", INSERT, i, GIVEN[state]
-        if not gone:
-            kept = state if initial == "" else NEXT[state].get(initial)
-            if kept is not None:
-                yield "K", cut * TRUNCATED, i + 1, kept
-            yield "R", REROLE + cut * TRUNCATED, i + 1, GIVEN[state]
-    elif last:
-        yield "I", INSERT, i, GIVEN[state]
+    if i == len(rows):
+        return [("I", INSERT, i, GIVEN[state])] if last else []
+    initial, gone, cut = rows[i]
+    found = [("D", DELETE, i + 1, state), ("I", INSERT, i, GIVEN[state])]
+    if not gone:
+        kept = state if initial == "" else NEXT[state].get(initial)
+        if kept is not None:
+            found.append(("K", cut * TRUNCATED, i + 1, kept))
+        found.append(("R", REROLE + cut * TRUNCATED, i + 1, GIVEN[state]))
+    return found
 
 
 @lru_cache(1 << 16)
@@ -128,8 +144,10 @@ class Repair:
     def step(self, last: bool) -> None:
         block = tuple((role[:1], gone, cut) for role, _, gone, cut in self.rows)
         reached: dict[int, tuple] = {}
-        for begin, (cost, rank, *_) in self.best.items():
-            for end in (None,) if last else range(4):
+        # a state that another one with inserted turns reaches for less is on no cheapest path
+        live = {q: b for q, b in self.best.items() if not any(p != q and other[0] + AWAY[p][q] < b[0] for p, other in self.best.items())}
+        for begin, (cost, rank, *_) in live.items():
+            for end in (None,) if last else [q for q in range(4) if q >= begin or q == USER]:
                 if way := found(block, begin, end):
                     key = (cost + way[0], rank, way[1])
                     place = -1 if last else end
