@@ -2,7 +2,7 @@
 
 1. *Shards.* Documents are dealt out to ``SHARDS`` shards by a hash of id and text. A phrase with ``support`` occurrences in a
    language has, in at least one shard, its share of them: count * n >= support * n_shard, n being the language's words. So
-   each shard is mined completely at its lowered support: first its words, then its phrases of two to four frequent words.
+   each shard is mined completely at its lowered support: its words, pairs of frequent words, longer phrases of frequent pairs.
    A shard is no task: each level is one aggregation over all shards with partial results.
 2. *Union.* What is frequent in any shard is a candidate. It goes to the tasks as a bitmap of ``BITS`` bits by hash, of the same
    size for any input: a phrase that it lets through by chance is counted for nothing, none is lost.
@@ -33,7 +33,7 @@ SHARDS = 3
 #: Size of the bitmaps: 8 MB.
 BITS = 26
 #: Bytes of text that a task holds as tokens at a time, phrases it counts before it sends them on, words it knows.
-SLICE, TALLY, WORDS_KEPT = 4 << 20, 3_000_000, 400_000
+SLICE, TALLY, WORDS_KEPT = 2 << 20, 1_500_000, 300_000
 #: A phrase goes when a longer one with so many hundredths of its occurrences holds it.
 SUBSUMED = 80
 SCALE = 2_000_000
@@ -98,21 +98,21 @@ class Slice:
         self.parts = known.hashes[ids]
         self.seed = np.uint64(xxhash.xxh3_64_intdigest(lang[0]))
 
-    def phrases(self, fits) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, first places, hashes) of the phrases that end in this slice and all of whose shorter beginnings and last words ``fits`` lets through."""
+    def phrases(self, fits, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, first places, hashes) of the phrases that end in this slice and that ``fits`` lets through, as all their beginnings, words and pairs."""
+        inner = np.zeros(len(self.ids) + longest, bool)  # where a word, then a pair, that was let through begins
         at = np.flatnonzero(self.ids)
         h = mixed(self.seed + self.parts[at] * _FACTORS[0])
-        good = fits(h, 1)
-        single = np.zeros(len(self.ids) + LONGEST, bool)
-        single[at[good]] = True
-        at, h = at[good], h[good]
-        for n in range(1, LONGEST + 1):
+        for n in range(1, longest + 1):
             if n > 1:
-                more = single[at + n - 1]
+                more = inner[at + (1 if n == 2 else n - 2)]
                 at, h = at[more], h[more]
                 h = mixed(h + self.parts[at + n - 1] * _FACTORS[n - 1])
-                good = fits(h, n)
-                at, h = at[good], h[good]
+            good = fits(h, n)
+            at, h = at[good], h[good]
+            if n < 3:
+                inner[:] = False
+                inner[at] = True
             own = at + n > self.carried
             yield n, at[own], h[own]
 
@@ -188,17 +188,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, COUNTS).groupBy("shard", "lang", "h").agg(F.sum("c").alias("c"))
 
 
-def phrase_counts(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(shard, lang, h, c) of every phrase of words that are frequent in their shard."""
-    sent = docs.sparkSession.sparkContext.broadcast(words)
+def phrase_counts(docs: DataFrame, frequent: np.ndarray, least: int, most: int) -> DataFrame:
+    """(shard, lang, h, c) of every phrase of ``least`` to ``most`` words whose words and pairs, as far as these are shorter, are frequent in its shard."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def count(frames):
         known, tally = Tokens(), Tally()
         for frame in frames:
             for shard, lang, texts in groups(frame):
+                fits = lambda h, n, s=shard: has(sent.value, h, s) if n < min(least, 3) else np.ones(len(h), bool)
                 for found, carried in token_slices(texts):
-                    for n, _, h in Slice(known.ids(found), known, lang, carried).phrases(lambda h, n, s=shard: has(sent.value, h, s) if n == 1 else np.ones(len(h), bool)):
-                        if n > 1:
+                    for n, _, h in Slice(known.ids(found), known, lang, carried).phrases(fits, most):
+                        if n >= least:
                             tally.add((shard, lang), h)
                     if tally.size > TALLY:
                         yield from tally.rows()
@@ -258,10 +259,12 @@ def mine(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> tuple
     enough = F.col("c").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)") >= F.lit(support).cast("decimal(10,0)") * F.col("own").cast("decimal(19,0)")
     frequent = lambda counts: counts.join(sized(sizes, 100_000), ["lang", "shard"]).filter(enough).select("shard", "h")
     own = stored(frequent(words.filter("h <> 0")), f"{folder}/own")
-    phrases = stored(frequent(phrase_counts(dealt, bitmap(own))), f"{folder}/phrases")
-    union = bitmap(own.unionByName(phrases).select("h", F.lit(0).alias("shard")))
+    pairs = stored(frequent(phrase_counts(dealt, bitmap(own), 2, 2)), f"{folder}/pairs")
+    short = own.unionByName(pairs)
+    longer = stored(frequent(phrase_counts(dealt, bitmap(short), 3, LONGEST)), f"{folder}/longer")
+    union = bitmap(short.unionByName(longer).select("h", F.lit(0).alias("shard")))
     counted = stored(exact_counts(dealt, union).filter(F.col("a") >= support), f"{folder}/counted")
-    discard(spark, f"{folder}/words", f"{folder}/own", f"{folder}/phrases")
+    discard(spark, *(f"{folder}/{name}" for name in ("words", "own", "pairs", "longer")))
     return counted, sizes.select(F.col("lang").alias("number"), "n").distinct()
 
 
