@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 from gaugemill.llm.common import bytes_of, discard, parallelism, scratch, sized, stored
 
 SUPPORT, LONGEST, TOP = 30, 4, 2000
-SHARDS = 3
+SHARDS = 2
 #: Size of the bitmaps: 8 MB.
 BITS = 26
-#: Bytes of text that a task holds as tokens at a time, phrases it counts before it sends them on, words it knows.
-SLICE, TALLY, WORDS_KEPT = 2 << 20, 1_500_000, 300_000
+#: Bytes of text that a task holds as tokens at a time, phrases it counts before it sends them on, words it knows, rows it takes apart at a time.
+SLICE, TALLY, WORDS_KEPT, ROWS = 2 << 20, 800_000, 200_000, 2000
 #: A phrase goes when a longer one with so many hundredths of its occurrences holds it.
 SUBSUMED = 80
 SCALE = 2_000_000
@@ -51,23 +52,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+class Numbers(dict):
+    """A number for each word, in the order in which words are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Tokens:
-    """Numbers for words, the same ones in all slices of a task until ``WORDS_KEPT`` are known. 0 ends a piece."""
+    """Numbers and hashes of words, the same ones in all slices of a task until ``WORDS_KEPT`` are known. 0 ends a piece."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {b".": 0}
-        self.words: list[bytes] = [b"."]
+        self.number = Numbers({b".": 0})
         self.hashes = np.zeros(1, np.uint64)
 
     def ids(self, found: list[bytes]) -> np.ndarray:
-        if len(self.words) > WORDS_KEPT:
+        if len(self.number) > WORDS_KEPT:
             self.__init__()
-        if new := set(found).difference(self.number):
-            at = len(self.words)
-            self.words += new
-            self.number.update((w, at + i) for i, w in enumerate(self.words[at:]))
-            self.hashes = np.concatenate([self.hashes, np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words[at:]), np.uint64, len(new))])
-        return np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+        ids = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+        if new := len(self.number) - len(self.hashes):
+            words = islice(self.number, len(self.hashes), None)
+            self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, new)])
+        return ids
 
 
 def token_slices(texts: list[bytes]) -> Iterator[tuple[list[bytes], int]]:
@@ -140,12 +147,13 @@ class Tally:
 
 
 def groups(frame: pa.RecordBatch) -> Iterator[tuple[int, tuple[str, int], list[bytes]]]:
-    """A batch's texts by shard and language (its name and number)."""
-    found = defaultdict(list)
-    for shard, lang, number, text in zip(*(frame.column(i).to_pylist() for i in range(3)), bytes_of(frame.column(3)), strict=True):
-        found[shard, (lang, number)].append(text)
-    for (shard, lang), texts in found.items():
-        yield shard, lang, texts
+    """A batch's texts by shard and language (its name and number), ``ROWS`` of its rows at a time."""
+    for at in range(0, frame.num_rows, ROWS):
+        part, found = frame.slice(at, ROWS), defaultdict(list)
+        for shard, lang, number, text in zip(*(part.column(i).to_pylist() for i in range(3)), bytes_of(part.column(3)), strict=True):
+            found[shard, (lang, number)].append(text)
+        for (shard, lang), texts in found.items():
+            yield shard, lang, texts
 
 
 def has(bits: np.ndarray, h: np.ndarray, shard: int = 0) -> np.ndarray:
