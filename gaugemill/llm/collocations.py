@@ -234,7 +234,7 @@ def exact_counts(docs: DataFrame, candidates: np.ndarray) -> DataFrame:
 
         def rows():
             keys = list(held)
-            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array(held.values(), pa.int64())], ["lang", "phrase", "words", "c"])
+            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(held.values()), pa.int64())], ["lang", "phrase", "words", "c"])
             held.clear()
             return batch
 
