@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gaugemill.functions.text import bind, fold_digits
+from gaugemill.functions.text import bind, fold_digits, stripped
 
 AMOUNT, READ_PLACES = "decimal(38,6)", 12
 #: Minor units by currency, marks before and around an amount.
@@ -20,7 +20,7 @@ SYMBOL_AFTER = ("EUR", "SAR", "AED")
 
 def bare_amount(c: Column) -> Column:
     """The text of an amount without spaces, currency marks and codes."""
-    s = F.translate(fold_digits(c.cast("string")), "  ", "")
+    s = F.translate(stripped(fold_digits(c.cast("string"))), "  ", "")
     prefix = "|".join(p.replace("$", r"\$").replace(".", r"\.") for p in CURRENCY_PREFIXES)
     s = F.regexp_replace(s, f"^(?:{prefix})", "")
     s = F.regexp_replace(s, f"^[{CURRENCY_SYMBOLS}]+|[{CURRENCY_SYMBOLS}]+$", "")
@@ -68,7 +68,7 @@ def amount_class(c: Column) -> Column:
 def parse_amount(c: Column) -> Column:
     """The value of ``read_amount``; plain numbers that fit are cast at once."""
     text = c.cast("string")
-    return F.when(text.rlike(f"^-?[0-9]{{1,{38 - READ_PLACES}}}(?:[.][0-9]{{1,{READ_PLACES}}})?$"), text.try_cast(f"decimal(38,{READ_PLACES})")).otherwise(read_amount(c)["value"])
+    return F.when(text.rlike(f"^-?[0-9]{{1,{38 - READ_PLACES}}}(?:[.][0-9]{{1,{READ_PLACES}}})?\\z"), text.try_cast(f"decimal(38,{READ_PLACES})")).otherwise(read_amount(c)["value"])
 
 
 def by_scale(value: Column, minor: Column | int, rounding, scales=range(5)) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugemill.functions.amounts import half_even, parse_amount
 from gaugemill.functions.dates import parse_date
-from gaugemill.functions.text import bind, fold_digits, normalize_identifier, normalize_text, normalize_texts
+from gaugemill.functions.text import WHITE, bind, fold_digits, normalize_identifier, normalize_text, normalize_texts, stripped
 
 #: name -> (truth, answer, context) -> whether two given values agree; null counts as no.
 Builder = Callable[[Column, Column, dict[str, Column]], Column]
@@ -48,7 +48,7 @@ def null_rule(truth: Column, answer: Column, agrees: Column) -> Column:
 
 
 def exact(truth: Column, answer: Column, ctx: dict[str, Column]) -> Column:
-    return normalize_text(truth, "ascii" in ctx) == normalize_text(answer, "ascii" in ctx)
+    return normalize_text(truth) == normalize_text(answer)
 
 
 def name(truth: Column, answer: Column, ctx: dict[str, Column]) -> Column:
@@ -56,12 +56,12 @@ def name(truth: Column, answer: Column, ctx: dict[str, Column]) -> Column:
     own = exact(truth, answer, ctx)
     if "alternates" not in ctx:
         return own
-    given = normalize_texts(F.filter(ctx["alternates"], lambda a: a != ""), "ascii" in ctx)
-    return own | F.coalesce(F.array_contains(F.filter(given, lambda a: a != ""), normalize_text(answer, "ascii" in ctx)), F.lit(False))
+    given = normalize_texts(F.filter(ctx["alternates"], lambda a: a != ""))
+    return own | F.coalesce(F.array_contains(F.filter(given, lambda a: a != ""), normalize_text(answer)), F.lit(False))
 
 
 def identifier(truth: Column, answer: Column, ctx: dict[str, Column]) -> Column:
-    return normalize_identifier(truth, "ascii" in ctx) == normalize_identifier(answer, "ascii" in ctx)
+    return normalize_identifier(truth) == normalize_identifier(answer)
 
 
 def date(truth: Column, answer: Column, ctx: dict[str, Column]) -> Column:
@@ -79,13 +79,13 @@ def rate_set(truth: Column, answer: Column, ctx: dict[str, Column]) -> Column:
 
     def members(c: Column) -> Column:
         read = F.transform(F.from_json(c, "array<string>"), parse_amount)
-        return bind(read, lambda r: F.when(c.rlike(r"^\s*\[") & ~F.exists(r, lambda x: x.isNull()), F.array_sort(F.array_distinct(r))))
+        return bind(read, lambda r: F.when(c.rlike(rf"^{WHITE}*\[") & ~F.exists(r, lambda x: x.isNull()), F.array_sort(F.array_distinct(r))))
 
     return members(truth) == members(answer)
 
 
 def integer(truth: Column, answer: Column, ctx: dict[str, Column]) -> Column:
-    read = lambda c: bind(F.trim(fold_digits(c)), lambda s: F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("bigint")))
+    read = lambda c: bind(stripped(fold_digits(c)), lambda s: F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("bigint")))
     return read(truth) == read(answer)
 
 

@@ -1,4 +1,4 @@
-"""Normal forms of texts and identifiers. ASCII stays on the JVM's side of a CASE; the rest goes through an Arrow UDF."""
+"""Normal forms of texts and identifiers. ASCII is folded in the JVM; only what holds other characters is sent to the Arrow UDF, nulls in its place otherwise."""
 
 from __future__ import annotations
 
@@ -36,33 +36,47 @@ def arabic_digits(c: Column) -> Column:
     return F.translate(c, ASCII_DIGITS, ARABIC_INDIC)
 
 
-def folded(c: Column, ascii_only: bool = False) -> Column:
-    return F.lower(c) if ascii_only else nfkc_casefold(c)
+#: White space in any script, with the separators from U+001C on: a class for the JVM's expressions.
+WHITE = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at both ends, whatever its script."""
+    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+
+
+def beyond_ascii(c: Column) -> Column:
+    return F.octet_length(c) > F.length(c)
+
+
+def folded(c: Column, ascii_way: Callable[[Column], Column] = F.lower, other_way: Callable[[Column], Column] = nfkc_casefold) -> Column:
+    """NFKC and casefold; the JVM's own way where a text is ASCII."""
+    return F.coalesce(F.when(~beyond_ascii(c), ascii_way(c)), other_way(F.when(beyond_ascii(c), c)))
 
 
 def tidied(c: Column) -> Column:
     """One space for white space, trimmed, without trailing marks."""
-    return F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"[.,;:]+$", "")
+    return F.regexp_replace(F.trim(F.regexp_replace(c, f"{WHITE}+", " ")), r"[.,;:]+$", "")
 
 
-def normalize_text(c: Column, ascii_only: bool = False) -> Column:
+def normalize_text(c: Column) -> Column:
     """NFKC, casefold, one space for white space, trimmed, without trailing marks."""
-    return tidied(folded(c, ascii_only))
+    return tidied(folded(c))
 
 
 #: A private character that stands between texts that are folded together.
 BETWEEN = "\ue000"
 
 
-def normalize_texts(texts: Column, ascii_only: bool = False) -> Column:
+def normalize_texts(texts: Column) -> Column:
     """``normalize_text`` of an array's texts, folded in one call; nulls are left out."""
     joined = F.array_join(F.transform(texts, lambda t: F.translate(t, BETWEEN, "")), BETWEEN)
-    return F.transform(F.split(folded(joined, ascii_only), BETWEEN), tidied)
+    return F.transform(F.split(folded(joined), BETWEEN), tidied)
 
 
-def normalize_identifier(c: Column, ascii_only: bool = False) -> Column:
+def normalize_identifier(c: Column) -> Column:
     """NFKC, without spaces, tabs, hyphens, dots and slashes, upper case."""
-    return F.upper(F.translate(c if ascii_only else nfkc(c), " \t-./", ""))
+    return F.upper(F.translate(folded(c, lambda x: x, nfkc), " \t-./", ""))
 
 
 def extract_rates(label: Column) -> Column:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from gaugemill.operators.metrics import block
 
@@ -51,15 +53,34 @@ def top_failures(failures: DataFrame, order: Sequence[str], tool: str | None = N
 
 
 def quota_sample(failures: DataFrame, rules: Sequence[tuple[str, Column, int]], order: Sequence[str], keys: Sequence[str], keep: int = 24) -> DataFrame:
-    """Ordered rules (reason, condition, quota): each takes its first rows not taken before; ``keep`` in all. What a rule leaves stays for later ones."""
-    taken: DataFrame | None = None
-    for i, (reason, condition, quota) in enumerate(rules):
-        left = failures.filter(condition)
-        if taken is not None:
-            left = left.join(F.broadcast(taken.select(*keys)), list(keys), "left_anti")  # at most the quotas' sum of rows
-        picked = left.orderBy(*order).limit(quota).withColumn("reason", F.lit(reason)).withColumn("rule", F.lit(i))
-        taken = picked if taken is None else taken.unionByName(picked)
-    return taken.orderBy("rule", *order).limit(keep)
+    """Ordered rules (reason, condition, quota): each takes its first rows not taken before; ``keep`` in all. What a rule leaves stays for later ones.
+
+    One scan and one exchange for any number of rules: a rule needs no rows beyond the first ones up to the sum of the quotas, and Spark keeps
+    only that many of each before it shuffles. The choice goes over these few. Rows with equal ``keys`` are rows of their own; ties in ``order``
+    follow the keys, then the whole row."""
+    most, columns = sum(quota for _, _, quota in rules), failures.columns
+    matched = F.filter(F.array(*[F.when(F.coalesce(condition, F.lit(False)), F.lit(i)) for i, (_, condition, _) in enumerate(rules)]), lambda i: i.isNotNull())
+    each = failures.withColumn("__row", F.monotonically_increasing_id()).withColumn("__rule", F.explode(matched))
+    place = F.row_number().over(Window.partitionBy("__rule").orderBy(*order, *keys, F.xxhash64(*columns), "__row"))
+    first = each.withColumn("__place", place).filter(F.col("__place") <= most).coalesce(1)
+
+    def choose(batches):
+        if not (held := list(batches)):
+            return
+        rows = pa.Table.from_batches(held)
+        taken, chosen, found = set(), [], list(zip(*(rows.column(c).to_pylist() for c in ("__rule", "__place", "__row")), range(rows.num_rows), strict=True))
+        for i, (_, _, quota) in enumerate(rules):
+            own = [(row, at) for rule, _, row, at in sorted(found) if rule == i and row not in taken][:quota]
+            taken |= {row for row, _ in own}
+            chosen += [at for _, at in own]
+        picked = rows.take(pa.array(chosen[:keep], pa.int64()))
+        reasons = pa.array([rules[i][0] for i in picked.column("__rule").to_pylist()], pa.string())
+        out = picked.select(columns).append_column("reason", reasons).append_column("rule", picked.column("__rule").cast(pa.int32()))
+        yield from out.combine_chunks().to_batches()
+
+    schema = StructType([*failures.schema.fields, StructField("reason", StringType()), StructField("rule", IntegerType())])
+    rules = [(reason, None, quota) for reason, _, quota in rules]  # columns stay at the driver
+    return first.mapInArrow(choose, schema)
 
 
 def weakest_slices(slices: DataFrame, tool: str, dimensions: Sequence[str]) -> DataFrame:

@@ -91,8 +91,8 @@ def reconcile(manifest: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def coverage_gaps(manifest: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """Expected variants that a document's files lack: doc_id, variant."""
-    missing = F.array_except(F.array(*map(F.lit, expected)), F.map_keys("variants"))
+    """Expected variants that a document's files lack: doc_id, variant. A document without a list (null) lacks them all."""
+    missing = F.array_except(F.array(*map(F.lit, expected)), F.coalesce(F.map_keys("variants"), F.array().cast("array<string>")))
     return manifest.select("doc_id", F.explode(missing).alias("variant"))
 
 
@@ -146,6 +146,7 @@ def union_runs(*runs: DataFrame) -> DataFrame:
 
 
 def newest(responses: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The newest row of each key."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    """The newest row of each key. Of rows written at the same time the one with the greatest content stays, so any partitioning keeps the same one."""
+    content = F.sha2(F.to_json(F.struct(*[c for c in sorted(responses.columns) if c not in keys and c != order]), {"ignoreNullFields": "false"}), 256)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), F.desc(content)))
     return responses.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")

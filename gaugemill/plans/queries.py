@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugemill.functions import amounts, checks, comparators, dates, text
@@ -18,7 +18,6 @@ ORACLE_SQL: dict[str, str] = {}
 NAMES = [f for f, _ in FIELDS]
 UNIT = ["tool", "doc_id", "variant"]
 DEC, MONEY = "decimal(18,6)", "decimal(28,6)"
-ASCII = {"ascii": F.lit}  # the tables' names are ASCII, so text comparison stays in the JVM
 
 
 def query(sql: str | None = None):
@@ -47,7 +46,7 @@ def answered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.score_wide(answered(spark, sf), dict(FIELDS), ASCII)
+    return scoring.score_wide(answered(spark, sf), dict(FIELDS))
 
 
 def units(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +63,7 @@ def stored_units(spark: SparkSession, sf: str) -> DataFrame:
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """The long form with outcomes, from the long comparators."""
     long = scoring.long_rows(answered(spark, sf), NAMES, (*UNIT, "error", "unscored_fields"))
-    return scoring.score_pairs(scoring.drop_unscored(long).drop("unscored_fields", "field_seq"), dict(FIELDS), ASCII)
+    return scoring.score_pairs(scoring.drop_unscored(long).drop("unscored_fields", "field_seq"), dict(FIELDS))
 
 
 def summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,6 +128,16 @@ def o02_explode_files(spark, sf):
     return scoring.explode_files(manifest(spark, sf))
 
 
+@query("SELECT user_id, event_type, max(value) AS value FROM events GROUP BY 1, 2")
+def o03_tied_responses(spark, sf):
+    """All records of a key written at once: under any partitioning the same one stays; here the one with the greatest value, which comes first in order."""
+    e = table(spark, sf, "events").select("user_id", "event_type", "value", F.lit(0).alias("at"), F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("value"))).alias("r"))
+    once = scoring.newest(e.withColumn("at", -F.col("r")), ("user_id", "event_type"), "at")
+    ties = [scoring.newest(e.drop("r").repartition(n), ("user_id", "event_type"), "at").select("user_id", "event_type", F.col("value").alias(f"v{n}")) for n in (1, 7)]
+    same = ties[0].join(ties[1].hint("merge"), ["user_id", "event_type"]).filter("v1 <=> v7")
+    return once.join(same.hint("merge"), ["user_id", "event_type"]).select("user_id", "event_type", "value")
+
+
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def o03_newest_responses(spark, sf):
     path = scratch(spark, "responses")
@@ -395,6 +404,27 @@ def o36_summarize(spark, sf):
     return flat(summary(spark, sf), "tool")
 
 
+GRID = """, grid AS (SELECT t.tool, d.doc_id, t.m FROM docs d, tools t), skips AS (SELECT tool, count(*) AS n_skipped FROM grid WHERE doc_id % 97 = 3 GROUP BY 1)"""
+
+
+@query(SUMMARY + GRID + " SELECT tool, n_units, n_exact, n_failed, n_skipped, total_cost, p50, p95 FROM summary JOIN skips USING (tool)")
+def o36_summarize_grid(spark, sf):
+    """Every document with every tool: units without a response are counted as skipped and take part in nothing else."""
+    d = docs(spark, sf)
+    grid = scoring.pair_units(d.select("doc_id", "variant"), tools(spark).select("tool"), units(spark, sf).drop("variant"), ("tool", "doc_id"))
+    s = metrics.summarize(grid.withColumn("skipped", F.col("status") == "skipped"))
+    return s.select("tool", "n_units", "n_exact", "n_failed", "n_skipped", dec("total_cost", "total_cost"), dec("p50", "p50"), dec("p95", "p95"))
+
+
+@query(SUMMARY + " SELECT * FROM summary")
+def o36_merged_states(spark, sf):
+    """Partial states of four parts, each stored, then added up: the summary of the whole."""
+    u, path = units(spark, sf), scratch(spark, "states")
+    metrics.partial_state(u.withColumn("part", F.col("doc_id") % 4), ("part", "tool")).write.partitionBy("part").parquet(path)
+    state = metrics.merged_states(spark.read.parquet(path).drop("part"))
+    return flat(metrics.summarize_state(state), "tool")
+
+
 @query(SLICES + " SELECT * FROM slices")
 def o37_summarize_slices(spark, sf):
     return flat(slices(spark, sf), "tool", "dimension", "value")
@@ -540,6 +570,27 @@ def o53_coverage_gaps(spark, sf):
 # ---- normal forms
 
 
+#: White space of several scripts, by the last digit of a key.
+SPACES = ("\u0085", "\u00a0", "\u2028", "\u3000", "\t", "\n", "\u2003", "\x1f", "\u2029", "\r")
+
+
+@query("SELECT c_custkey, lower(replace(c_name, '#', ' ')) AS norm, 'correct' AS text_outcome, 'correct' AS date_outcome, 'correct' AS amount_outcome, CASE WHEN c_custkey % 3 = 0 THEN 'incorrect' ELSE 'correct' END AS count_outcome FROM customer")
+def o54_white_space(spark, sf):
+    """White space beyond ASCII, and tabs and line feeds, around and within texts, dates, amounts and counts."""
+    k = F.col("c_custkey")
+    space = F.element_at(F.array(*map(F.lit, SPACES)), (k % len(SPACES) + 1).cast("int"))
+    around = lambda c: F.concat(space, c, space)
+    spaced = around(F.concat_ws("", F.regexp_replace("c_name", "#", " "), F.lit(".")))
+    within = F.concat(space, F.replace(F.col("c_name"), F.lit("#"), F.concat(space, space)), F.lit(";"), space)
+    day, number, wrong = F.lit("2020-01-05"), k.cast("string"), (k + (k % 3 == 0).cast("int")).cast("string")
+    outcome = lambda name, truth, answer: comparators.null_rule(truth, answer, comparators.comparator(name)(truth, answer, {})).alias(f"{name}_outcome")
+    found = table(spark, sf, "customer").select(
+        "c_custkey", text.normalize_text(within).alias("norm"), outcome("exact", F.regexp_replace("c_name", "#", " "), spaced), outcome("date", day, around(F.lit("Jan 5, 2020"))),
+        outcome("amount", F.concat(number, F.lit(".50")), around(F.concat(F.lit("$"), number, F.lit(".50")))), outcome("integer", number, around(wrong)),
+    )
+    return found.withColumnsRenamed({"exact_outcome": "text_outcome", "integer_outcome": "count_outcome"})
+
+
 @query("SELECT p_partkey, lower(p_name) AS norm FROM part")
 def o54_normalize_text(spark, sf):
     dressed = F.concat(F.lit("  "), F.regexp_replace(F.initcap("p_name"), " ", "   "), F.lit(".;"))
@@ -701,6 +752,15 @@ def o70_check_dates(spark, sf):
     return quality.check_dates(d, "invoice_date")
 
 
+@query(AUDIT + "SELECT d AS doc_id, 'day round trip' AS rule, d AS message FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '1868-09-07' WHEN 1 THEN '1868-09-08' WHEN 2 THEN '2019-04-30' WHEN 3 THEN '2024-02-29' ELSE invoice_date END AS d, CASE doc_id % 4 WHEN 0 THEN 'japanese_era' WHEN 1 THEN 'buddhist' WHEN 2 THEN 'gregorian' ELSE 'mayan' END AS c, doc_id::VARCHAR AS id FROM t) WHERE c = 'mayan' OR (c = 'japanese_era' AND d < '1868-09-08')".replace("SELECT d AS doc_id", "SELECT id AS doc_id"))
+def o70_check_calendars(spark, sf):
+    """Days around the eras' first ones and leap days in three calendars; there is no fourth."""
+    k = F.col("doc_id")
+    day = F.when(k % 5 == 0, "1868-09-07").when(k % 5 == 1, "1868-09-08").when(k % 5 == 2, "2019-04-30").when(k % 5 == 3, "2024-02-29").otherwise(F.date_format("invoice_date", "yyyy-MM-dd"))
+    calendar = F.when(k % 4 == 0, "japanese_era").when(k % 4 == 1, "buddhist").when(k % 4 == 2, "gregorian").otherwise("mayan")
+    return quality.check_dates(docs(spark, sf).select(k.cast("string").alias("doc_id"), day.alias("day"), calendar.alias("calendar")), "day")
+
+
 @query("SELECT DISTINCT l_orderkey AS doc_id, 'tax rate' AS rule, CAST(CAST(round(l_tax * 100) AS INT) AS VARCHAR) AS message FROM lineitem WHERE CAST(round(l_tax * 100) AS INT) IN (1, 5, 7)")
 def o71_check_rates(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit("X").alias("country"), F.array(F.round(F.col("l_tax") * 100).cast("int").cast("string")).alias("tax_rates")).distinct()
@@ -853,6 +913,17 @@ def o84_assign_units(spark, sf):
     return invoices.assign_units(parts, keywords, known, F.col("p_name")).select("p_partkey", "unit")
 
 
+@query("SELECT p_partkey, p_name, CASE WHEN p_partkey % 3 = 2 OR p_name IS NULL THEN NULL WHEN p_name LIKE '%ring%' THEN CASE WHEN p_partkey % 3 = 0 THEN 'box' ELSE 'pcs' END ELSE CASE WHEN p_partkey % 3 = 0 THEN 'sheet' ELSE 'ream' END END AS unit FROM (SELECT * FROM part UNION ALL SELECT * FROM part)")
+def o84_first_group(spark, sf):
+    """Every part twice, its text in the second group too: the first group decides, even where the country lacks its unit."""
+    keywords = spark.createDataFrame([(1, "RING", "Box"), (2, "paper", "ream"), (2, "paper", "sheet")], "group_seq int, keyword string, unit string")
+    known = spark.createDataFrame([("A", "sheet", False, 1), ("A", "ream", False, 2), ("A", "box", False, 3), ("A", "pcs", True, 4), ("B", "pcs", True, 1), ("B", "ream", False, 2)], "country string, unit string, generic boolean, seq int")
+    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    k = F.col("p_partkey") % 3
+    lines = part.unionAll(part).withColumn("country", F.when(k == 0, "A").when(k == 1, "B").otherwise("none"))
+    return invoices.assign_units(lines, keywords, known, F.concat("p_name", F.lit(" Paper"))).select("p_partkey", "p_name", "unit")
+
+
 @query("SELECT c_custkey, upper(substr(sha256(c_name), 1, 13)) AS party_id FROM customer")
 def o85_stable_identity(spark, sf):
     return invoices.stable_identity(table(spark, sf, "customer").withColumnRenamed("c_name", "party_name")).select("c_custkey", "party_id")
