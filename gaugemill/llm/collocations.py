@@ -33,8 +33,10 @@ SUPPORT, LONGEST, TOP = 30, 4, 2000
 SHARDS = 2
 #: Size of the bitmaps: 8 MB.
 BITS = 26
-#: Bytes of text that a task holds as tokens at a time, phrases it counts before it sends them on, words it knows, rows it takes apart at a time.
-SLICE, TALLY, WORDS_KEPT, ROWS = 2 << 20, 800_000, 200_000, 2000
+#: The bits of a hash from which its places in a bitmap are taken.
+SHIFTS = (0, 32)
+#: Bytes of text that a task holds as tokens at a time, hashes and phrases it counts before it sends them on, words it knows, rows it takes apart at a time.
+SLICE, TALLY, WORDS_KEPT, PHRASES_KEPT, ROWS = 2 << 20, 800_000, 200_000, 450_000, 2000
 #: A phrase goes when a longer one with so many hundredths of its occurrences holds it.
 SUBSUMED = 80
 SCALE = 2_000_000
@@ -146,10 +148,10 @@ class Tally:
         self.size = 0
 
 
-def groups(frame: pa.RecordBatch) -> Iterator[tuple[int, tuple[str, int], list[bytes]]]:
-    """A batch's texts by shard and language (its name and number), ``ROWS`` of its rows at a time."""
-    for at in range(0, frame.num_rows, ROWS):
-        part, found = frame.slice(at, ROWS), defaultdict(list)
+def groups(frame: pa.RecordBatch, rows: int = ROWS) -> Iterator[tuple[int, tuple[str, int], list[bytes]]]:
+    """A batch's texts by shard and language (its name and number), so many of its rows at a time."""
+    for at in range(0, frame.num_rows, rows):
+        part, found = frame.slice(at, rows), defaultdict(list)
         for shard, lang, number, text in zip(*(part.column(i).to_pylist() for i in range(3)), bytes_of(part.column(3)), strict=True):
             found[shard, (lang, number)].append(text)
         for (shard, lang), texts in found.items():
@@ -157,15 +159,18 @@ def groups(frame: pa.RecordBatch) -> Iterator[tuple[int, tuple[str, int], list[b
 
 
 def has(bits: np.ndarray, h: np.ndarray, shard: int = 0) -> np.ndarray:
-    """Which hashes a bitmap holds; each shard's words are moved to places of their own."""
-    at = (h & np.uint64((1 << BITS) - 1)) ^ np.uint64(shard << (BITS - 4))
-    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    """Which hashes a bitmap holds, by two places each; a shard's are moved to places of their own."""
+    held = np.ones(len(h), bool)
+    for shift in SHIFTS:
+        at = (h >> np.uint64(shift) & np.uint64((1 << BITS) - 1)) ^ np.uint64(shard << (BITS - 4))
+        held &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return held
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
     """Bits of the hashes (h, shard), built in Spark in blocks of 4 KB. At most 2^BITS bits come to the driver, however many rows there are."""
-    place = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)).bitwiseXOR(F.shiftleft(F.col("shard").cast("long"), BITS - 4)) + 1
-    blocks = hashes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    place = lambda shift: F.shiftrightunsigned("h", shift).bitwiseAND(F.lit((1 << BITS) - 1)).bitwiseXOR(F.shiftleft(F.col("shard").cast("long"), BITS - 4)) + 1
+    blocks = hashes.select(F.explode(F.array(*map(place, SHIFTS))).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     bits = np.zeros(1 << (BITS - 3), np.uint8)
     for block, part in blocks.collect():
         bits[(block - 1) * len(part) : block * len(part)] = np.frombuffer(part, np.uint8)
@@ -230,25 +235,26 @@ def exact_counts(docs: DataFrame, candidates: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(candidates)
 
     def count(frames):
-        known, held = Tokens(), defaultdict(int)
+        known, held = Tokens(), defaultdict(lambda: defaultdict(int))
 
         def rows():
-            keys = list(held)
-            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(held.values()), pa.int64())], ["lang", "phrase", "words", "c"])
+            for (lang, n), counts in held.items():
+                same = pa.array(np.zeros(len(counts), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(same), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(np.full(len(counts), n, np.int32)), pa.array(list(counts.values()), pa.int64())], ["lang", "phrase", "words", "c"])
             held.clear()
-            return batch
 
         for frame in frames:
-            for _, lang, texts in groups(frame):
+            for _, lang, texts in groups(frame, 3 * ROWS):
                 for found, carried in token_slices(texts):
                     ids = known.ids(found)
                     for n, at, h in Slice(ids, known, lang, carried).phrases(lambda h, n: has(sent.value, h)):
                         if len(at):
+                            counts = held[lang[0], n]
                             for place, times in zip(*(x.tolist() for x in same_words(ids, at, h, n)), strict=True):
-                                held[lang[0], b" ".join(found[place : place + n]), n] += times
-                    if len(held) > WORDS_KEPT:
-                        yield rows()
-        yield rows()
+                                counts[b" ".join(found[place : place + n])] += times
+                    if sum(map(len, held.values())) > PHRASES_KEPT:
+                        yield from rows()
+        yield from rows()
 
     return docs.mapInArrow(count, "lang string, phrase string, words int, c long").groupBy("lang", "phrase", "words").agg(F.sum("c").alias("a"))
 
@@ -271,7 +277,7 @@ def mine(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> tuple
     short = own.unionByName(pairs)
     longer = stored(frequent(phrase_counts(dealt, bitmap(short), 3, LONGEST)), f"{folder}/longer")
     union = bitmap(short.unionByName(longer).select("h", F.lit(0).alias("shard")))
-    counted = stored(exact_counts(dealt, union).filter(F.col("a") >= support), f"{folder}/counted")
+    counted = stored(exact_counts(dealt.withColumn("shard", F.lit(0)), union).filter(F.col("a") >= support), f"{folder}/counted")
     discard(spark, *(f"{folder}/{name}" for name in ("words", "own", "pairs", "longer")))
     return counted, sizes.select(F.col("lang").alias("number"), "n").distinct()
 
