@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugemill.functions.amounts import half_even, parse_amount
 from gaugemill.functions.dates import parse_date
-from gaugemill.functions.text import WHITE, bind, fold_digits, normalize_identifier, normalize_text, normalize_texts, stripped
+from gaugemill.functions.text import bind, fold_digits, normalize_identifier, normalize_text, normalize_texts, stripped
 
 #: name -> (truth, answer, context) -> whether two given values agree; null counts as no.
 Builder = Callable[[Column, Column, dict[str, Column]], Column]
@@ -78,8 +78,9 @@ def rate_set(truth: Column, answer: Column, ctx: dict[str, Column]) -> Column:
     """Texts of JSON arrays, as sets of numbers; anything but an array, and an array with an unreadable member, agrees with nothing."""
 
     def members(c: Column) -> Column:
+        c = stripped(c)
         read = F.transform(F.from_json(c, "array<string>"), parse_amount)
-        return bind(read, lambda r: F.when(c.rlike(rf"^{WHITE}*\[") & ~F.exists(r, lambda x: x.isNull()), F.array_sort(F.array_distinct(r))))
+        return bind(read, lambda r: F.when(c.startswith("[") & ~F.exists(r, lambda x: x.isNull()), F.array_sort(F.array_distinct(r))))
 
     return members(truth) == members(answer)
 

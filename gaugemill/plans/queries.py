@@ -12,6 +12,7 @@ from gaugemill.operators import invoices, metrics, payloads, quality, ranking, s
 from gaugemill.plans.views import DIMENSIONS, FIELDS, PRICES, TOOLS, VIEWS, docs, responses, table, tools
 from gaugemill.sources import tables
 from gaugemill.sources.scratch import scratch
+from gaugemill.sources.store import ResponseStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -238,6 +239,39 @@ def o15_align(spark, sf):
     return scoring.align(truth, scoring.unpivot_prediction(r, NAMES).drop("field_seq"), ("tool", "doc_id", "field")).select("tool", "doc_id", "field", "truth", "answer")
 
 
+def response_store(spark: SparkSession, sf: str) -> tuple[DataFrame, ResponseStore]:
+    """The answers' store: an older failed record of each, then the answers themselves, then some of these again. Units are documents by tool."""
+    d, k = docs(spark, sf), F.col("doc_id")
+    files = d.select(k, F.sha2(k.cast("string"), 256).alias("sha256"))
+    answers = responses(d).select(
+        F.col("tool").alias("tool_id"), F.concat(F.lit("m/"), "tool").alias("tool_version"), k.cast("string").alias("doc_id"), F.lit("v").alias("variant"), F.sha2(k.cast("string"), 256).alias("sha256"),
+        F.to_json(F.struct("party_id", "total")).alias("raw"), "latency_ms", "cost_usd", "error", F.timestamp_seconds(F.lit(100)).alias("written_at"),
+    )
+    store = ResponseStore(spark, scratch(spark, "store"), buckets=8)
+    store.append(answers.filter(k % 2 == 0).withColumns({"error": F.lit("timeout"), "written_at": F.timestamp_seconds(F.lit(50))}))
+    store.append(answers)
+    store.append(answers.filter(k % 3 == 0))
+    return scoring.select_units(files, [t for t, _ in TOOLS]).withColumnRenamed("tool", "tool_id"), store
+
+
+VERSIONS = {t: f"m/{t}" for t, _ in TOOLS}
+
+
+@views("SELECT t.tool AS tool_id, d.doc_id, CASE WHEN d.doc_id % 97 = 3 THEN 'skipped' WHEN d.doc_id % (m * m) = 0 THEN 'failed' ELSE 'answered' END AS status, CASE WHEN d.doc_id % 97 <> 3 THEN 100.0::DOUBLE + (d.doc_id * m) % 900 END AS latency_ms FROM docs d, tools t")
+def o14_pair_stored(spark, sf):
+    """Pairing over the bucketed store, with older and repeated records in it: only units are shuffled."""
+    grid, store = response_store(spark, sf)
+    return store.pair(grid, VERSIONS).select("tool_id", "doc_id", "status", "latency_ms")
+
+
+@views("SELECT t.tool AS tool_id, d.doc_id FROM docs d, tools t WHERE d.doc_id % 97 = 3 OR d.doc_id % (m * m) = 0")
+def o17_pending_stored(spark, sf):
+    """What is left to do, after a compaction of the store."""
+    grid, store = response_store(spark, sf)
+    store.compact()
+    return store.pending(grid, VERSIONS).select("tool_id", "doc_id")
+
+
 CURRENCY = "CASE doc_id % 4 WHEN 0 THEN 'JPY' WHEN 1 THEN 'USD' WHEN 2 THEN 'XXX' END"
 
 
