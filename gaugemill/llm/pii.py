@@ -132,10 +132,54 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
+#: Marks that are put in order at a time, characters of a text in a block: what is copied for one mark.
+MARKS, CHARS = 256, 1024
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def replaced(text: Column, marks: Column, cover: bool = False) -> Column:
+    """The text with each of ``marks``, an ordered array of (start, end, put), replaced by its ``put``, in time that grows with text and marks.
+
+    A mark that begins within the one before it is left out; with ``cover`` its rest is a mark of its own, all ``put`` being blanks. Marks become
+    cuts, ``MARKS`` at a time; the text is taken apart into blocks of ``CHARS`` characters, so a cut looks at its own blocks only."""
+
+    def cut(acc: Column, s: Column) -> Column:
+        if cover:
+            upto, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+            new = F.struct(acc["at"].alias("begin"), upto.alias("upto"), F.repeat(F.lit(" "), (end - upto).cast("int")).alias("put"))
+            return F.struct(end.alias("at"), F.concat(acc["cuts"], F.array(new)).alias("cuts"))
+        new = F.struct(acc["at"].alias("begin"), s["start"].alias("upto"), s["put"].alias("put"))
+        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["cuts"], F.array(new)).alias("cuts"))).otherwise(acc)
+
+    none = F.array().cast("array<struct<begin:bigint,upto:bigint,put:string>>")
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(marks) - 1) / MARKS).cast("int")), lambda i: F.slice(marks, i * MARKS + 1, F.lit(MARKS)))
+
+    def cut_group(acc: Column, group: Column) -> Column:
+        own = F.aggregate(group, F.struct(acc["at"].alias("at"), none.alias("cuts")), cut)
+        return bound(own, lambda o: F.struct(o["at"].alias("at"), F.concat(acc["groups"], F.array(o["cuts"])).alias("groups")))
+
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<struct<begin:bigint,upto:bigint,put:string>>>").alias("groups"))
+    last = lambda acc: F.concat(F.flatten(acc["groups"]), F.array(F.struct(acc["at"].alias("begin"), F.length(text).cast("long").alias("upto"), F.lit("").alias("put"))))
+    cuts = F.aggregate(groups, begin, cut_group, last)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0))
+
+    def piece(both: Column, c: Column) -> Column:
+        first = F.floor(c["begin"] / CHARS).cast("int")
+        near = F.array_join(F.slice(both["blocks"], first + 1, F.floor((c["upto"] - 1) / CHARS).cast("int") - first + 1), "")
+        return F.when(c["upto"] > c["begin"], F.concat(F.substring(near, (c["begin"] % CHARS + 1).cast("int"), (c["upto"] - c["begin"]).cast("int")), c["put"])).otherwise(c["put"])
+
+    joined = bound(F.struct(blocks.alias("blocks"), cuts.alias("cuts")), lambda both: F.array_join(F.transform(both["cuts"], lambda c: piece(both, c)), ""))
+    return F.when(F.size(marks) > 0, joined).otherwise(text)
+
+
 def outside(text: Column, base: Column) -> Column:
     """The text with blanks in place of its base spans, so that places stay."""
-    blank = lambda t, s: F.overlay(t, F.repeat(F.lit(" "), (s["end"] - s["start"]).cast("int")), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-    return F.aggregate(base, text, blank)
+    marks = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("put"))))
+    return bound(marks, lambda m: replaced(text, m, cover=True))
 
 
 def terms_of(text: Column) -> Column:
@@ -255,14 +299,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     side = sized(marks, BROADCAST_ROWS)
     joined = docs.withColumn(row, F.xxhash64("doc_id", text)).join(side, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(row) == F.col(other)), "left")
-
-    def step(acc: Column, s: Column) -> Column:
-        done = F.struct((-s["less"]).alias("at"), F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), s["put"]).alias("out"))
-        return F.when(s["start"] >= acc["at"], done).otherwise(acc)
-
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
-    changed = joined.withColumn("text", F.when(F.col(marks_of).isNull(), F.col("text")).otherwise(F.aggregate(marks_of, begin, step, rest)))
+    whole = F.transform(marks_of, lambda s: F.struct(s["start"].alias("start"), (-s["less"]).alias("end"), s["put"].alias("put")))
+    changed = joined.withColumn("text", F.when(F.col(marks_of).isNull(), F.col("text")).otherwise(bound(whole, lambda m: replaced(F.col("text"), m))))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col(marks_of).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
