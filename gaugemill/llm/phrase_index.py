@@ -138,12 +138,12 @@ def build(docs: DataFrame, folder: str, segment_words: int = SEGMENT_WORDS) -> N
     slim.mapInArrow(segments, SEGMENT).write.parquet(folder)
 
 
-def item_blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, list[bytes]]]]:
+def item_blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The items' ids (as strings) and words, in blocks of about ``limit`` bytes of text. Equal rows count once."""
     block, size = [], 0
     for item, text in items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).distinct().toLocalIterator():
         words = words_of((text or "").encode())
-        if item is not None and words:
+        if words:
             block.append((item, words))
             size += len(text.encode())
             if size >= limit:
@@ -189,7 +189,7 @@ def search(spark: SparkSession, folder: str, items: DataFrame, window: int = WIN
                 marks = np.concatenate([[0], np.cumsum(hit)])
                 begin, stop = segment.firsts, segment.firsts + segment.lengths
                 n_hit = marks[stop] - marks[begin]
-                names = [sorted(found.get(i, ())) for i in range(len(segment.ids))]
+                names = [sorted(found.get(i, ()), key=lambda x: (x is None, x or "")) for i in range(len(segment.ids))]  # an item without an id is one, and adds nothing to the list
                 places = [np.flatnonzero(hit[a:b]).astype(np.int32) if n and many else np.zeros(0, np.int32) for a, b, n in zip(begin.tolist(), stop.tolist(), n_hit.tolist(), strict=True)]
                 columns = [pa.array(segment.ids, pa.int64()), pa.array(segment.lengths), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(segment.ids)), pa.int64()), pa.array([row["segment"]] * len(segment.ids)), *columns], ["place", "segment", "doc_id", "n_words", "n_hit", "items", "places"])
