@@ -11,7 +11,7 @@ fetch any block without the others. A file is a row of records, each followed by
 Planes are byte planes (all first bytes of the ids, all second bytes, ...) or bit planes. Files are written by Spark's
 own writer, so its commit protocol covers lost tasks, and by any path that Spark can write.
 
-Results: documents in ascending order of ``doc_id`` (null first), equal ids in the order of their texts. Null and empty
+Results: documents in ascending order of ``doc_id`` (null first), equal ids in that of a hash of their texts, so that one id may fill many shards. Null and empty
 texts hold the end id alone. An empty table makes a data set without shards. Extra columns are ignored.
 """
 
@@ -32,8 +32,8 @@ from gaugemill.llm.common import parallelism, slices, stored, texts_of
 from gaugemill.llm.pieces import PieceCache, tokenizer
 
 BLOCK_IDS = 65_536
-#: Bytes of text that a shard holds about, whatever the size of the table, and rows from which their mean length is estimated.
-SHARD_BYTES, SIZED_ROWS = 256 << 20, 5_000
+#: Bytes of text that a shard holds about, whatever the size of the table.
+SHARD_BYTES = 256 << 20
 SYNC = "\n#GMSYNC"
 TAIL, TAIL_BYTES = "<I4s", struct.calcsize("<I4s")
 HEAD, HEAD_BYTES = "<cIB", struct.calcsize("<cIB")
@@ -164,7 +164,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, bits: bool = Fal
             yield pa.RecordBatch.from_arrays([pa.array([footer(ids, lengths, offsets, counts)], pa.binary())], ["value"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = slim.repartitionByRange(shards_for(slim), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = slim.withColumn("h", F.xxhash64("text")).repartitionByRange(shards_for(slim), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     files = ranged.mapInArrow(shard, "value binary").select(F.col("value").cast("string").alias("value"))
     files.write.option("lineSep", SYNC).text(f"{folder}/shards")
     index_of(spark, folder).write.parquet(f"{folder}/chunks")
@@ -172,8 +172,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, bits: bool = Fal
 
 def shards_for(docs: DataFrame) -> int:
     """As many shards as keep them at about ``SHARD_BYTES`` of text: files stay far below what a reader can take whole. It changes file sizes only."""
-    mean = docs.limit(SIZED_ROWS).agg(F.avg(F.octet_length("text"))).first()[0] or 0
-    return max(parallelism(docs.sparkSession), int(docs.count() * mean / SHARD_BYTES) + 1)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(parallelism(docs.sparkSession), int(total / SHARD_BYTES) + 1)
 
 
 def files_of(spark: SparkSession, folder: str) -> DataFrame:
