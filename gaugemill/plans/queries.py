@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -917,6 +918,67 @@ def o80_extra_levies(spark, sf):
     return invoices.extra_levies(totals(spark, sf), [("PIS", "1.65"), ("COFINS", "7.6")]).select("doc_id", "label", "rate", d2("amount"))
 
 
+#: One scenario of each kind: (name, mode, rates, mixed, pick_one, split, levies, labels, tax_label, zero_label, whole).
+SCENARIOS = (
+    ("one rate", "exclusive", ["19", "7"], None, None, None, None, None, "USt", None, None),
+    ("inclusive", "inclusive", ["20"], None, None, None, None, {"20": "TVA"}, "Tax", None, False),
+    ("reverse", "reverse_charge", ["5"], None, None, None, None, None, "VAT", "VAT 0% (reverse charge)", None),
+    ("split", "exclusive", ["18"], None, None, ["CGST", "SGST"], None, None, "GST", None, None),
+    ("levies", "exclusive", ["12"], None, None, None, [("PIS", "1.65"), ("COFINS", "7.6")], None, "ICMS", None, None),
+    ("whole", "exclusive", ["10"], None, None, None, None, None, "Tax", None, True),
+    ("mixed", "inclusive", ["19", "7", "0"], True, None, None, None, {"7": "reduced", "19": "normal"}, "VAT", None, None),
+    ("drawn", "exclusive", ["6.25", "7.5", "8"], None, True, None, None, None, "Sales tax", None, None),
+)
+
+
+def scenario_table(spark: SparkSession) -> DataFrame:
+    dec9 = lambda x: Decimal(x)
+    rows = [(n, m, list(map(dec9, r)), mx, p, s, v and [(a, dec9(b)) for a, b in v], lb, t, z, w) for n, m, r, mx, p, s, v, lb, t, z, w in SCENARIOS]
+    return spark.createDataFrame(rows, invoices.SCENARIO)
+
+
+def scenario_lines(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(*[F.lit(s[0]) for s in SCENARIOS])
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("line_no"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"), F.element_at(names, (F.col("l_orderkey") % len(SCENARIOS) + 1).cast("int")).alias("scenario"))
+    seeded = invoices.seed_documents(lines, "7")
+    return invoices.taxed_lines(seeded.withColumn("line_seed", invoices.hashed(F.col("doc_seed"), F.col("line_no"))), scenario_table(spark))
+
+
+#: In whole cents, so that halves are halves: q is the rate in ten-thousandths of a percent.
+SCENARIO_SQL = f"""WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber * 1000000 + l_partkey AS line_no, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS a0, CAST(l_orderkey % 8 AS INT) AS m, ('0x' || substr(sha256('7:' || l_orderkey), 1, 15))::BIGINT AS doc_seed FROM lineitem),
+o AS (SELECT *, ('0x' || substr(sha256(doc_seed || ':' || line_no), 1, 15))::BIGINT AS line_seed FROM s),
+r AS (SELECT *, CASE m WHEN 0 THEN 190000 WHEN 1 THEN 200000 WHEN 2 THEN 50000 WHEN 3 THEN 180000 WHEN 4 THEN 120000 WHEN 5 THEN 100000 WHEN 6 THEN [190000, 70000, 0][1 + {drawn('line_seed', 'rate', 3)}] ELSE [62500, 75000, 80000][1 + {drawn('doc_seed', 'rate', 3)}] END AS q, CASE WHEN m = 5 THEN (a0 + 50) // 100 * 100 ELSE a0 END AS amount FROM o),
+n AS (SELECT *, CASE WHEN m IN (1, 6) THEN (2000000 * amount + 1000000 + q) // (2 * (1000000 + q)) ELSE amount END AS net FROM r),
+x AS (SELECT *, CASE WHEN m IN (1, 6) THEN amount - net WHEN m = 2 THEN 0 WHEN m = 5 THEN (amount * q + 50000000) // 100000000 * 100 ELSE (amount * q + 500000) // 1000000 END AS tax FROM n),
+b AS (SELECT doc_id, m, q, sum(net)::BIGINT AS net, sum(tax)::BIGINT AS tax, sum(amount)::BIGINT AS amount, min(line_no) AS first FROM x GROUP BY 1, 2, 3),
+d AS (SELECT doc_id, m, sum(net)::BIGINT AS net, sum(tax)::BIGINT AS tax, sum(amount)::BIGINT AS line_sum,
+  string_agg(CASE m WHEN 0 THEN 'USt' WHEN 1 THEN 'TVA' WHEN 4 THEN 'ICMS' WHEN 5 THEN 'Tax' WHEN 6 THEN CASE q WHEN 190000 THEN 'normal' WHEN 70000 THEN 'reduced' ELSE 'VAT' END ELSE 'Sales tax' END || ' ' || rtrim(rtrim((q::DECIMAL(18,0) * 0.0001)::DECIMAL(9,4)::VARCHAR, '0'), '.') || '%=' || (tax::DECIMAL(18,0) * 0.01)::DECIMAL(18,2), '; ' ORDER BY first) AS own FROM b GROUP BY 1, 2),
+e AS (SELECT *, (net * 165 + 5000) // 10000 AS pis, (net * 760 + 5000) // 10000 AS cofins, (net * 18 + 100) // 200 AS half FROM d),
+t AS (SELECT doc_id, m, net, tax + CASE WHEN m = 4 THEN pis + cofins ELSE 0 END AS tax, line_sum,
+  CASE m WHEN 2 THEN 'VAT 0% (reverse charge)=0.00' WHEN 3 THEN 'CGST 9%=' || {{half}} || '; SGST 9%=' || {{half}} WHEN 4 THEN own || '; PIS 1.65%=' || {{pis}} || '; COFINS 7.6%=' || {{cofins}} ELSE own END AS tax_lines FROM e)
+"""
+for _part in ("half", "pis", "cofins"):
+    SCENARIO_SQL = SCENARIO_SQL.replace(f"{{{_part}}}", f"({_part}::DECIMAL(18,0) * 0.01)::DECIMAL(18,2)")
+
+
+@query(SCENARIO_SQL + "SELECT doc_id, (net::DECIMAL(18,0) * 0.01)::DECIMAL(18,2) AS subtotal, (tax::DECIMAL(18,0) * 0.01)::DECIMAL(18,2) AS tax_total, ((net + tax)::DECIMAL(18,0) * 0.01)::DECIMAL(18,2) AS total, (line_sum::DECIMAL(18,0) * 0.01)::DECIMAL(18,2) AS line_sum, tax_lines FROM t")
+def o80_tax_scenarios(spark, sf):
+    """Totals and tax lines of every kind of scenario, levies included."""
+    t = invoices.invoice_taxes(scenario_lines(spark, sf))
+    shown = F.array_join(F.transform("tax_lines", lambda x: F.concat(x["label"], F.lit("="), x["amount"].cast("string"))), "; ")
+    return t.select("doc_id", d2("subtotal"), d2("tax_total"), d2("total"), d2("line_sum"), shown.alias("tax_lines"))
+
+
+@query(SCENARIO_SQL + "SELECT doc_id, unnest(CASE WHEN m IN (1, 6) THEN ['total', 'lines'] ELSE ['total'] END) AS rule FROM t WHERE doc_id % 31 = 0")
+def o69_check_scenarios(spark, sf):
+    """The identities hold on every scenario's invoices, levies included; every 31st total is off by one."""
+    modes = F.create_map(*[F.lit(x) for s in SCENARIOS for x in s[:2]])
+    t = invoices.invoice_taxes(scenario_lines(spark, sf)).withColumn("tax_mode", modes[F.col("scenario")])
+    off = F.when(F.col("doc_id") % 31 == 0, 1).otherwise(0)
+    rows = t.select("doc_id", "tax_mode", "subtotal", "tax_total", F.lit(None).cast("decimal(28,2)").alias("withholding_total"), F.lit(False).alias("withholding"), "line_sum", (F.col("total") + off).cast("decimal(28,2)").alias("total"), "item_count", F.col("item_count").alias("line_item_count"))
+    return quality.check_identity(rows).select("doc_id", "rule")
+
+
 @query(TAXED + f", h AS (SELECT doc_id, total, {HALF_UP.format(n=cents('subtotal') + ' * 10', d=100)} + {HALF_UP.format(n=cents('subtotal') + ' * 32', d=300)} AS held FROM totals) SELECT doc_id, CAST(held AS DECIMAL(18,2)) AS withholding_total, CAST(total - held AS DECIMAL(18,2)) AS total FROM h")
 def o81_apply_withholding(spark, sf):
     return invoices.apply_withholding(totals(spark, sf), "10", "16").select("doc_id", d2("withholding_total"), d2("total"))
