@@ -2,9 +2,10 @@
 
 1. *Shards.* Documents are dealt out to ``SHARDS`` shards by a hash of id and text. A phrase with ``support`` occurrences in a
    language has, in at least one shard, its share of them: count * n >= support * n_shard, n being the language's words. So
-   each shard is mined completely at its lowered support: its words, pairs of frequent words, longer phrases of frequent pairs.
+   each shard is mined completely at its lowered support: its words, pairs of words that are candidates, longer phrases of such pairs.
    A shard is no task: each level is one aggregation over all shards with partial results.
-2. *Union.* What is frequent in any shard is a candidate. It goes to the tasks as a bitmap of ``BITS`` bits by hash, of the same
+2. *Union.* What is frequent in any shard is a candidate, unless its counts in all shards, with the most that shards without a kept count can
+   add, stay below the support. Candidates go to the tasks as a bitmap of ``BITS`` bits by hash, of the same
    size for any input: a phrase that it lets through by chance is counted for nothing, none is lost.
 3. *Count.* One more pass counts all candidates exactly, by their words, not their hashes; ``support`` decides then.
 
@@ -31,12 +32,14 @@ from gaugemill.llm.common import bytes_of, discard, parallelism, scratch, sized,
 
 SUPPORT, LONGEST, TOP = 30, 4, 2000
 SHARDS = 2
+#: Local counts from this one on are kept beside the frequent ones.
+KNOWN = 4
 #: Size of the bitmaps: 8 MB.
 BITS = 26
 #: The bits of a hash from which its places in a bitmap are taken.
 SHIFTS = (0, 32)
 #: Bytes of text that a task holds as tokens at a time, hashes and phrases it counts before it sends them on, words it knows, rows it takes apart at a time.
-SLICE, TALLY, WORDS_KEPT, PHRASES_KEPT, ROWS = 2 << 20, 800_000, 200_000, 450_000, 2000
+SLICE, TALLY, WORDS_KEPT, PHRASES_KEPT, ROWS = 2 << 20, 800_000, 200_000, 600_000, 2000
 #: A phrase goes when a longer one with so many hundredths of its occurrences holds it.
 SUBSUMED = 80
 SCALE = 2_000_000
@@ -158,18 +161,18 @@ def groups(frame: pa.RecordBatch, rows: int = ROWS) -> Iterator[tuple[int, tuple
             yield shard, lang, texts
 
 
-def has(bits: np.ndarray, h: np.ndarray, shard: int = 0) -> np.ndarray:
-    """Which hashes a bitmap holds, by two places each; a shard's are moved to places of their own."""
+def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes a bitmap holds, by two places each."""
     held = np.ones(len(h), bool)
     for shift in SHIFTS:
-        at = (h >> np.uint64(shift) & np.uint64((1 << BITS) - 1)) ^ np.uint64(shard << (BITS - 4))
+        at = h >> np.uint64(shift) & np.uint64((1 << BITS) - 1)
         held &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return held
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bits of the hashes (h, shard), built in Spark in blocks of 4 KB. At most 2^BITS bits come to the driver, however many rows there are."""
-    place = lambda shift: F.shiftrightunsigned("h", shift).bitwiseAND(F.lit((1 << BITS) - 1)).bitwiseXOR(F.shiftleft(F.col("shard").cast("long"), BITS - 4)) + 1
+    """Bits of the hashes (h), built in Spark in blocks of 4 KB. At most 2^BITS bits come to the driver, however many rows there are."""
+    place = lambda shift: F.shiftrightunsigned("h", shift).bitwiseAND(F.lit((1 << BITS) - 1)) + 1
     blocks = hashes.select(F.explode(F.array(*map(place, SHIFTS))).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     bits = np.zeros(1 << (BITS - 3), np.uint8)
     for block, part in blocks.collect():
@@ -202,14 +205,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, frequent: np.ndarray, least: int, most: int) -> DataFrame:
-    """(shard, lang, h, c) of every phrase of ``least`` to ``most`` words whose words and pairs, as far as these are shorter, are frequent in its shard."""
+    """(shard, lang, h, c) of every phrase of ``least`` to ``most`` words in each shard, whose words and pairs, as far as these are shorter, are candidates."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def count(frames):
         known, tally = Tokens(), Tally()
         for frame in frames:
             for shard, lang, texts in groups(frame):
-                fits = lambda h, n, s=shard: has(sent.value, h, s) if n < min(least, 3) else np.ones(len(h), bool)
+                fits = lambda h, n: has(sent.value, h) if n < min(least, 3) else np.ones(len(h), bool)
                 for found, carried in token_slices(texts):
                     for n, _, h in Slice(known.ids(found), known, lang, carried).phrases(fits, most):
                         if n >= least:
@@ -271,12 +274,17 @@ def mine(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> tuple
     words = stored(word_counts(dealt), f"{folder}/words")
     sizes = stored(words.filter("h = 0").groupBy("lang", "shard").agg(F.sum("c").alias("own")).withColumn("n", F.sum("own").over(Window.partitionBy("lang"))), f"{folder}/sizes")
     enough = F.col("c").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)") >= F.lit(support).cast("decimal(10,0)") * F.col("own").cast("decimal(19,0)")
-    frequent = lambda counts: counts.join(sized(sizes, 100_000), ["lang", "shard"]).filter(enough).select("shard", "h")
+
+    def frequent(counts: DataFrame) -> DataFrame:
+        """h of what is frequent in a shard and may be so in all: counts from ``KNOWN`` on are kept, a shard without one has fewer."""
+        kept = counts.join(sized(sizes, 100_000), ["lang", "shard"]).withColumn("enough", enough).filter(F.col("enough") | (F.col("c") >= KNOWN))
+        return kept.groupBy("lang", "h").agg(F.bool_or("enough").alias("enough"), (F.sum("c") + (shards - F.count(F.lit(1))) * (KNOWN - 1)).alias("most")).filter(F.col("enough") & (F.col("most") >= support)).select("h")
+
     own = stored(frequent(words.filter("h <> 0")), f"{folder}/own")
     pairs = stored(frequent(phrase_counts(dealt, bitmap(own), 2, 2)), f"{folder}/pairs")
     short = own.unionByName(pairs)
     longer = stored(frequent(phrase_counts(dealt, bitmap(short), 3, LONGEST)), f"{folder}/longer")
-    union = bitmap(short.unionByName(longer).select("h", F.lit(0).alias("shard")))
+    union = bitmap(short.unionByName(longer))
     counted = stored(exact_counts(dealt.withColumn("shard", F.lit(0)), union).filter(F.col("a") >= support), f"{folder}/counted")
     discard(spark, *(f"{folder}/{name}" for name in ("words", "own", "pairs", "longer")))
     return counted, sizes.select(F.col("lang").alias("number"), "n").distinct()
