@@ -12,6 +12,7 @@ from gaugemill.functions import amounts, checks, comparators, dates, text
 from gaugemill.operators import invoices, metrics, payloads, quality, ranking, scoring
 from gaugemill.plans.views import DIMENSIONS, FIELDS, PRICES, TOOLS, VIEWS, docs, responses, table, tools
 from gaugemill.sources import tables
+from gaugemill.sources.published import Published
 from gaugemill.sources.scratch import scratch
 from gaugemill.sources.store import ResponseStore
 
@@ -117,6 +118,47 @@ def o01_read_truth(spark, sf):
     return spark.read.schema(tables.TRUTH).json(path).select("doc_id", "country", "dimensions.tax_mode", "fields.total", "fields.due_date", "fields.line_item_count")
 
 
+@query("SELECT s_suppkey::VARCHAR AS doc_id, 'C' || s_nationkey AS country, 'exclusive' AS tax_mode, s_suppkey % 3 = 0 AS withholding, s_name AS vendor_name, CASE WHEN s_suppkey % 2 = 0 THEN '19,7' ELSE '19' END AS tax_rates, CASE WHEN s_suppkey % 4 = 0 THEN 'payment_account' ELSE '' END AS unscored, CAST(1 + s_suppkey % 2 AS BIGINT) AS n_lines, '2.50' AS first_amount, 'shown ' || s_name AS shown, s_name || ' Ltd' AS other FROM supplier")
+def o01_truth_files(spark, sf):
+    """Nested truth documents, a JSON file each, written and read back."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    line = F.struct(F.lit("line").alias("description"), F.lit("1").alias("quantity"), F.lit("2.50").alias("amount"))
+    truth = F.struct(
+        k.cast("string").alias("doc_id"), F.concat(F.lit("C"), F.col("s_nationkey").cast("string")).alias("country"), F.array(F.lit("en")).alias("language"), F.struct(F.lit("exclusive").alias("tax_mode"), (k % 3 == 0).alias("withholding")).alias("dimensions"),
+        F.struct(name.alias("vendor_name"), F.when(k % 2 == 0, F.array(F.lit("19"), F.lit("7"))).otherwise(F.array(F.lit("19"))).alias("tax_rates")).alias("fields"), F.when(k % 4 == 0, F.array(F.lit("payment_account"))).otherwise(F.array().cast("array<string>")).alias("unscored_fields"),
+        F.when(k % 2 == 0, F.array(line)).otherwise(F.array(line, line)).alias("line_items"), F.create_map(F.lit("vendor_name"), F.concat(F.lit("shown "), name)).alias("rendered_strings"), F.create_map(F.lit("vendor_name"), F.array(F.concat(name, F.lit(" Ltd")))).alias("field_alternates"),
+    )
+    path = scratch(spark, "truth")
+    table(spark, sf, "supplier").select(k.alias("file"), F.to_json(truth, {"pretty": "true"}).alias("value")).write.partitionBy("file").text(path)
+    d = tables.read_truth(spark, path)
+    first = lambda c: F.element_at(c, F.lit("vendor_name"))
+    return d.select("doc_id", "country", "dimensions.tax_mode", "dimensions.withholding", "fields.vendor_name", F.array_join("fields.tax_rates", ",").alias("tax_rates"), F.array_join("unscored_fields", ",").alias("unscored"), F.size("line_items").cast("long").alias("n_lines"), F.get("line_items", F.lit(0))["amount"].alias("first_amount"), first("rendered_strings").alias("shown"), F.get(first("field_alternates"), F.lit(0)).alias("other"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS doc_id, unnest(list_filter([CASE WHEN s_suppkey % 3 = 0 THEN 'no files/scan' END, CASE WHEN s_suppkey % 5 = 0 THEN 'file/' || s_suppkey || '.pdf' END, 'variants/photo'], lambda x: x IS NOT NULL)) AS fault FROM supplier")
+def o76_check_manifest(spark, sf):
+    """A manifest and its files, written and read back: every fifth file isn't there, every third document has a variant without files, and no photo is taken."""
+    k = F.col("s_suppkey")
+    own, folder = table(spark, sf, "supplier"), scratch(spark, "dataset")
+    name = F.concat(k.cast("string"), F.lit(".pdf"))
+    own.filter(k % 5 != 0).select(name.alias("file"), F.lit("content").alias("value")).write.partitionBy("file").text(f"{folder}/files")
+    variants = F.create_map(F.lit("clean"), F.array(name), F.lit("scan"), F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(name)))
+    variants = F.when((k % 5 == 0) & (k % 3 != 0), F.create_map(F.lit("clean"), F.array(name), F.lit("scan"), F.array(F.lit("1.pdf")))).otherwise(variants)
+    entry = F.struct(k.cast("string").alias("doc_id"), variants.alias("variants"))
+    own.select(k.alias("entry"), F.to_json(entry, {"pretty": "true"}).alias("value")).write.partitionBy("entry").text(f"{folder}/manifest")
+    listing = tables.list_files(spark, f"{folder}/files", "part-*").select(F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), "length")
+    found = quality.check_manifest(tables.read_manifest(spark, f"{folder}/manifest"), listing, ["clean", "scan", "photo"])
+    return found.select("doc_id", F.concat_ws("/", "rule", "message").alias("fault"))
+
+
+@query("SELECT page_id, sha256(coalesce(html, '') || chr(10)) AS sha256 FROM pages")
+def o77_fingerprint_files(spark, sf):
+    """Pages as files of their own, written, found and hashed."""
+    path = scratch(spark, "page-files")
+    table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value")).write.partitionBy("page_id").text(path)
+    return quality.fingerprint(tables.read_files(spark, path, "part-*")).select(F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("long").alias("page_id"), "sha256")
+
+
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
     """A manifest: each order's files by variant, a page image for each two lines."""
     name = lambda v, p: F.concat(F.col("doc_id").cast("string"), F.lit(f"-{v}-"), p.cast("string"))
@@ -172,6 +214,17 @@ def o05_write_results(spark, sf):
     return spark.read.schema("tool string, n_units long, n_exact long").json(f"{path}/2026.1/public/summary").crossJoin(F.broadcast(n))  # one row
 
 
+@query(SUMMARY + " SELECT 'invoices' AS category, '2026.1' AS dataset_version, 'public' AS split, '2026-01-31' AS generated_at, tool, n_units, n_exact, (SELECT count(*) FROM units) AS n_per_doc, (SELECT count(*) FROM pairs WHERE outcome <> 'correct') AS n_failures FROM summary")
+def o05_published_results(spark, sf):
+    """A run is published, then a whole one over it, which is read with its header."""
+    u, p = stored_units(spark, sf), pairs(spark, sf)
+    results = Published(spark, scratch(spark, "published"), "2026.1", "public")
+    results.publish({"per_doc": u.limit(1)}, "invoices", "2026-01-01")
+    results.publish({"summary": metrics.summarize(u), "per_doc": u, "failures": scoring.failures(p)}, "invoices", "2026-01-31")
+    header = results.header().select("category", "generated_at", F.col("rows")["per_doc"].alias("n_per_doc"), F.col("rows")["failures"].alias("n_failures"))
+    return results.read("summary", "tool string, n_units long, n_exact long").crossJoin(F.broadcast(header)).select("category", "dataset_version", "split", "generated_at", "tool", "n_units", "n_exact", "n_per_doc", "n_failures")  # one row
+
+
 @query(SLICES + " SELECT dimension, value, tool, n_units, n_exact FROM slices")
 def o06_write_slices(spark, sf):
     path = scratch(spark, "slices")
