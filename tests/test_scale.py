@@ -1,5 +1,6 @@
 """Operators whose plans must hold at any size: exact percentiles, sums of partial states, row-local look-ups, one-pass choices, evidence."""
 
+import hashlib
 import random
 from decimal import Decimal
 
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 
 from gaugemill.functions import comparators, text
 from gaugemill.operators import invoices, metrics, quality, ranking, scoring
+from gaugemill.plans import queries
+from gaugemill.sources import tables
+from gaugemill.sources.published import Published
+from gaugemill.sources.store import ResponseStore
 
 SF = "/root/testdata/sf0.1"
 
@@ -169,3 +174,92 @@ def test_ties_keep_the_same_record(spark):
 def test_documents_without_a_list_lack_every_variant(spark):
     manifest = spark.createDataFrame([(1, {"clean": ["f"]}), (2, None), (3, {})], "doc_id int, variants map<string,array<string>>")
     assert sorted(map(tuple, scoring.coverage_gaps(manifest, ["clean", "scan"]).collect())) == [(1, "scan"), (2, "clean"), (2, "scan"), (3, "clean"), (3, "scan")]
+
+
+# ---- the response store
+
+
+def record(tool, doc, raw, at, error=None):
+    return (tool, "m/1:2", doc, "v", f"hash-{doc}", raw, 1.0, None, error, at)
+
+
+def records(spark, rows):
+    schema = "tool_id string, tool_version string, doc_id string, variant string, sha256 string, raw string, latency_ms double, cost_usd decimal(18,6), error string, at long"
+    return spark.createDataFrame(rows, schema).withColumn("written_at", F.timestamp_seconds("at")).drop("at")
+
+
+def test_response_store(spark, tmp_path):
+    store = ResponseStore(spark, str(tmp_path / "store"), buckets=4)
+    assert store.generations() == [] and store.read().count() == 0
+    store.append(records(spark, [record("t", f"d{i}", "old", 1, "timeout") for i in range(6)]))
+    store.append(records(spark, [record("t", f"d{i}", "new", 2) for i in range(4)] + [record("u", "d0", "b", 3), record("u", "d0", "a", 3)]))
+    versions = {"t": "m/1:2", "u": "m/1:2"}
+    units = spark.createDataFrame([(t, f"d{i}", f"hash-d{i}") for t in "tu" for i in range(8)], "tool_id string, doc string, sha256 string").withColumn("key", F.lit(1))
+    want = sorted([("t", f"d{i}", "answered", "new") for i in range(4)] + [("t", f"d{i}", "failed", "old") for i in (4, 5)] + [("t", f"d{i}", "skipped", None) for i in (6, 7)] + [("u", f"d{i}", "skipped", None) for i in range(1, 8)])
+    for again in range(2):
+        paired = store.pair(units, versions)
+        got = sorted((tuple(r) for r in paired.select("tool_id", "doc", "status", "raw").collect()), key=str)
+        kept = [r for r in got if r[:2] == ("u", "d0")]
+        assert [r for r in got if r not in kept] == sorted(want, key=str) and len(kept) == 1 and kept[0][3] in "ab"
+        first = kept if not again else first
+        assert kept == first
+        assert store.pending(units, versions).count() == 16 - 5
+        assert plan(paired).count("Exchange hashpartitioning") == 1 and "SinglePartition" not in plan(paired)
+        assert "Exchange" not in plan(store.read())
+        assert len(store.generations()) == 1 and store.generations()[0][0] == again + 1
+        store.compact()
+    assert store.records().count() == 7 and store.read(tools=["u"]).count() == 1 and store.read({"t": "other"}).count() == 0
+    assert ResponseStore(spark, str(tmp_path / "store"), buckets=9).read().count() == 7
+
+
+# ---- scenarios
+
+
+def test_scenarios(spark):
+    rows = [("a", "levies", 1, "10.10"), ("a", "levies", 2, "0.05"), ("b", "whole", 1, "10.50"), ("c", "reverse", 1, "3.00"), ("d", "split", 1, "0.07"), ("e", "none", 1, "1.00")]
+    lines = spark.createDataFrame(rows, "doc_id string, scenario string, line_no int, amount string").withColumn("amount", F.col("amount").cast("decimal(18,2)")).withColumn("doc_seed", F.lit(1)).withColumn("line_seed", F.lit(1))
+    taxed = invoices.taxed_lines(lines.filter("doc_id <> 'e'"), queries.scenario_table(spark))
+    got = {r["doc_id"]: r for r in invoices.invoice_taxes(taxed).collect()}
+    shown = lambda d: [(x["label"], x["rate"], str(x["amount"])) for x in got[d]["tax_lines"]]
+    # 12 % of 10.10 and 0.05 by line, levies on 10.15
+    assert shown("a") == [("ICMS 12%", "12", "1.22"), ("PIS 1.65%", "1.65", "0.17"), ("COFINS 7.6%", "7.6", "0.77")]
+    assert (str(got["a"]["subtotal"]), str(got["a"]["tax_total"]), str(got["a"]["total"]), got["a"]["item_count"]) == ("10.15", "2.16", "12.31", 2)
+    assert shown("b") == [("Tax 10%", "10", "1.00")] and str(got["b"]["total"]) == "12.00"
+    assert shown("c") == [("VAT 0% (reverse charge)", "0", "0.00")] and str(got["c"]["total"]) == "3.00"
+    assert shown("d") == [("CGST 9%", "9", "0.01"), ("SGST 9%", "9", "0.01")] and str(got["d"]["tax_total"]) == "0.01"
+    with pytest.raises(Exception, match="no scenario is named none"):
+        invoices.taxed_lines(lines, queries.scenario_table(spark)).collect()
+    assert invoices.invoice_taxes(invoices.taxed_lines(lines.limit(0), queries.scenario_table(spark))).count() == 0
+
+
+# ---- files and published results
+
+
+def test_manifests_over_files(spark, tmp_path):
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.pdf").write_text("x")
+    (tmp_path / "files" / "empty.pdf").write_text("")
+    (tmp_path / "m.json").write_text('[{"doc_id": "A",\n "variants": {"clean": ["a.pdf"], "scan": []}}, {"doc_id": "B", "variants": {"clean": ["empty.pdf", null, "gone.pdf"], "scan": [null]}}, {"doc_id": "C"}]', encoding="utf-8")
+    listing = tables.list_files(spark, str(tmp_path / "files")).select(F.substring_index("path", "/", -1).alias("file"), "length")
+    assert "content" not in plan(listing).split("ReadSchema")[-1]
+    found = quality.check_manifest(tables.read_manifest(spark, str(tmp_path / "m.json")), listing, ["clean", "scan"])
+    assert sorted(map(tuple, found.collect())) == [("A", "no files", "scan"), ("B", "file", "empty.pdf"), ("B", "file", "gone.pdf"), ("B", "no files", "scan"), ("C", "variants", "clean,scan")]
+    hashes = {r["path"].rsplit("/", 1)[-1]: r["sha256"] for r in quality.fingerprint(tables.read_files(spark, str(tmp_path / "files"))).collect()}
+    assert hashes == {"a.pdf": hashlib.sha256(b"x").hexdigest()}
+
+
+def test_a_failed_run_leaves_the_one_before(spark, tmp_path):
+    results = Published(spark, str(tmp_path), "2026/1", "public")
+    with pytest.raises(FileNotFoundError):
+        results.header()
+    rows = spark.createDataFrame([("t", 3)], "tool string, n_units long")
+    assert results.publish({"summary": rows}, "invoices", "2026-01-31", "notes.md") == 1
+    with pytest.raises(Exception, match="a tool failed"):
+        results.publish({"summary": rows, "failures": rows.select(F.raise_error(F.lit("a tool failed")).alias("tool"))}, "invoices", "2026-02-28")
+    (header,) = results.header().collect()
+    assert (header["category"], header["dataset_version"], header["split"], header["generated_at"], header["methodology"], header["rows"]) == ("invoices", "2026/1", "public", "2026-01-31", "notes.md", {"summary": 1})
+    assert results.read("summary", "tool string, n_units long").first()["n_units"] == 3
+    assert results.publish({"summary": rows.limit(0)}, "invoices", "2026-03-31") == 3 and results.runs(finished=False) == [3]
+    assert results.header().first()["rows"] == {"summary": 0}
+    with pytest.raises(ValueError, match="unknown outputs: charts"):
+        results.publish({"charts": rows}, "invoices", "2026-03-31")
