@@ -168,7 +168,7 @@ def cost_plan(units: DataFrame, prices: DataFrame, budget: str, pending: DataFra
     own = units.join(F.broadcast(prices), "tool").groupBy("tool").agg(F.count(F.lit(1)).alias("n_units"), F.sum("price").cast("decimal(28,6)").alias("estimate"))
     if pending is not None:
         left = pending.join(F.broadcast(prices), "tool").groupBy("tool").agg(F.sum("price").cast("decimal(28,6)").alias("pending_estimate"))
-        own = own.join(left, "tool", "left").withColumn("pending_estimate", F.coalesce("pending_estimate", F.lit(0).cast("decimal(28,6)")))
+        own = own.join(left.hint("merge"), "tool", "left").withColumn("pending_estimate", F.coalesce("pending_estimate", F.lit(0).cast("decimal(28,6)")))
     sums = [F.sum(c).cast(t).alias(c) for c, t in own.dtypes if c != "tool"]
     total = own.agg(*sums).select(F.lit(None).cast("string").alias("tool"), *[c for c in own.columns if c != "tool"])
     return own.unionByName(total).withColumn("within_budget", F.col("estimate") <= F.lit(budget).cast("decimal(28,6)"))

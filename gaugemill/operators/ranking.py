@@ -26,7 +26,7 @@ def leader(summary: DataFrame) -> DataFrame:
 def with_slice_metric(board: DataFrame, slices: DataFrame, dimension: str, values: Sequence[str]) -> DataFrame:
     """Replace each tool's exact-match block by that of slices, pooled by their counts; a tool without them is dropped."""
     chosen = slices.filter((F.col("dimension") == dimension) & F.col("value").isin(list(values))).groupBy("tool").agg(F.sum("n_exact").alias("s"), F.sum("n_units").alias("n"))
-    return board.drop("exact_match").join(chosen, "tool").withColumn("exact_match", block(F.col("s"), F.col("n"))).drop("s", "n")
+    return board.drop("exact_match").join(chosen.hint("merge"), "tool").withColumn("exact_match", block(F.col("s"), F.col("n"))).drop("s", "n")
 
 
 def recommend(board: DataFrame, slices: DataFrame | None = None, where: dict[str, Sequence[str]] | None = None, max_mean_cost: str | None = None, min_rate: float | None = None) -> DataFrame:
@@ -91,7 +91,7 @@ def weakest_slices(slices: DataFrame, tool: str, dimensions: Sequence[str]) -> D
 def split_gap(public: DataFrame, private: DataFrame) -> DataFrame:
     """Per tool private rate minus public rate in percentage points; null where a side lacks it."""
     other = private.select("tool", F.col("exact_match.rate").alias("private_rate"))
-    return public.select("tool", F.col("exact_match.rate").alias("public_rate")).join(other, "tool", "left").withColumn("gap_points", (F.col("private_rate") - F.col("public_rate")) * 100)
+    return public.select("tool", F.col("exact_match.rate").alias("public_rate")).join(other.hint("merge"), "tool", "left").withColumn("gap_points", (F.col("private_rate") - F.col("public_rate")) * 100)
 
 
 def pick_by_priority(candidates: DataFrame, keys: Sequence[str], value: str, priority: str, position: str) -> DataFrame:

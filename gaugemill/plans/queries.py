@@ -769,7 +769,7 @@ def o62_quantize_amounts(spark, sf):
 def o63_calendar_dim(spark, sf):
     orders = table(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
     first, last = orders.agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
-    return orders.join(tables.calendar_dim(spark, first, last), "day", "left").select("o_orderkey", "era", "era_year", "buddhist_year", "japanese")
+    return orders.join(tables.calendar_dim(spark, first, last).hint("merge"), "day", "left").select("o_orderkey", "era", "era_year", "buddhist_year", "japanese")
 
 
 @query("SELECT o_orderkey, day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) AND o_orderkey % 2 = 0 AS ambiguous FROM orders")

@@ -14,6 +14,7 @@ from gaugemill.plans import queries
 from gaugemill.sources import tables
 from gaugemill.sources.published import Published
 from gaugemill.sources.store import ResponseStore
+from gaugemill.streaming import responses as streams
 
 SF = "/root/testdata/sf0.1"
 
@@ -212,6 +213,19 @@ def test_response_store(spark, tmp_path):
     assert ResponseStore(spark, str(tmp_path / "store"), buckets=9).read().count() == 7
 
 
+def test_a_stream_counts_the_newest_of_each_key(spark, tmp_path):
+    path, store = str(tmp_path / "in"), ResponseStore(spark, str(tmp_path / "store"), buckets=2)
+
+    def arrive(rows):
+        records(spark, rows).coalesce(1).write.mode("append").parquet(path)
+        streams.keep_newest_counts(streams.response_stream(spark, path, 1), store, str(tmp_path / "counts"), str(tmp_path / "cp")).awaitTermination()
+        return {r["tool_id"]: (r["answered"], r["failed"]) for r in spark.read.parquet(str(tmp_path / "counts")).collect()}
+
+    assert arrive([record("t", "a", "x", 1, "timeout"), record("t", "b", "x", 1), record("u", "a", "x", 1)]) == {"t": (1, 1), "u": (1, 0)}
+    assert arrive([record("t", "a", "y", 2), record("t", "b", "x", 1), record("t", "b", "x", 1)]) == {"t": (2, 0), "u": (1, 0)}
+    assert arrive([record("t", "a", "late", 1, "timeout"), record("v", "c", "x", 5, "e")]) == {"t": (2, 0), "u": (1, 0), "v": (0, 1)}
+
+
 # ---- scenarios
 
 
