@@ -7,7 +7,8 @@
 2. *Union.* What is frequent in any shard is a candidate, unless its counts in all shards, with the most that shards without a kept count can
    add, stay below the support. Candidates go to the tasks as a bitmap of ``BITS`` bits by hash, of the same
    size for any input: a phrase that it lets through by chance is counted for nothing, none is lost.
-3. *Count.* One more pass counts all candidates exactly, by their words, not their hashes; ``support`` decides then.
+3. *Count.* Words have been counted by then, all of them; one more pass counts the longer candidates exactly, by their words, not their hashes;
+   ``support`` decides then.
 
 Scores and the choice of phrases are joins and aggregations of the table of counts. Products are decimals of 38 digits.
 
@@ -40,6 +41,8 @@ BITS = 26
 SHIFTS = (0, 32)
 #: Bytes of text that a task holds as tokens at a time, hashes and phrases it counts before it sends them on, words it knows, rows it takes apart at a time.
 SLICE, TALLY, WORDS_KEPT, PHRASES_KEPT, ROWS = 2 << 20, 800_000, 200_000, 600_000, 2000
+#: Words that a task knows in the first pass, which counts them.
+FIRST_WORDS_KEPT = 400_000
 #: A phrase goes when a longer one with so many hundredths of its occurrences holds it.
 SUBSUMED = 80
 SCALE = 2_000_000
@@ -72,8 +75,8 @@ class Tokens:
         self.number = Numbers({b".": 0})
         self.hashes = np.zeros(1, np.uint64)
 
-    def ids(self, found: list[bytes]) -> np.ndarray:
-        if len(self.number) > WORDS_KEPT:
+    def ids(self, found: list[bytes], most: int = WORDS_KEPT) -> np.ndarray:
+        if len(self.number) > most:
             self.__init__()
         ids = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
         if new := len(self.number) - len(self.hashes):
@@ -184,24 +187,38 @@ COUNTS = "shard int, lang long, h long, c long"  # a language by its number, so
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(shard, lang, h, c) of every word; h = 0 holds the number of all of them."""
+    """(shard, lang, h, word, c) of every word, told apart by its bytes; h = 0 holds a language's name and the number of all its words."""
 
     def count(frames):
-        known, tally, totals = Tokens(), Tally(), defaultdict(int)
+        known, held, names = Tokens(), {}, {}
+
+        def rows():
+            words = pa.array(list(known.number), pa.binary())
+            for (shard, lang), counts in held.items():
+                at = np.flatnonzero(counts)
+                h = mixed(np.uint64(xxhash.xxh3_64_intdigest(names[lang])) + known.hashes[at] * _FACTORS[0])
+                h[h == 0] = 1
+                total = pa.array([names[lang].encode()], pa.binary())
+                columns = [np.concatenate([x.view(np.int64), [y]]) for x, y in ((h, 0), (counts[at], int(counts.sum())))]
+                n = len(at) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, lang, np.int64)), pa.array(columns[0]), pa.concat_arrays([words.take(pa.array(at)), total]).cast(pa.string()), pa.array(columns[1])], ["shard", "lang", "h", "word", "c"])
+            held.clear()
+
         for frame in frames:
-            for shard, lang, texts in groups(frame):
+            for shard, (name, lang), texts in groups(frame):
                 for found, carried in token_slices(texts):
-                    _, _, h = next(Slice(known.ids(found), known, lang, carried).phrases(lambda h, n: np.ones(len(h), bool)))
-                    h[h == 0] = 1
-                    tally.add((shard, lang), h)
-                    totals[shard, lang] += len(h)
-                if tally.size > TALLY:
-                    yield from tally.rows()
-        yield from tally.rows()
-        for (shard, lang), n in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([lang[1]]), pa.array([0], pa.int64()), pa.array([n], pa.int64())], ["shard", "lang", "h", "c"])
+                    if len(known.number) > FIRST_WORDS_KEPT:
+                        yield from rows()
+                        known = Tokens()
+                    ids = known.ids(found[carried:], FIRST_WORDS_KEPT)
+                    counts = np.bincount(ids, minlength=len(known.number))
+                    counts[0] = 0  # where a piece ends
+                    if (before := held.get((shard, lang))) is not None:
+                        counts[: len(before)] += before
+                    held[shard, lang], names[lang] = counts, name
+        yield from rows()
 
-    return docs.mapInArrow(count, COUNTS).groupBy("shard", "lang", "h").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(count, "shard int, lang long, h long, word string, c long").groupBy("shard", "lang", "h", "word").agg(F.sum("c").alias("c"))
 
 
 def phrase_counts(docs: DataFrame, frequent: np.ndarray, least: int, most: int) -> DataFrame:
@@ -234,7 +251,7 @@ def same_words(ids: np.ndarray, at: np.ndarray, h: np.ndarray, n: int) -> tuple[
 
 
 def exact_counts(docs: DataFrame, candidates: np.ndarray) -> DataFrame:
-    """(lang, phrase, words, a) of every phrase that the candidates' bitmap lets through: occurrences in all shards, counted by words."""
+    """(lang, phrase, words, a) of every phrase of two words and more that the candidates' bitmap lets through: occurrences in all shards, counted by words."""
     sent = docs.sparkSession.sparkContext.broadcast(candidates)
 
     def count(frames):
@@ -251,7 +268,7 @@ def exact_counts(docs: DataFrame, candidates: np.ndarray) -> DataFrame:
                 for found, carried in token_slices(texts):
                     ids = known.ids(found)
                     for n, at, h in Slice(ids, known, lang, carried).phrases(lambda h, n: has(sent.value, h)):
-                        if len(at):
+                        if n > 1 and len(at):
                             counts = held[lang[0], n]
                             for place, times in zip(*(x.tolist() for x in same_words(ids, at, h, n)), strict=True):
                                 counts[b" ".join(found[place : place + n])] += times
@@ -272,7 +289,7 @@ def mine(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> tuple
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(shards)).cast("int").alias("shard"), lang.alias("lang"), F.xxhash64(lang).alias("number"), text.alias("text"))
     words = stored(word_counts(dealt), f"{folder}/words")
-    sizes = stored(words.filter("h = 0").groupBy("lang", "shard").agg(F.sum("c").alias("own")).withColumn("n", F.sum("own").over(Window.partitionBy("lang"))), f"{folder}/sizes")
+    sizes = stored(words.filter("h = 0").groupBy("lang", "shard").agg(F.sum("c").alias("own"), F.max("word").alias("name")).withColumn("n", F.sum("own").over(Window.partitionBy("lang"))), f"{folder}/sizes")
     enough = F.col("c").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)") >= F.lit(support).cast("decimal(10,0)") * F.col("own").cast("decimal(19,0)")
 
     def frequent(counts: DataFrame) -> DataFrame:
@@ -285,7 +302,11 @@ def mine(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> tuple
     short = own.unionByName(pairs)
     longer = stored(frequent(phrase_counts(dealt, bitmap(short), 3, LONGEST)), f"{folder}/longer")
     union = bitmap(short.unionByName(longer))
-    counted = stored(exact_counts(dealt.withColumn("shard", F.lit(0)), union).filter(F.col("a") >= support), f"{folder}/counted")
+    single = words.filter("h <> 0").groupBy("lang", "word").agg(F.sum("c").alias("a")).filter(F.col("a") >= support)
+    names = sized(stored(sizes.select("lang", "name").distinct(), f"{folder}/names"), 100_000)
+    single = single.join(names, "lang").select(F.col("name").alias("lang"), F.col("word").alias("phrase"), F.lit(1).alias("words"), "a")
+    phrases = exact_counts(dealt.withColumn("shard", F.lit(0)), union).filter(F.col("a") >= support)
+    counted = stored(single.unionByName(phrases), f"{folder}/counted")
     discard(spark, *(f"{folder}/{name}" for name in ("words", "own", "pairs", "longer")))
     return counted, sizes.select(F.col("lang").alias("number"), "n").distinct()
 
