@@ -6,10 +6,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gaugemill.llm import collocations, conversations, host_rules
+from gaugemill.llm import collocations, conversations, host_rules, queries
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -182,6 +183,21 @@ def test_search_deepens_to_the_least_path():
         assert (cost, letters) == cheapest(rows)
 
 
+# ---- the registered queries
+
+
+@pytest.mark.parametrize("name", ["op11_collocations", "op12_conversations", "op13_host_rules"])
+def test_sql_twins(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.01")
+    found = con.execute(queries.ORACLE_SQL[name])
+    names, rows = [c[0] for c in found.description], df.collect()
+    assert sorted(names) == sorted(df.columns) and rows
+    assert sorted(str([r[c] for c in names]) for r in rows) == sorted(str(list(r)) for r in found.fetchall())
+
+
 # ---- host rules
 
 
