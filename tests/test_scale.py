@@ -262,6 +262,19 @@ def test_manifests_over_files(spark, tmp_path):
     assert hashes == {"a.pdf": hashlib.sha256(b"x").hexdigest()}
 
 
+def test_files_are_written_by_all_tasks(spark, tmp_path):
+    """A small table is one task; its files are made by many, and documents go into few files."""
+    rows = spark.range(2500).coalesce(1).select("id", F.to_json(F.struct(F.col("id").cast("string").alias("doc_id"), F.lit("DE").alias("country")), {"pretty": "true"}).alias("value"))
+    assert tables.spread(rows, "id").rdd.getNumPartitions() == tables.TASKS * spark.sparkContext.defaultParallelism
+    tables.write_documents(rows, "id", str(tmp_path / "truth"))
+    assert len(list((tmp_path / "truth").rglob("part-*"))) == 3
+    assert sorted(int(r["doc_id"]) for r in tables.read_truth(spark, str(tmp_path / "truth")).filter("country = 'DE'").collect()) == list(range(2500))
+    tables.write_files(rows.filter("id < 40"), "id", str(tmp_path / "files"))
+    written = {f.parent.name: f.read_text() for f in (tmp_path / "files").rglob("part-*")}
+    assert len(written) == 40 and '"39"' in written["id=39"]
+    assert len({f.name.split("-")[1] for f in (tmp_path / "files").rglob("part-*")}) > 4
+
+
 def test_a_failed_run_leaves_the_one_before(spark, tmp_path):
     results = Published(spark, str(tmp_path), "2026/1", "public")
     with pytest.raises(FileNotFoundError):
