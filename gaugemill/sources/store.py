@@ -18,6 +18,13 @@ from gaugemill.operators.scoring import newest
 from gaugemill.sources.tables import RESPONSE
 
 KEY = ("tool_id", "sha256")
+#: Records of a bucket, as one task reads and sorts a bucket.
+RECORDS = 200_000
+
+
+def buckets_for(records: int) -> int:
+    """Buckets of a store of about that many records."""
+    return max(8, -(-records // RECORDS))
 
 
 class ResponseStore:
