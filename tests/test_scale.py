@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from gaugemill.functions import comparators, text
 from gaugemill.operators import invoices, metrics, quality, ranking, scoring
-from gaugemill.plans import queries
-from gaugemill.sources import tables
+from gaugemill.plans import queries, views
+from gaugemill.sources import store, tables
 from gaugemill.sources.published import Published
 from gaugemill.sources.store import ResponseStore
 from gaugemill.streaming import responses as streams
@@ -103,6 +103,36 @@ def test_units_are_row_local(spark):
     assert none.filter("unit is null").count() == len(rows)
 
 
+# ---- scoring
+
+
+def test_units_move_only_documents(spark):
+    """Tools' answers, three a document, and their pairs are made where their document lies."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for make in (queries.units, queries.pairs, lambda s, sf: queries.scoring.unit_exact(queries.pairs(s, sf))):
+        text_of = plan(make(spark, "/root/testdata/sf0.001"))
+        assert text_of.count("Exchange hashpartitioning(o_orderkey") in (2, 4) and "hashpartitioning(doc_id" not in text_of
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_parts_follow_the_documents(spark, monkeypatch):
+    """A task holds a bounded number of documents, however few bytes they are."""
+    monkeypatch.setattr(views, "DOCUMENTS", 100)
+    d = queries.docs(spark, "/root/testdata/sf0.001")
+    assert d.rdd.getNumPartitions() == 15 and d.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
+
+
+def test_buckets_follow_the_records(spark, monkeypatch):
+    assert store.buckets_for(0) == 8 and all(n / store.buckets_for(n) <= store.RECORDS for n in (10**6, 162 * 10**6))
+    monkeypatch.setattr(store, "RECORDS", 100)
+    _, filled = queries.response_store(spark, "/root/testdata/sf0.001")
+    assert filled.buckets == 45 and filled.records().count() > 4500
+
+
+def test_no_task_holds_all_ties(spark):
+    assert "SinglePartition" not in plan(queries.QUERIES["o03_tied_responses"](spark, "/root/testdata/sf0.001")) and "Exchange RoundRobin" not in plan(queries.QUERIES["o03_tied_responses"](spark, "/root/testdata/sf0.001"))
+
+
 # ---- quotas
 
 
