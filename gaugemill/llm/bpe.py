@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugemill.llm.common import free_name, slices, texts_of
+from gaugemill.llm.common import free_name, portions, slices, texts_of
 from gaugemill.llm.pieces import PieceCache, tokenizer
 
+#: Parts kept in each of two generations: with their ids more than texts take otherwise.
+CACHE = 60_000
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
 
@@ -56,7 +58,7 @@ class SpeculativeBpe:
         self.good = np.zeros(0, np.int64)  # pair keys, sorted
         self.bad = np.zeros(0, np.int64)
         self.whole: dict[int, bool] = {}
-        self.cache = PieceCache(self.encode_parts, lower=True, spaced=False)
+        self.cache = PieceCache(self.encode_parts, lower=True, spaced=False, limit=CACHE)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The exact merges: the lowest rank first, leftmost first among equals."""
@@ -178,7 +180,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = Fals
 
     def batches(frames):
         bpe = loaded(path)
-        for frame in frames:
+        for frame in (part for whole in frames for part in portions(whole)):
             texts = texts_of(frame.column(0))
             ids = bpe.encode(texts)
             decoded = [bpe.decode(x) for x in ids]
@@ -186,6 +188,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = Fals
             new += [pa.array(ids, pa.binary()), pa.array(decoded)] if keep_ids else []
             names = [*frame.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if keep_ids else ())]
             yield pa.RecordBatch.from_arrays([*frame.columns[1:], *new], names)
+        bpe.cache.forget()  # the worker stays for other stages
 
     schema = docs.select(*without_text).schema
     for f in ("n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(("ids binary", "decoded string") if keep_ids else ())):

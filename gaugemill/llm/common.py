@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,16 @@ def slices(items: list, limit: int = SLICE_CHARS) -> Iterator[range]:
         yield range(at, len(items))
 
 
+def portions(frame: pa.RecordBatch, column: int = 0, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """``frame`` in ranges of rows whose texts, in ``column``, have about ``limit`` bytes each: a task never holds a whole batch as strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(frame.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < frame.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield frame.slice(at, stop - at)
+        at = stop
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as make it none of the columns of ``df``."""
     taken = {c.lower() for c in df.columns}

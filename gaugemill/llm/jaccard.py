@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugemill.llm.common import bytes_of, discard, parallelism, scratch, sized, stored
+from gaugemill.llm.common import bytes_of, discard, parallelism, portions, scratch, sized, stored
 from gaugemill.llm.components import components
 
 #: Members of a bucket that are compared with one another in one task.
@@ -234,7 +234,7 @@ def indexed(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
 
     def entries(frames):
         found, docs, sent, at = Entries(), [], set(), 0
-        for frame in frames:
+        for frame in (part for whole in frames for part in portions(whole, 1)):
             for doc_id, text, place in zip(frame.column(0).to_pylist(), bytes_of(frame.column(1)), frame.column(2).to_pylist(), strict=True):
                 s = shingles(text, k)
                 key = key_of(s) if len(s) else 0

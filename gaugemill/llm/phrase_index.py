@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm.common import bytes_of, discard, scratch, stored
+from gaugemill.llm.common import bytes_of, discard, portions, scratch, stored
 
 #: Words of a segment, after which a new one begins with the next document.
 SEGMENT_WORDS = 1_000_000
@@ -122,7 +122,7 @@ def build(docs: DataFrame, folder: str, segment_words: int = SEGMENT_WORDS) -> N
             kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], ["segment", "doc_ids", "lengths", "terms", "counts", "gaps"])
 
-        for frame in frames:
+        for frame in (part for whole in frames for part in portions(whole, 1)):
             for doc_id, text in zip(frame.column(0).to_pylist(), bytes_of(frame.column(1)), strict=True):
                 words = words_of(text)
                 ids.append(doc_id)

@@ -56,6 +56,9 @@ class PieceCache:
         self.values: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
+    def forget(self) -> None:
+        self.values, self.old = {}, {}
+
     def split(self, text: str) -> list[str]:
         if is_plain(text):
             return self.parts.findall(text.lower() if self.lower else text)

@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugemill.llm.common import free_name, slices, texts_of
+from gaugemill.llm.common import free_name, portions, slices, texts_of
 
 #: At most so many labelled rows are trained on, those whose ids hash lowest.
 TRAIN_ROWS = 3000
 #: At most so many characters of texts, taken row by row in the same order (whole texts only).
 TRAIN_CHARS = 24_000_000
 ROWS, DIM, EPOCHS, STEPS, RATE, GRAM = 1 << 16, 8, 4, 12_000, 0.5, 3  # as many rounds as give that many steps, EPOCHS at least
-TOKENS_KEPT = 200_000
+#: Tokens whose numbers a task keeps in each of two generations.
+TOKENS_KEPT = 50_000
 WORD = re.compile(r"[^ \t-\r]+")
 
 
@@ -187,7 +188,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     kept = docs.drop("score", "predicted")
 
     def batches(frames):
-        for frame in frames:
+        for frame in (part for whole in frames for part in portions(whole)):
             scores = pa.array(sent.value.scores(texts_of(frame.column(0))), pa.float64())
             yield pa.RecordBatch.from_arrays([*frame.columns[1:], scores], [*frame.schema.names[1:], "score"])
 
@@ -200,7 +201,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(frames):
-        for frame in frames:
+        for frame in (part for whole in frames for part in portions(whole)):
             good = [s >= threshold for s in sent.value.scores(texts_of(frame.column(0)))]
             yield pa.RecordBatch.from_arrays(frame.columns[1:], frame.schema.names[1:]).filter(pa.array(good, pa.bool_()))
 
