@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 FIELDS = (("party_id", "identifier"), ("invoice_date", "date"), ("due_date", "date"), ("total", "amount"), ("line_item_count", "integer"))
 TOOLS = (("t_a", 5), ("t_b", 7), ("t_c", 11))
 DIMENSIONS = ("country", "region", "segment", "tax_mode", "variant")
+ANSWERED = "doc_id % 97 <> 3"  # documents that the tools were given
 PRICES = (("t_a", "0.0125"), ("t_b", "0.0040"), ("t_c", "0.0021"))
 
 
@@ -53,7 +54,7 @@ def tools(spark: SparkSession) -> DataFrame:
 def responses(documents: DataFrame) -> DataFrame:
     """One row per answered (tool, doc_id): the five answers as strings, error, latency_ms, cost_usd. Columns stay one scan: tools are exploded."""
     tool = F.explode(F.array(*[F.struct(F.lit(t).alias("tool"), F.lit(m).alias("m")) for t, m in TOOLS]))
-    wide = documents.filter("doc_id % 97 <> 3").withColumn("t", tool).select("*", "t.tool", "t.m").drop("t")
+    wide = documents.filter(ANSWERED).withColumn("t", tool).select("*", "t.tool", "t.m").drop("t")
     k = lambda f: (F.col("doc_id") + f) % F.col("m")
 
     def answer(f: int, one: Column, two: Column, other: Column) -> Column:
