@@ -154,6 +154,11 @@ def summarize_slices(units: DataFrame, coords: DataFrame, key: str = "doc_id") -
     return summarize(units.join(coords.hint("merge"), key), ("tool", "dimension", "value"))
 
 
+def summarize_own_slices(units: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """``summarize_slices`` of units that carry their documents' dimensions: no join, and only states move."""
+    return summarize(dimension_coords(units, dimensions, "*"), ("tool", "dimension", "value"))
+
+
 def run_summary(units: DataFrame, responses: DataFrame, known: DataFrame, on: Sequence[str] = ("tool", "doc_id")) -> DataFrame:
     """Per tool documents, cached (answered before, without error), new and failed."""
     before = known.filter("error is null").select(*on).distinct().withColumn("__before", F.lit(True))

@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pytest
 
+from gaugemill.operators import metrics
 from gaugemill.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +22,10 @@ def test_truth_and_answers_share_their_exchanges(spark):
     assert dealt(Q.answered(spark, SF).drop("variant")) == 2  # orders, lines
     assert dealt(Q.answered(spark, SF)) == 3  # one side's orders bring their variant
     assert Q.answered(spark, SF).filter("doc_id % 97 = 3").isEmpty()
+
+
+def test_units_that_carry_dimensions_are_cut_without_a_join(spark):
+    own = metrics.summarize_own_slices(Q.stored_units(spark, SF, ("region", "variant")), ("region", "variant"))
+    joined = metrics.summarize_slices(Q.stored_units(spark, SF).drop("variant"), metrics.dimension_coords(Q.docs(spark, SF), ("region", "variant")))
+    order = ["tool", "dimension", "value"]
+    assert own.orderBy(*order).collect() == joined.orderBy(*order).collect() and own.count() == 30
