@@ -17,10 +17,11 @@ texts hold the end id alone. An empty table makes a data set without shards. Ext
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from array import array
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugemill.llm.common import parallelism, slices, stored, texts_of
-from gaugemill.llm.pieces import PieceCache, tokenizer
+from gaugemill.llm.pieces import LATIN, PieceCache, tokenizer
 
 BLOCK_IDS = 65_536
 #: Bytes of text that a shard holds about, whatever the size of the table.
 SHARD_BYTES = 256 << 20
+#: Words of letters, and how many of them the library gets in a row.
+WORD, ROW_WORDS = re.compile(f"[{LATIN}]+"), 512
 SYNC = "\n#GMSYNC"
 TAIL, TAIL_BYTES = "<I4s", struct.calcsize("<I4s")
 HEAD, HEAD_BYTES = "<cIB", struct.calcsize("<cIB")
@@ -101,15 +104,35 @@ def read_footer(data: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 class LibraryEncoder:
-    """Ids as the library gives them; it encodes every distinct part of the texts once a task."""
+    """Ids as the library gives them; it encodes every distinct part of the texts once a task.
+
+    Words of letters go to it many at a time, with spaces between them, where the tokens that end a word tell their ids apart."""
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
         self.cache = PieceCache(self.encode_parts, lower=True, spaced=False)
+        self.ends = np.zeros(1 + max(self.library.get_vocab().values(), default=0), bool)
+        self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
 
     def encode_parts(self, found: list[str]) -> list[bytes]:
+        words = [p for p in found if WORD.fullmatch(p)] if self.ends.any() else []
+        coded = dict(zip(words, self.encode_words(words), strict=True))
+        others = [p for p in found if p not in coded]
+        coded.update(zip(others, self.encode_each(others), strict=True))
+        return [coded[p] for p in found]
+
+    def encode_each(self, found: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(found, add_special_tokens=False)]
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        rows = [words[at : at + ROW_WORDS] for at in range(0, len(words), ROW_WORDS)]
+        for row, e in zip(rows, self.library.encode_batch_fast([" ".join(r) for r in rows], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            out += [raw[x:y] for x, y in pairwise([0, *ends])] if len(ends) == len(row) else self.encode_each(row)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         runs = [self.cache.split(t) for t in texts]
         known = self.cache.learn(chain.from_iterable(runs))

@@ -106,6 +106,24 @@ def test_planes_round_trip(spark, docs, library, tmp_path, bits):
         token_planes.read_footer(data[:-3])
 
 
+def test_words_go_to_the_library_in_rows():
+    """The library gets far fewer texts than there are distinct words, and each word has its own ids."""
+    one = token_planes.LibraryEncoder(WORD)
+    sent, library = [], one.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    one.library = Counted()
+    words = [f"{a}{b}{c}é" for a in "abcdefghijk" for b in "lmnopqrstuv" for c in "aeiou"]
+    texts = [" ".join(words), "ıß ÿ Ĳx " + words[3] + ", 12 don't", *[t or "" for t in TEXTS]]
+    got = one.encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(sent) < len(words) / 2
+
+
 def test_no_documents(spark, docs, tmp_path):
     none = docs.filter("doc_id < 0")
     token_planes.write(none, str(tmp_path / "none"), WORD, end_id=1)
