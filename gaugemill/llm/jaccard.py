@@ -47,7 +47,7 @@ BLOCK = 256
 #: Members of a larger bucket with which all others are compared first.
 HUBS = 8
 #: Entries that a task sorts at a time, and classes with one signature among them from which on it is salted.
-CHUNK_ENTRIES, HOT = 1_000_000, 32
+CHUNK_ENTRIES, HOT = 250_000, 8
 #: Documents of a task that are described at a time, and classes whose entries it needn't send again; they change no result.
 CHUNK_DOCS, SENT_KEPT = 50_000, 100_000
 #: Buckets, or rows to remove, up to whose number a table of their ids is broadcast (16 bytes each).
@@ -60,7 +60,7 @@ BAND = 1.25
 #: Classes up to whose number their documents are picked by a broadcast of their ids (16 bytes each).
 BROADCAST_CLASSES = 500_000
 _WORDS: dict[bytes, int] = {}
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -349,8 +349,10 @@ def dealt(members: DataFrame, folder: str) -> DataFrame:
 
 
 def candidates(members: DataFrame, num: int, den: int, every: bool, folder: str) -> DataFrame:
-    """Pairs (bucket, a, b) of classes that may link, from rows (bucket, key, size, bits, part); with ``every`` all of them, else a forest of each bucket."""
-    cells = dealt(members, folder).repartition(parallelism(members.sparkSession), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    """Pairs (bucket, a, b) of classes that may link, from rows (bucket, key, size, bits, part); with ``every`` all of them, else a forest of each bucket.
+
+    Classes come in the order of their keys, so that buckets of nearly the same classes take the same ones of equally good pairs."""
+    cells = dealt(members, folder).repartition(parallelism(members.sparkSession), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "key")
 
     def batches(frames):
         held, name = [], None
@@ -422,9 +424,14 @@ def parities(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def met(pairs: DataFrame, texts: DataFrame, own: str, other: str, name: str) -> DataFrame:
-    """``pairs`` with the text of their class ``own`` as ``name``. A class with very many pairs is dealt out to several tasks."""
-    hot = sized(pairs.groupBy(own).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).filter("parts > 1"), BROADCAST_IDS)
+def busy(pairs: DataFrame, own: str, folder: str) -> DataFrame:
+    """Classes ``own`` with very many pairs, and the parts into which these go."""
+    counts = pairs.groupBy(own).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).filter("parts > 1")
+    return sized(stored(counts, f"{folder}/busy_{own}"), BROADCAST_IDS)
+
+
+def met(pairs: DataFrame, texts: DataFrame, own: str, other: str, name: str, hot: DataFrame) -> DataFrame:
+    """``pairs`` with the text of their class ``own`` as ``name``. A class with very many pairs (``hot``) is dealt out to several tasks."""
     left = pairs.join(hot, own, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     right = texts.select(F.col("key").alias(own), F.col("text").alias(name)).join(hot, own, "left")
     right = right.select(own, name, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
@@ -432,7 +439,7 @@ def met(pairs: DataFrame, texts: DataFrame, own: str, other: str, name: str) ->
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, folder: str) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``, by the whole texts of one document of each class."""
+    """``pairs`` (a, b), a stored table, with ``linked``, by the whole texts of one document of each class."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep", "place").hint("merge"), "key").select("key", "rep", "place"), f"{folder}/wanted")
     if wanted.isEmpty():
         return docs.sparkSession.createDataFrame([], "a long, b long, linked boolean")
@@ -441,7 +448,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num:
     texts = stored(docs.join(side, own).select("key", "text"), f"{folder}/texts")
     if texts.count() > wanted.count():  # rows of the same id and text
         texts = texts.dropDuplicates(["key"])
-    both = met(met(pairs.select("a", "b"), texts, "a", "b", "x"), texts, "b", "a", "y").select("a", "b", "x", "y")
+    hot = {own: busy(pairs, own, folder) for own in ("a", "b")}
+    both = met(met(pairs, texts, "a", "b", "x", hot["a"]), texts, "b", "a", "y", hot["b"]).select("a", "b", "x", "y")
 
     def judge(frames):
         name, x = None, None
@@ -508,20 +516,21 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     discard(spark, f"{folder}/entries", f"{folder}/sums")
 
     first = stored(with_hubs(members, num, den), f"{folder}/hubs")
-    judged = stored(verified(first.select("a", "b").distinct(), docs, classes, k, num, den, f"{folder}/first"), f"{folder}/judged0")
+    met_hubs = stored(first.select("a", "b").distinct(), f"{folder}/met")
+    judged = stored(verified(met_hubs, docs, classes, k, num, den, f"{folder}/first"), f"{folder}/judged0")
     links = judged.filter("linked").select("a", "b")
     parts = stored(components(links, f"{folder}/parts0"), f"{folder}/part0")
     # what hubs have shown needn't be shown again
-    emitted = stored(candidates(in_parts(members, parts), num, den, False, f"{folder}/second"), f"{folder}/forest")
-    fresh = emitted.select("a", "b").distinct().join(judged.hint("merge"), ["a", "b"], "left_anti")
+    emitted = stored(candidates(in_parts(members, parts, f"{folder}/second"), num, den, False, f"{folder}/second"), f"{folder}/forest")
+    fresh = stored(emitted.select("a", "b").distinct().join(judged.hint("merge"), ["a", "b"], "left_anti"), f"{folder}/fresh")
     judged = judged.unionByName(stored(verified(fresh, docs, classes, k, num, den, f"{folder}/second"), f"{folder}/judged"))
     links = judged.filter("linked").select("a", "b")
     parts = stored(components(links, f"{folder}/parts"), f"{folder}/part")
     discard(spark, f"{folder}/first", f"{folder}/second")
 
     # where a pair of a forest failed, look at all pairs between the components so far
-    open_buckets = sized(emitted.join(judged.filter("not linked").hint("merge"), ["a", "b"]).select("bucket").distinct(), BROADCAST_IDS)
-    again = in_parts(members.join(open_buckets, "bucket", "left_semi"), parts)
+    open_buckets = sized(stored(emitted.join(judged.filter("not linked").hint("merge"), ["a", "b"]).select("bucket").distinct(), f"{folder}/open"), BROADCAST_IDS)
+    again = in_parts(members.join(open_buckets, "bucket", "left_semi"), parts, f"{folder}/third")
     rest = candidates(again, num, den, True, f"{folder}/third").select("a", "b").distinct().join(judged.hint("merge"), ["a", "b"], "left_anti")
     rest = stored(rest, f"{folder}/rest")
     late = verified(rest, docs, classes, k, num, den, f"{folder}/third").filter("linked").select("a", "b")
@@ -533,10 +542,11 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     own = filled.select("doc_id", "place", "key", "n_shingles").join(named.hint("merge"), "key").drop("key")
     empty = found.filter("key is null").select("doc_id", "place", "n_shingles", F.col("place").alias("component"), F.col("doc_id").alias("component_id"))
     result = stored(own.unionByName(empty), f"{folder}/result")
-    discard(spark, *(f"{folder}/{x}" for x in ("index", "classes", "members", "hubs", "forest", "judged0", "judged", "parts0", "part0", "parts", "part", "rest", "third", "all", "component")))
+    discard(spark, *(f"{folder}/{x}" for x in ("index", "classes", "members", "hubs", "met", "forest", "fresh", "open", "third", "judged0", "judged", "parts0", "part0", "parts", "part", "rest", "all", "component")))
     return result
 
 
-def in_parts(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """``members`` with the component of their class, or the class itself."""
-    return members.join(parts.withColumnRenamed("node", "key").hint("merge"), "key", "left").select("bucket", "key", "size", "bits", F.coalesce("component", "key").alias("part"))
+def in_parts(members: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
+    """``members`` with the component of their class, or the class itself; written, as blocks are dealt from it several times."""
+    own = members.join(parts.withColumnRenamed("node", "key").hint("merge"), "key", "left").select("bucket", "key", "size", "bits", F.coalesce("component", "key").alias("part"))
+    return stored(own, f"{folder}/parts")

@@ -160,6 +160,24 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     assert got == linked(docs, 3, 90)
 
 
+def test_pairs_and_members_are_made_once(spark, monkeypatch):
+    """What is read several times is a written table: no join is left in its plan."""
+    seen = {"verified": [], "candidates": []}
+    for name, plans in seen.items():
+        inner = getattr(jaccard, name)
+
+        def spied(table, *rest, inner=inner, plans=plans):
+            plans.append(table._jdf.queryExecution().optimizedPlan().toString())
+            return inner(table, *rest)
+
+        monkeypatch.setattr(jaccard, name, spied)
+    docs = copies(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, docs), 3, 90).collect()}
+    assert got == linked(docs, 3, 90)
+    assert len(seen["verified"]) == 3 and len(seen["candidates"]) == 2
+    assert not [p for plans in seen.values() for p in plans if "Join" in p]
+
+
 def test_one_of_each(spark):
     docs = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "z"), (4, None), (4, None), (None, "a b c d e f"), (None, "solo words here"), (3, "other text")]
     kept = jaccard.one_of_each(frame(spark, docs).withColumn("lang", F.lit("x")), 5, 80)
