@@ -128,6 +128,13 @@ def unit_rows(scored: DataFrame, fields: Sequence[str], keys: Sequence[str]) ->
     return scored.select(*keys, n.alias("n_fields"), count("correct").alias("n_correct"), count("hallucination").alias("n_hallucination"), ((count("correct") == n) & F.col("error").isNull()).alias("exact"), "error", "latency_ms", "cost_usd")
 
 
+def outcome_rows(scored: DataFrame, fields: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """One row a scored field from wide outcomes: keys, field, truth, answer, outcome. No shuffle, and no comparison again."""
+    text = lambda name: F.col(name).cast("string")
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), text(f"truth_{f}").alias("truth"), text(f"answer_{f}").alias("answer"), F.col(f"outcomes.{f}").alias("outcome")) for f in fields])
+    return scored.select(*keys, F.inline(rows)).filter("outcome is not null")
+
+
 def unit_exact(pairs: DataFrame, keys: Sequence[str] = ("tool", "doc_id", "variant")) -> DataFrame:
     """Unit rows from a long pair table: one aggregation with partial results."""
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_fields"), F.count_if(F.col("outcome") == "correct").alias("n_correct"), F.count_if(F.col("outcome") == "hallucination").alias("n_hallucination"), (F.bool_and(F.col("outcome") == "correct") & F.max("error").isNull()).alias("exact"))

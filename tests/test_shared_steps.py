@@ -29,3 +29,16 @@ def test_units_that_carry_dimensions_are_cut_without_a_join(spark):
     joined = metrics.summarize_slices(Q.stored_units(spark, SF).drop("variant"), metrics.dimension_coords(Q.docs(spark, SF), ("region", "variant")))
     order = ["tool", "dimension", "value"]
     assert own.orderBy(*order).collect() == joined.orderBy(*order).collect() and own.count() == 30
+
+
+@pytest.mark.parametrize("name", ["o05_published_results", "o05_write_results"])
+def test_results_compare_fields_once(spark, monkeypatch, name):
+    """Units and failures of a run come from one scoring, with the outcomes of the long comparators."""
+    u, p = Q.scored_once(spark, SF)
+    long = Q.pairs(spark, SF)
+    assert p.columns == long.columns and p.exceptAll(long).isEmpty() and long.exceptAll(p).isEmpty()
+    assert u.exceptAll(Q.units(spark, SF)).isEmpty()
+    calls, inner = [], Q.answered
+    monkeypatch.setattr(Q, "answered", lambda *a, **k: calls.append(a) or inner(*a, **k))
+    assert Q.QUERIES[name](spark, SF).count() == 3
+    assert len(calls) == 1
