@@ -59,8 +59,11 @@ SPARE, SPARE_SHARES = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32), (64, 32, 24, 16, 12
 BAND = 1.25
 #: Classes up to whose number their documents are picked by a broadcast of their ids (16 bytes each).
 BROADCAST_CLASSES = 500_000
+#: Hashes of a task's words, forgotten with it: a worker that waits, or serves another operator, holds none.
 _WORDS: dict[bytes, int] = {}
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
+#: Times the usual partitions into which entries are dealt out, so that a task sorts fewer of them.
+FINER = 3
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -90,6 +93,11 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def forget() -> None:
+    """At a task's end; a function of the module, as a task's own functions are sent with copies of what they name."""
+    _WORDS.clear()
+
+
 def key_of(elements: np.ndarray) -> int:
     """The class of a set."""
     return xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63)
@@ -248,6 +256,7 @@ def indexed(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
                     if len(sent) >= SENT_KEPT:  # only here, so that a class comes once in a batch
                         sent.clear()
         yield found.batch(docs, at)
+        forget()
 
     def shared(frames):
         held = None  # the last entry, which may go on
@@ -284,7 +293,7 @@ def indexed(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(columns, ["bucket", "key", "doc_id", "place", "n_shingles", "bits"])
 
-    sent = docs.select("doc_id", "text", "place").mapInArrow(entries, ENTRIES).repartition(parallelism(docs.sparkSession), "bucket", "salt")
+    sent = docs.select("doc_id", "text", "place").mapInArrow(entries, ENTRIES).repartition(FINER * parallelism(docs.sparkSession), "bucket", "salt")
     return sent.sortWithinPartitions("bucket", "key").mapInArrow(shared, MEMBERS)
 
 
@@ -462,6 +471,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        forget()
 
     return both.mapInArrow(judge, "a long, b long, linked boolean")
 

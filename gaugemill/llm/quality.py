@@ -98,6 +98,10 @@ class Model:
     def __getstate__(self):
         return {"gain": self.gain, "bias": self.bias, "known": {}, "old": {}}
 
+    def forget(self) -> None:
+        """Drop what is known of tokens, at a task's end: a worker that waits, or serves another operator, holds the table only."""
+        self.known, self.old = {}, {}
+
     def token_gains(self, found: set[str]) -> dict[str, float]:
         if len(self.known) > TOKENS_KEPT:
             self.old, self.known = self.known, {}
@@ -191,6 +195,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         for frame in (part for whole in frames for part in portions(whole)):
             scores = pa.array(sent.value.scores(texts_of(frame.column(0))), pa.float64())
             yield pa.RecordBatch.from_arrays([*frame.columns[1:], scores], [*frame.schema.names[1:], "score"])
+        sent.value.forget()
 
     slim = kept.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias(free_name(kept, "whole")), "*")
     return slim.mapInArrow(batches, kept.schema.add("score", "double")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -204,5 +209,6 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
         for frame in (part for whole in frames for part in portions(whole)):
             good = [s >= threshold for s in sent.value.scores(texts_of(frame.column(0)))]
             yield pa.RecordBatch.from_arrays(frame.columns[1:], frame.schema.names[1:]).filter(pa.array(good, pa.bool_()))
+        sent.value.forget()
 
     return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias(free_name(docs, "whole")), "*").mapInArrow(batches, docs.schema)

@@ -3,7 +3,7 @@
 import public_tokenizers as P
 import pyarrow as pa
 
-from gaugemill.llm import bpe
+from gaugemill.llm import bpe, jaccard, quality
 from gaugemill.llm.common import portions
 
 
@@ -23,3 +23,29 @@ def test_parts_are_forgotten_between_tasks():
     assert encoder.cache.limit <= 60_000 and encoder.cache.values
     encoder.cache.forget()
     assert not encoder.cache.values and not encoder.cache.old and encoder.encode(["some words, some more"]) == before
+
+
+def test_workers_keep_no_words_of_ended_tasks(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 9, 0) for i in range(40)], "doc_id long, text string, place long").repartition(4)
+    model = quality.fit(["good words", "bad bad bad"], [1, 0])
+    sent = spark.sparkContext.broadcast(model)
+
+    def held(frames):
+        from gaugemill.llm import jaccard
+
+        for frame in frames:
+            yield pa.RecordBatch.from_arrays([pa.array([len(jaccard._WORDS)] * frame.num_rows)], ["n"])
+
+    jaccard.indexed(docs, 3, jaccard.allocated(docs, 3, 90, 100)).count()
+    left = spark.range(64, numPartitions=8).mapInArrow(held, "n long").agg({"n": "max"}).first()[0]
+    assert left == 0
+    sent.value.scores(["good words"])
+    assert sent.value.known
+    sent.value.forget()
+    assert not sent.value.known and not sent.value.old and sent.value.scores(["good words"]) == model.scores(["good words"])
+
+
+def test_entries_are_sorted_in_many_tasks(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} of some words", 0) for i in range(20)], "doc_id long, text string, place long")
+    index = jaccard.indexed(docs, 3, jaccard.allocated(docs, 3, 90, 100))
+    assert index.rdd.getNumPartitions() == jaccard.FINER * int(spark.conf.get("spark.sql.shuffle.partitions")) > int(spark.conf.get("spark.sql.shuffle.partitions"))
