@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +60,11 @@ SPARE, SPARE_SHARES = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32), (64, 32, 24, 16, 12
 BAND = 1.25
 #: Classes up to whose number their documents are picked by a broadcast of their ids (16 bytes each).
 BROADCAST_CLASSES = 500_000
-#: Hashes of a task's words, forgotten with it: a worker that waits, or serves another operator, holds none.
+#: Hashes of words that a worker keeps: none, as hashing them again is faster than looking them up.
 _WORDS: dict[bytes, int] = {}
-WORDS_KEPT = 100_000
+#: Bytes of texts that are described at once, and elements that are dealt to segments at once.
+GROUP_BYTES, GROUP_ELEMENTS = 1 << 19, 1 << 17
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Times the usual partitions into which entries are dealt out, so that a task sorts fewer of them.
 FINER = 3
 
@@ -76,26 +79,29 @@ def mixed_int(*values: int) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(repr(values).encode()))
 
 
+def sets_of(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of texts, one after the other, and their sizes. A set: sorted 64-bit hashes of the distinct k-word shingles, or of all words if they are fewer."""
+    split = [text.lower().split() for text in texts]
+    words = np.array([len(w) for w in split], np.int64)
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, chain.from_iterable(split))), ">u8").astype(np.uint64)
+    width = np.minimum(words, k)
+    made = np.where(words > 0, words - width + 1, 0)
+    ends = np.cumsum(made)
+    at, wide = np.arange(made.sum()) + np.repeat(np.cumsum(words) - words - (ends - made), made), np.repeat(width, made)
+    out = wide.astype(np.uint64)
+    for i in range(k):
+        longer = mixed(out * GOLDEN + h[np.minimum(at + i, len(h) - 1)])
+        out = np.where(wide > i, longer, out)
+    for stop, n in zip(ends.tolist(), made.tolist(), strict=True):
+        out[stop - n : stop].sort()
+    new = np.concatenate([[True], out[1:] != out[:-1]])[: len(out)]
+    new[(ends - made)[made > 0]] = True
+    return out[new], np.bincount(np.repeat(np.arange(len(texts)), made)[new], minlength=len(texts))
+
+
 def shingles(text: bytes, k: int) -> np.ndarray:
-    """The set of a text: sorted 64-bit hashes of its distinct k-word shingles, or of all its words if they are fewer."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_WORDS) > WORDS_KEPT:
-        _WORDS.clear()
-    for w in set(words).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    width = min(k, len(words))
-    out = np.full(len(words) - width + 1, width, np.uint64)
-    for i in range(width):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i])
-    return np.unique(out)
-
-
-def forget() -> None:
-    """At a task's end; a function of the module, as a task's own functions are sent with copies of what they name."""
-    _WORDS.clear()
+    """The set of a text."""
+    return sets_of([text], k)[0]
 
 
 def key_of(elements: np.ndarray) -> int:
@@ -113,6 +119,10 @@ class Bands:
         while self.first[-1] <= longest:
             self.first.append(max(self.first[-1] + 1, math.ceil(self.first[-1] * BAND)))
         self.plans = [self.plan(j, documents.get(j, 0)) for j in range(len(self.first) - 1)]
+        # of each band: its first size, its last, segments with one deletion, all, numbers that tell it, its segments and its short sets
+        self.low, self.high = np.array(self.first, np.int64), np.array([self.last(j) for j in range(len(self.plans))], np.int64)
+        self.deleting, self.segments = np.array(self.plans, np.int64).T
+        self.salts, self.segment_salts, self.short = (np.array([mixed_int(*told) for told in each], np.uint64) for each in ([(j,) for j in range(len(self.plans))], [(j, m) for j, (_, m) in enumerate(self.plans)], [(j, -1) for j in range(len(self.plans))]))
 
     def differ(self, total: int) -> int:
         """The most elements in which linked sets of together ``total`` elements differ."""
@@ -148,44 +158,65 @@ class Bands:
         """Width of a set's bitmap; a power of two that doesn't shrink with size."""
         return 1 << max(8, (8 * self.differ(2 * self.last(self.home(size)))).bit_length())
 
-    def bitmap(self, elements: np.ndarray) -> bytes:
-        width = self.bits(len(elements))
-        odd = np.bincount((mixed(elements) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-        return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    def bitmaps(self, elements: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Of each set; none of an empty one."""
+        width = np.array([self.bits(n) if n else 0 for n in sizes.tolist()], np.int64)
+        ends = np.cumsum(width)
+        bit = (mixed(elements) & np.repeat(np.maximum(width, 1) - 1, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(ends - width, sizes)
+        packed = np.packbits((np.bincount(bit, minlength=width.sum()) & 1).astype(np.uint8), bitorder="little").tobytes()
+        return [packed[(stop - w) // 8 : stop // 8] for stop, w in zip(ends.tolist(), width.tolist(), strict=True)]
 
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         """All index entries of a set."""
-        n, out = len(elements), []
-        own = self.home(n)
-        j = own
-        while j >= 0 and self.last(j) >= n:
-            most = min(self.last(j), n * self.den // self.num) if j == own else self.first[j + 1] - 1
-            need = self.differ(n + most) + 1
-            if need > 1:  # else only equal sets link, and they are one class
-                out.append(self.in_band(j, elements, need))
-            j -= 1
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
-
-    def in_band(self, j: int, elements: np.ndarray, need: int) -> np.ndarray:
-        deleting, m = self.plans[j]
-        segment = ((mixed(elements ^ mixed_int(j)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        content = mixed(elements + np.uint64(0x9E3779B97F4A7C15))
-        low = np.bincount(segment, (content & np.uint64(0xFFFFFFFF)).astype(float), m).astype(np.uint64)
-        high = np.bincount(segment, (content >> np.uint64(32)).astype(float), m).astype(np.uint64)
-        subset = low + (high << np.uint64(32))
-        salt = mixed(np.arange(m, dtype=np.uint64) + mixed_int(j, m))
-        d = min(deleting, (need + 1) // 2)
-        out = []
-        if d:
-            out.append(mixed(subset[:d] ^ salt[:d]))
-            inside = segment < d
-            out.append(mixed((subset[segment[inside]] - content[inside]) ^ salt[segment[inside]]))
-        if (rest := need - 2 * d) > 0:
-            filled = deleting + np.flatnonzero(np.bincount(segment, minlength=m)[deleting:])
-            out.append(mixed(subset[filled[:rest]] ^ salt[filled[:rest]]))
-            if len(filled) < rest:
-                out.append(np.array([mixed_int(j, -1)], np.uint64))
-        return np.concatenate(out)
+        return np.unique(self.signatures_of(elements, np.array([len(elements)]))[0])
+
+    def signatures_of(self, elements: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All index entries of sets, and the number of each one's set."""
+        start, home = np.cumsum(sizes) - sizes, np.searchsorted(self.low, sizes, side="right") - 1
+        sets, bands, needs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        on, back = np.flatnonzero(home >= 0), 0
+        while len(on := on[home[on] >= back]) and len(on := on[self.high[home[on] - back] >= sizes[on]]):
+            j = home[on] - back
+            most = np.minimum(self.high[j], sizes[on] * self.den // self.num) if not back else self.low[j + 1] - 1
+            need = self.differ(sizes[on] + most) + 1
+            some = need > 1  # else only equal sets link, and they are one class
+            sets.append(on[some])
+            bands.append(j[some])
+            needs.append(need[some])
+            back += 1
+        own, band, need = map(np.concatenate, (sets, bands, needs))
+        out, at, ends = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0, np.cumsum(sizes[own])
+        while at < len(own):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP_ELEMENTS, "right")))
+            found, which = self.in_bands(elements, start[own[at:stop]], sizes[own[at:stop]], band[at:stop], need[at:stop])
+            out.append((found, own[at:stop][which]))
+            at = stop
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+    def in_bands(self, elements: np.ndarray, start: np.ndarray, size: np.ndarray, band: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index entries of pairs of a set (from ``start`` on, ``size`` elements) and a band, and the number of each one's pair."""
+        half, deleting, m = np.uint64(32), self.deleting[band], self.segments[band]
+        which = np.repeat(np.arange(len(size)), size)
+        inside = elements[np.arange(len(which)) + np.repeat(start - (np.cumsum(size) - size), size)]
+        first = np.cumsum(m) - m  # all pairs' segments lie one after the other
+        segment = ((mixed(inside ^ self.salts[band][which]) >> half) * m.astype(np.uint64)[which] >> half).astype(np.int64)
+        place, content = segment + first[which], mixed(inside + GOLDEN)
+        low = np.bincount(place, (content & np.uint64(0xFFFFFFFF)).astype(float), m.sum()).astype(np.uint64)
+        high = np.bincount(place, (content >> half).astype(float), m.sum()).astype(np.uint64)
+        subset = low + (high << half)
+        pair = np.repeat(np.arange(len(m)), m)
+        nth = np.arange(len(pair)) - first[pair]
+        salt = mixed(nth.astype(np.uint64) + self.segment_salts[band][pair])
+        d = np.minimum(deleting, (need + 1) // 2)
+        whole, one_less = nth < d[pair], segment < d[which]
+        rest = need - 2 * d
+        filled = (nth >= deleting[pair]) & (np.bincount(place, minlength=len(pair)) > 0)
+        upto = np.cumsum(filled)
+        exact = filled & (upto - (upto - filled)[first][pair] <= rest[pair])
+        short = (rest > 0) & (np.bincount(pair[filled], minlength=len(m)) < rest)
+        told = place[one_less]
+        out = [mixed(subset[whole] ^ salt[whole]), mixed((subset[told] - content[one_less]) ^ salt[told]), mixed(subset[exact] ^ salt[exact]), self.short[band[short]]]
+        return np.concatenate(out), np.concatenate([pair[whole], which[one_less], pair[exact], np.flatnonzero(short)])
 
 
 def allocated(docs: DataFrame, k: int, num: int, den: int) -> Bands:
@@ -211,18 +242,17 @@ class Entries:
     """A task's index entries: collected, sorted by signature, salted where a signature has many classes."""
 
     def __init__(self):
-        self.buckets, self.keys, self.n = [], [], 0
+        self.buckets, self.keys, self.n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
 
-    def add(self, signatures: np.ndarray, key: int) -> None:
+    def add(self, signatures: np.ndarray, keys: np.ndarray) -> None:
         self.buckets.append(signatures.view(np.int64))
-        self.keys.append(key)
+        self.keys.append(keys)
         self.n += len(signatures)
 
     def batch(self, docs: list[tuple[int, bytes]], at: int) -> pa.RecordBatch:
         """Everything collected, and rows of documents (key, info), which ``at`` numbers."""
-        bucket = np.concatenate([np.zeros(0, np.int64), *self.buckets])
-        key = np.repeat(np.array(self.keys, np.int64), [len(b) for b in self.buckets])
-        order = np.argsort(bucket, kind="stable")
+        bucket, key = np.concatenate(self.buckets), np.concatenate(self.keys)
+        order = np.argsort(bucket)
         bucket, key = bucket[order], key[order]
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(first, len(bucket)))
@@ -242,21 +272,24 @@ def indexed(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
 
     def entries(frames):
         found, docs, sent, at = Entries(), [], set(), 0
-        for frame in (part for whole in frames for part in portions(whole, 1)):
-            for doc_id, text, place in zip(frame.column(0).to_pylist(), bytes_of(frame.column(1)), frame.column(2).to_pylist(), strict=True):
-                s = shingles(text, k)
-                key = key_of(s) if len(s) else 0
-                docs.append((key, struct.pack(INFO, doc_id is None, doc_id or 0, place, len(s)) + (bands.bitmap(s) if len(s) else b"")))
-                if len(s) and key not in sent:
+        for frame in (part for whole in frames for part in portions(whole, 1, GROUP_BYTES)):
+            elements, sizes = sets_of(bytes_of(frame.column(1)), k)
+            keys, new, stop = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool), 0
+            for i, (n, bits, doc_id, place) in enumerate(zip(sizes.tolist(), bands.bitmaps(elements, sizes), frame.column(0).to_pylist(), frame.column(2).to_pylist(), strict=True)):
+                stop += n
+                key = key_of(elements[stop - n : stop]) if n else 0
+                docs.append((key, struct.pack(INFO, doc_id is None, doc_id or 0, place, n) + bits))
+                if n and key not in sent:
                     sent.add(key)
-                    found.add(bands.signatures(s), key)
-                if found.n >= CHUNK_ENTRIES or len(docs) >= CHUNK_DOCS:
-                    yield found.batch(docs, at)
-                    at, docs = at + len(docs), []
-                    if len(sent) >= SENT_KEPT:  # only here, so that a class comes once in a batch
-                        sent.clear()
+                    keys[i], new[i] = key, True
+            signatures, own = bands.signatures_of(elements[np.repeat(new, sizes)], sizes[new])
+            found.add(signatures, keys[new][own])
+            if found.n >= CHUNK_ENTRIES or len(docs) >= CHUNK_DOCS:
+                yield found.batch(docs, at)
+                at, docs = at + len(docs), []
+                if len(sent) >= SENT_KEPT:  # only here, so that a class comes once in a batch
+                    sent.clear()
         yield found.batch(docs, at)
-        forget()
 
     def shared(frames):
         held = None  # the last entry, which may go on
@@ -471,7 +504,6 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-        forget()
 
     return both.mapInArrow(judge, "a long, b long, linked boolean")
 

@@ -1,5 +1,7 @@
 """What a Python worker holds at a time, and keeps for the tasks after it."""
 
+import corpus_pipeline
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 
@@ -49,3 +51,42 @@ def test_entries_are_sorted_in_many_tasks(spark):
     docs = spark.createDataFrame([(i, f"text number {i} of some words", 0) for i in range(20)], "doc_id long, text string, place long")
     index = jaccard.indexed(docs, 3, jaccard.allocated(docs, 3, 90, 100))
     assert index.rdd.getNumPartitions() == jaccard.FINER * int(spark.conf.get("spark.sql.shuffle.partitions")) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_stages_take_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(6000, numPartitions=1).selectExpr("id doc_id", "repeat('some words ', 500) text")
+
+    def held(frames):
+        for frame in frames:
+            yield pa.RecordBatch.from_arrays([pa.array([frame.nbytes])], ["n"])
+
+    most = lambda: docs.mapInArrow(held, "n long").agg({"n": "max"}).first()[0]
+    spark.conf.unset(name)
+    assert most() > 5 * corpus_pipeline.BATCH_BYTES
+    corpus_pipeline.personal_data(spark, docs.limit(1), "")
+    assert most() < 1.1 * corpus_pipeline.BATCH_BYTES
+    spark.conf.set(name, "1000000")
+    corpus_pipeline.personal_data(spark, docs.limit(1), "")
+    assert spark.conf.get(name) == "1000000"
+    spark.conf.unset(name)
+
+
+def test_texts_are_described_together(monkeypatch):
+    """Many at once as each alone, empty and short ones among them, and with many portions of elements."""
+    monkeypatch.setattr(jaccard, "GROUP_ELEMENTS", 300)
+    rng = np.random.default_rng(5)
+    texts = [b"", b"one", b"Two words", b" \t ", *[" ".join(f"w{x}" for x in rng.integers(0, 60, n)).encode() for n in rng.integers(1, 400, 60)], b""]
+    for k, num in ((3, 90), (5, 80), (2, 50)):
+        bands = jaccard.Bands(num, 100, 4000, {j: 1000 for j in range(12)})
+        elements, sizes = jaccard.sets_of(texts, k)
+        signatures, own = bands.signatures_of(elements, sizes)
+        ends = np.cumsum(sizes)
+        for i, text in enumerate(texts):
+            words = text.lower().split()
+            alone = elements[ends[i] - sizes[i] : ends[i]]
+            assert sizes[i] == len({tuple(words[j : j + k]) for j in range(max(1, len(words) - k + 1)) if words})
+            assert alone.tolist() == sorted(set(alone.tolist())) == jaccard.shingles(text, k).tolist()
+            assert sorted(signatures[own == i].tolist()) == bands.signatures(alone).tolist()
+            bits = bands.bitmaps(elements, sizes)[i]
+            assert bits == (bands.bitmaps(alone, sizes[i : i + 1])[0] if sizes[i] else b"") and len(bits) * 8 == (bands.bits(sizes[i]) if sizes[i] else 0)
