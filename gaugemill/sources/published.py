@@ -33,13 +33,13 @@ class Published:
         return [n for n in found if not finished or self._fs.exists(self._at(f"{self.folder}/run-{n}/header/_SUCCESS"))]
 
     def publish(self, outputs: dict[str, DataFrame], category: str, generated_at: str, methodology: str = "") -> int:
-        """Write ``outputs`` (of ``OUTPUTS``) as JSON lines, then the header with the rows of each; gives the run's number."""
+        """Write ``outputs`` (of ``OUTPUTS``) as compressed JSON lines, then the header with the rows of each; gives the run's number."""
         if unknown := sorted(set(outputs) - set(OUTPUTS)):
             raise ValueError(f"unknown outputs: {', '.join(unknown)}")
         number = max(self.runs(finished=False), default=0) + 1
         to = f"{self.folder}/run-{number}"
         for name, df in outputs.items():
-            df.write.json(f"{to}/{name}")
+            df.write.option("compression", "gzip").json(f"{to}/{name}")
         rows = {name: self.spark.read.text(f"{to}/{name}").count() for name in outputs}
         self.spark.createDataFrame([(category, self.version, self.split, generated_at, methodology, rows)], HEADER).coalesce(1).write.json(f"{to}/header")
         for old in self.runs(finished=False):

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from gaugemill.operators import metrics
+from gaugemill.operators import metrics, scoring
 from gaugemill.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +42,26 @@ def test_results_compare_fields_once(spark, monkeypatch, name):
     monkeypatch.setattr(Q, "answered", lambda *a, **k: calls.append(a) or inner(*a, **k))
     assert Q.QUERIES[name](spark, SF).count() == 3
     assert len(calls) == 1
+
+
+def test_results_take_little_disk(spark, monkeypatch, tmp_path):
+    """Lines are compressed, slices move no unit, and every output is what it was: units, failures, summary and slices."""
+    monkeypatch.setattr(Q, "scratch", lambda _, name: f"{tmp_path}/{name}")
+    joins = []
+    monkeypatch.setattr(metrics, "summarize_slices", lambda *a, **k: joins.append(a))
+    assert Q.QUERIES["o05_write_results"](spark, SF).count() == 3 and not joins
+    monkeypatch.undo()
+    folder = f"{tmp_path}/results/2026.1/public"
+    u = Q.units(spark, SF)
+    own = spark.read.schema(u.schema).json(f"{folder}/per_doc")
+    assert own.exceptAll(u).isEmpty() and u.exceptAll(own).isEmpty()
+    f = scoring.failures(Q.pairs(spark, SF))
+    own = spark.read.schema(f.schema).json(f"{folder}/failures")
+    assert own.exceptAll(f).isEmpty() and f.exceptAll(own).isEmpty()
+    cut = Q.slices(spark, SF)
+    order = ["tool", "dimension", "value"]
+    assert spark.read.schema(cut.schema).json(f"{folder}/by_dimension").orderBy(*order).collect() == cut.orderBy(*order).collect()
+    assert set(spark.read.json(f"{folder}/per_doc").columns) == set(u.columns)
+    own.coalesce(1).write.json(f"{tmp_path}/plain")
+    size = lambda path: sum(x.stat().st_size for x in Path(path).rglob("part-*"))
+    assert size(f"{folder}/failures") < size(f"{tmp_path}/plain") / 5
