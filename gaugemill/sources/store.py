@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugemill.operators.scoring import newest
+from gaugemill.sources.scratch import freeing
 from gaugemill.sources.tables import RESPONSE
 
 KEY = ("tool_id", "sha256")
@@ -52,13 +53,14 @@ class ResponseStore:
         folder = self.folder(number, buckets)
         name = f"responses_{hashlib.sha1(folder.encode()).hexdigest()}"
         quoted = folder.replace("'", r"\'")
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({RESPONSE}) USING parquet CLUSTERED BY ({', '.join(KEY)}) SORTED BY ({', '.join(KEY)}) INTO {buckets} BUCKETS LOCATION '{quoted}'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({RESPONSE}) USING parquet CLUSTERED BY ({', '.join(KEY)}) SORTED BY ({', '.join(KEY)}) INTO {buckets} BUCKETS LOCATION '{quoted}' OPTIONS (compression 'zstd')")
         return name
 
     def _insert(self, rows: DataFrame, number: int, buckets: int) -> None:
         columns = [f.split()[0] for f in RESPONSE.split(", ")]
         dealt = rows.select(*columns).repartition(buckets, *KEY)  # one file a bucket
-        dealt.write.mode("append").insertInto(self._table(number, buckets))
+        with freeing(self.spark):
+            dealt.write.mode("append").insertInto(self._table(number, buckets))
         self.spark.catalog.refreshTable(self._table(number, buckets))
 
     def append(self, responses: DataFrame) -> None:
